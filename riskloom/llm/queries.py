@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import exact_dedup, substring_dedup, suffix_dedup
+from . import exact_dedup, near_dedup, quality, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,67 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, good): a page's outcome is the quality label of the document whose number its url's path has."""
+    number = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[^?#]*?([0-9]+)', 1) AS bigint)")
+    marks = labels.groupBy(F.col("doc_id").alias("number")).agg(F.max("quality").alias("good"))
+    return pages.select("page_id", number.alias("number")).filter("number IS NOT NULL").join(marks.hint("merge"), "number").select("page_id", "good")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter.filter_urls(pages, page_outcomes(pages, _table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             TRY_CAST(regexp_extract(url, '://[^/?#]*/[^?#]*?([0-9]+)', 1) AS BIGINT) AS number FROM p),
+l AS (SELECT doc_id AS number, max(quality) AS good FROM labels GROUP BY doc_id),
+c AS (SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n FROM q LEFT JOIN l USING (number) GROUP BY host),
+h AS (SELECT host, good, n, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts FROM c),
+bh AS (SELECT host, good, n, array_to_string(parts[greatest(len(parts) - 1, 1):], '.') AS domain, parts[len(parts)] AS suffix FROM h),
+g AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS m FROM bh),
+s0 AS (SELECT suffix, sum(good) AS good, sum(n) AS n, any_value(m) AS m FROM bh, g GROUP BY suffix),
+k1 AS (SELECT sum(power(good / n - m, 2) * n) AS a, sum(m * (1 - m)) AS b, sum(m * (1 - m) * (n - 1)) AS c FROM s0 WHERE n > 0),
+t1 AS (SELECT CASE WHEN c > 0 AND a > b THEN least(1000.0, greatest(1.0, c / (a - b) - 1)) ELSE 1000.0 END AS s FROM k1),
+m1 AS (SELECT suffix, (good + s * m) / (n + s) AS m FROM s0, t1),
+s1 AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n, any_value(m) AS m FROM bh JOIN m1 USING (suffix) GROUP BY domain, suffix),
+k2 AS (SELECT sum(power(good / n - m, 2) * n) AS a, sum(m * (1 - m)) AS b, sum(m * (1 - m) * (n - 1)) AS c FROM s1 WHERE n > 0),
+t2 AS (SELECT CASE WHEN c > 0 AND a > b THEN least(1000.0, greatest(1.0, c / (a - b) - 1)) ELSE 1000.0 END AS s FROM k2),
+m2 AS (SELECT domain, suffix, (good + s * m) / (n + s) AS m FROM s1, t2),
+s2 AS (SELECT host, good, n, m FROM bh JOIN m2 USING (domain, suffix)),
+k3 AS (SELECT sum(power(good / n - m, 2) * n) AS a, sum(m * (1 - m)) AS b, sum(m * (1 - m) * (n - 1)) AS c FROM s2 WHERE n > 0),
+t3 AS (SELECT CASE WHEN c > 0 AND a > b THEN least(1000.0, greatest(1.0, c / (a - b) - 1)) ELSE 1000.0 END AS s FROM k3),
+ab AS (SELECT host, good + s * m AS a, n - good + s * (1 - m) AS b FROM s2, t3),
+u AS (SELECT host, a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper FROM ab),
+r AS (SELECT page_id, host, path,
+      CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+           WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+           WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+           WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM q)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN u USING (host)
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -83,7 +139,10 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op3_minhash": op3_minhash,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_quality": op5_quality,
+        "op8_url_filter": op8_url_filter,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -92,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
+        "op8_url_filter": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
         "op10_exact_dedup": OP10_SQL,
     }
