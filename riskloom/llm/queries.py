@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import exact_dedup, near_dedup, quality, substring_dedup, suffix_dedup, url_filter
+from . import exact_dedup, line_dedup, near_dedup, quality, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,25 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, i, t, list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w
+           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+s AS (SELECT doc_id, i, list_sort(w) AS w FROM l WHERE len(w) > 0),
+c AS (SELECT row_number() OVER () AS c, w, len(w) AS n, min((doc_id, i)) AS first FROM s GROUP BY w),
+t AS (SELECT c, n, first, unnest(w) AS k FROM c),
+p AS (SELECT b.c, a.n AS x, b.n AS y, count(*) AS common FROM t a JOIN t b ON a.k = b.k AND a.first < b.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.c, b.c, a.n, b.n),
+m AS (SELECT DISTINCT c FROM p WHERE 100 * common >= 80 * (x + y - common)),
+g AS (SELECT s.doc_id, s.i FROM s JOIN c USING (w) LEFT JOIN m USING (c) WHERE (s.doc_id, s.i) > c.first OR m.c IS NOT NULL)
+SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed, sha256(coalesce(string_agg(t, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id
+"""
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -139,6 +158,7 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_line_dedup": op2_line_dedup,
         "op3_minhash": op3_minhash,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
@@ -151,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
+        "op2_line_dedup": OP2_SQL,
         "op8_url_filter": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
         "op10_exact_dedup": OP10_SQL,
