@@ -10,7 +10,7 @@ others in each round, the matched ones leave, and the fewer are left, the more t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -163,16 +163,18 @@ def matched(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame | No
             return found
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, extra: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, n_lines, removed (numbers of the removed lines, from 0), kept (the other lines).
 
     The lines of a text are its parts between \\n. Their sets have the distinct words ``[^\\x20\\x09-\\x0D]+``,
     unchanged. A line goes if its set's intersection with that of any earlier line (smaller id, or earlier in the
     document) is at least ``percent`` hundredths of the union; judged on the input. Lines without words stay and
     match nothing. Null is the empty text: one line without words. Rows that repeat an id and its text count as one
-    document, with equal results; a null id sorts first. Of the input only the two named columns are read.
+    document, with equal results; a null id sorts first. Of the input only the two named columns are read, and ``extra`` ones,
+    which are passed on (they can't be named like the result's columns or id0, fp, gone and lines).
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col).select("id0", "fp", "text")
+    whole = keyed(docs, id_col, text_col, extra)
     lines = staged(line_rows(rows, rarity(rows), percent), "lines")
     classes = staged(lines.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id0", "fp", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
     hit = matched(classes, rows, percent)
@@ -183,6 +185,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         removed = removed.unionByName(classes.join(hit.hint("merge"), "key", "left_semi").select("place.id0", "place.fp", "place.line"))
     lists = staged(removed.groupBy("id0", "fp").agg(F.collect_set("line").alias("gone")), "removed")
     split = F.split("text", "\n", -1)
-    out = attach(rows, lists).withColumns({"lines": split, "gone": F.sort_array(F.coalesce("gone", F.array().cast("array<int>")))})
+    out = attach(whole, lists).withColumns({"lines": split, "gone": F.sort_array(F.coalesce("gone", F.array().cast("array<int>")))})
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    return out.select("id", F.size("lines").cast("long").alias("n_lines"), F.col("gone").alias("removed"), kept.alias("kept"))
+    return out.select("id", F.size("lines").cast("long").alias("n_lines"), F.col("gone").alias("removed"), kept.alias("kept"), *extra)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import exact_dedup, line_dedup, near_dedup, quality, substring_dedup, suffix_dedup, url_filter
+from . import exact_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source", "text"], sections_of="text")
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, good): a page's outcome is the quality label of the document whose number its url's path has."""
     number = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[^?#]*?([0-9]+)', 1) AS bigint)")
@@ -162,6 +171,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash": op3_minhash,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
+        "op6_packing": op6_packing,
+        "op7_token_counts": op7_token_counts,
         "op8_url_filter": op8_url_filter,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_exact_dedup": op10_exact_dedup,
