@@ -9,7 +9,7 @@ equal segments are counted before anything is shuffled as text, and only one of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import BROADCAST_BYTES, BROADCAST_ROWS, combined, join_checked, join_groups, staged, text_slices
+from .shared import combined, join_groups, staged, text_slices
 
 _NO_ID = -(1 << 63)
 _POS = np.uint64((1 << 24) - 1)
@@ -35,10 +35,10 @@ class Unit:
     gram: int
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[str] = ()) -> DataFrame:
     """(id0, fp, id, text): ``id0`` is the id or, for null, the least long; ``fp`` tells rows with one id but different texts apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id0"), F.xxhash64(text).alias("fp"), F.col(id_col).alias("id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id0"), F.xxhash64(text).alias("fp"), F.col(id_col).alias("id"), text.alias("text"), *(F.col(c) for c in extra))
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ class Candidates:
 def candidates(docs: DataFrame, unit: Unit) -> Candidates:
     segs = staged(segment_rows(docs, unit), "segments")
     again = staged(segs.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    rows = staged(join_checked(segs, again, "anchor", "left_semi"), "rows")
+    rows = staged(segs.join(again.hint("merge"), "anchor", "left_semi"), "rows")
     place = F.min(F.struct("id0", "fp", "start")).alias("place")
     variants = staged(rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), place, F.first("runs").alias("runs")), "variants")
     several = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1")
@@ -124,17 +124,15 @@ def candidates(docs: DataFrame, unit: Unit) -> Candidates:
     return Candidates(rows, variants, staged(payloads(docs, mixed, unit), "mixed"), rows.count())
 
 
-def attach(docs: DataFrame, lists: DataFrame, items: str, item_bytes: int, how: str = "left") -> DataFrame:
-    """Joins to each document (by id0, fp) its list ``items``; broadcast only if all lists are small together."""
-    rows, size = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(items)), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS and rows * 64 + size * item_bytes <= BROADCAST_BYTES
-    return docs.join(F.broadcast(lists) if small else lists.hint("merge"), ["id0", "fp"], how)
+def attach(docs: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
+    """Joins to each document (by id0, fp) its list. Both grow with the corpus, so both are shuffled at every size."""
+    return docs.join(lists.hint("merge"), ["id0", "fp"], how)
 
 
 def payloads(docs: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
     """Adds the symbols of the first place of each variant: its bytes, or its words joined by one space."""
     wanted = staged(mixed.select("place.id0", "place.fp", F.struct("place.start", "runs", "anchor", "digest", "n", "variants").alias("w")).groupBy("id0", "fp").agg(F.collect_list("w").alias("ws")), "wanted")
-    joined = attach(docs.select("id0", "fp", "text"), wanted, "ws", 40, "inner")
+    joined = attach(docs.select("id0", "fp", "text"), wanted, "inner")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "digest", "n", "variants", "id0", "fp", "start", "runs", "payload"]

@@ -130,7 +130,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([combined(batch, "id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.list_(pa.list_(pa.int32())))], names=["id", "n_words", "n_removed", "kept", "spans"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return anchors.attach(rows, spans, "spans", 8).select("id", "text", "spans").mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string, spans array<array<int>>")
+    return anchors.attach(rows, spans).select("id", "text", "spans").mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string, spans array<array<int>>")
 
 
 def removed(spans: list[dict] | None, n: int, length: int) -> np.ndarray:

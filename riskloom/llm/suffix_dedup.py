@@ -23,10 +23,10 @@ from .shared import combined
 from .substring_dedup import removed
 
 GRAM = 32
-BUCKET_BYTES = 2 << 20
-SHARD_BYTES = 1 << 19
+BUCKET_BYTES = 1 << 19
+SHARD_BYTES = 1 << 17
 #: More variants of one anchor than this are searched by hash instead, spread over all tasks.
-MOST_VARIANTS = 8_000
+MOST_VARIANTS = 4_000
 
 
 def block_width(length: int, most: int = 100) -> int:
@@ -45,15 +45,16 @@ class Blocks:
         sizes = np.array([len(p) + 1 for p in payloads], np.int64)  # with one place for the end
         data = np.frombuffer(b"".join(p + b"\0" for p in payloads), np.uint8)
         self.width, self.first = width, np.r_[0, np.cumsum(sizes)]
-        self.left = np.repeat(self.first[1:], sizes) - np.arange(len(data))
-        self.offset = np.arange(len(data)) - np.repeat(self.first[:-1], sizes)
+        place = np.arange(len(data), dtype=np.int32)
+        self.left = np.repeat(self.first[1:].astype(np.int32), sizes) - place
+        self.offset = place - np.repeat(self.first[:-1].astype(np.int32), sizes)
         hashes, span = anchors._BYTE[data], 1
         with np.errstate(over="ignore"):
             while span < width:
                 step = min(span, width - span)
                 hashes = W.mix(hashes[:-step] * W._STEP + hashes[step:]) if len(hashes) > step else hashes[:0]
                 span += step
-        self.symbol = np.zeros(len(data), np.int64)
+        self.symbol = np.zeros(len(data), np.int32)
         whole = np.flatnonzero(self.left > width)
         self.symbol[whole] = np.unique(hashes[whole], return_inverse=True)[1] + 1
 
@@ -62,8 +63,8 @@ class ShardBwt:
     """The sorted suffixes of some segments (``order``: positions) and the symbol before each (0 at the start of a text)."""
 
     def __init__(self, blocks: Blocks, lo: int, hi: int):
-        here = np.arange(lo, hi)
-        w, symbol, end = blocks.width, blocks.symbol[lo:hi], blocks.left[lo:hi]
+        here = np.arange(lo, hi, dtype=np.int32)
+        w, symbol, end = blocks.width, blocks.symbol[lo:hi].astype(np.int64), blocks.left[lo:hi]
         last = symbol == 0  # the empty suffix that ends a text; smallest, in the order of the texts
         rank = np.where(last, np.cumsum(last), symbol + np.count_nonzero(last))
         step = w
@@ -86,7 +87,7 @@ def merge(shards: list[ShardBwt], steps: int) -> tuple[np.ndarray, np.ndarray]:
     symbols, order = np.concatenate([s.symbols for s in shards]), np.concatenate([s.order for s in shards])
     names = np.repeat(np.arange(len(shards), dtype=np.int32), sizes)
     ends = np.repeat(np.arange(len(shards), dtype=np.int32), [s.ends for s in shards])
-    z, stretch = names, np.zeros(len(order), np.int64)
+    z, stretch = names, np.zeros(len(order), np.int32)
     for _ in range(steps):
         at = _unread(z, base, len(shards))
         c = symbols[at]
@@ -94,13 +95,13 @@ def merge(shards: list[ShardBwt], steps: int) -> tuple[np.ndarray, np.ndarray]:
         go = go[np.argsort(c[go], kind="stable")]
         border = np.r_[True, (c[go][1:] != c[go][:-1]) | (stretch[go][1:] != stretch[go][:-1])] if len(go) else np.zeros(0, bool)
         z = np.r_[ends, z[go]]
-        stretch = np.r_[np.arange(len(ends)), len(ends) - 1 + np.cumsum(border)]
+        stretch = np.r_[np.arange(len(ends), dtype=np.int32), len(ends) - 1 + np.cumsum(border, dtype=np.int32)]
     return order[_unread(z, base, len(shards))], stretch
 
 
 def _unread(z: np.ndarray, base: np.ndarray, shards: int) -> np.ndarray:
     """For each place of the interleave, the index of the suffix that it stands for: the next of its shard."""
-    at = np.empty(len(z), np.int64)
+    at = np.empty(len(z), np.int32)
     for s in range(shards):
         mine = np.flatnonzero(z == s)
         at[mine] = base[s] + np.arange(len(mine))
@@ -168,4 +169,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([combined(batch, "id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.list_(pa.int32())))], names=["id", "n_bytes", "n_removed", "kept", "spans"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return anchors.attach(rows, spans, "spans", 8).select("id", "text", "spans").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, kept binary, spans array<array<int>>")
+    return anchors.attach(rows, spans).select("id", "text", "spans").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, kept binary, spans array<array<int>>")
