@@ -5,34 +5,33 @@ candidates; then only the low ``BITS`` bits of each minimum are kept, packed int
 candidate pair is estimated from their bit counts, corrected for chance collisions. Pairs well under the threshold
 end there; the others are confirmed on the full shingle sets.
 
-A bucket of many near copies is not paired up. Its members are linked to a few pivots, and after each round only
-buckets whose members are in different components stay open: further pivots are taken until every two members are
-linked, are in one component anyway, or have been compared.
+A bucket of many near copies is not paired up: buckets that share documents are gathered, each document once, and
+inside a task a document only meets those that it isn't connected with yet. What leaves a task are the links of a
+spanning forest. Groups too large for a task are cut into chunks, and every two chunks meet in a task of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import combined, join_checked, join_groups, list_array, staged, text_slices
+from .shared import combined, join_groups, list_array, staged, text_slices
 
 SHINGLE = 5
 BITS = 2
 BANDS, ROWS = 25, 5
 MINIMA = 128
-#: Pairs whose estimate is this far under the threshold go no further: over six standard deviations of the estimate.
-MARGIN = 0.25
-PIVOTS = 8
+#: Pairs whose estimate is this far under the threshold go no further: over five standard deviations of the estimate.
+MARGIN = 0.2
+#: A task compares at most so many documents, or documents with so many shingles together, with each other.
+MOST_ROWS, MOST_SHINGLES = 4096, 1_000_000
 
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,21 +81,6 @@ def packed(m: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(lanes, dtype=np.uint64) * np.uint64(bits)), axis=2).view(np.int64)
 
 
-def estimate(a: Column, b: Column, bits: int = BITS) -> Column:
-    """Similarity of two packed signatures, corrected for minima that agree in their low bits by chance."""
-    lanes, mask = 64 // bits, sum(1 << i for i in range(0, 64, bits))
-    mask -= (1 << 64) if mask >= 1 << 63 else 0
-    unequal = F.lit(0)
-    for i in range(MINIMA // lanes):
-        x, step = a[i].bitwiseXOR(b[i]), 1
-        while step < bits:
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-            step *= 2
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(mask)))
-    chance = 2.0**-bits
-    return ((1 - unequal / MINIMA) - chance) / (1 - chance)
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, key, bands, sig) of (id, text); key names the shingle set (128 bits), null for an empty one."""
 
@@ -118,80 +102,99 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "id long, n_shingles long, key binary, bands array<long>, sig array<long>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    with_text = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-
-    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(cls: int, text: str) -> np.ndarray:
-            if cls not in known:
-                raw = np.frombuffer(text.encode(), np.uint8)
-                known[cls] = shingle_sets(raw, np.array([0, len(raw)]))[0]
-                if len(known) > 256:
-                    known.popitem(last=False)
-            return known[cls]
-
-        for part in parts:
-            out = []
-            for a, b, text_a, text_b in zip(*(combined(part, c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                x, y = of(a, text_a), of(b, text_b)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
-            columns = list(zip(*out, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
-
-    return with_text.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
-
+def links_of(texts: list[str], sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (positions) that join the texts into the components of all their links.
 
-def _links(classes: DataFrame, texts_of, percent: int, pivots: int) -> DataFrame | None:
+    Each text meets the later ones that are not in its component yet. Those whose estimate comes near the threshold are
+    confirmed on the full sets.
+    """
+    raw = [t.encode() for t in texts]
+    sets: list[np.ndarray] = []
+    lo = 0
+    while lo < len(raw):
+        hi, size = lo, 0
+        while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= 1 << 20):
+            size += len(raw[hi])
+            hi += 1
+        sets += shingle_sets(np.frombuffer(b"".join(raw[lo:hi]), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw[lo:hi]])])
+        lo = hi
+    sizes = np.array([len(x) for x in sets], np.int64)
+    component, found = np.arange(len(sets)), []
+    for x in range(len(sets) - 1):
+        rest = np.arange(x + 1, len(sets))
+        rest = rest[component[rest] != component[x]]
+        rest = rest[100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x])]
+        rest = rest[similarity(sigs[x], sigs[rest]) >= percent / 100 - MARGIN]
+        if not len(rest):
+            continue
+        flat, starts = np.concatenate([sets[y] for y in rest]), np.r_[0, np.cumsum(sizes[rest])][:-1]
+        at = np.minimum(np.searchsorted(sets[x], flat), sizes[x] - 1)
+        both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), starts)
+        for y in rest[100 * both >= percent * (sizes[x] + sizes[rest] - both)].tolist():
+            if component[y] != component[x]:
+                component[component == component[y]] = component[x]
+                found.append((x, y))
+    return found
+
+
+def similarity(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Similarity of packed signature ``a`` and each of ``b``, corrected for minima that agree in their low bits by chance."""
+    x = (a ^ b).view(np.uint64)
+    step = 1
+    while step < bits:
+        x = x | (x >> np.uint64(step))
+        step *= 2
+    lanes = x & np.uint64(sum(1 << i for i in range(0, 64, bits)))
+    agree, chance = 1 - np.bitwise_count(lanes).sum(axis=1, dtype=np.int64) / MINIMA, 2.0**-bits
+    return (agree - chance) / (1 - chance)
+
+
+def _blocks(classes: DataFrame, members: DataFrame, most_rows: int, most_shingles: int) -> DataFrame:
+    """(kind, key, i, j, cls): where each class meets others. Buckets that share classes form one group, in which every
+    class stands once; a group that is too much for one task goes by buckets, and such a bucket by pairs of chunks."""
+    pivots = members.groupBy("bucket").agg(F.min("cls").alias("b"))
+    groups = components(members.join(pivots.hint("merge"), "bucket").select(F.col("cls").alias("a"), "b"))
+    sized = staged(groups.select(F.col("node").alias("cls"), F.col("component").alias("group")).join(classes.select("cls", "n_shingles").hint("merge"), "cls"), "grouped")
+    total = sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("n") / most_rows), F.ceil(F.col("shingles") / most_shingles)).cast("int")
+    sized = staged(sized.join(total.select("group", parts.alias("parts")), "group"), "sized")
+    zero = F.lit(0)
+    whole = sized.filter("parts = 1").select(zero.alias("kind"), F.col("group").alias("key"), zero.alias("i"), zero.alias("j"), "cls")
+    large = members.join(sized.filter("parts > 1").select("cls", "n_shingles").hint("merge"), "cls")
+    chunks = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).select("bucket", parts.alias("parts"))
+    placed = large.join(chunks, "bucket").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    placed = placed.select("bucket", "cls", "c", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("o"))
+    return whole.unionByName(placed.select(F.lit(1).alias("kind"), F.col("bucket").alias("key"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "cls"))
+
+
+def _links(classes: DataFrame, rows: DataFrame, percent: int, most_rows: int, most_shingles: int) -> DataFrame | None:
     """(node, component) over the classes that have links; None if no two share a bucket."""
     spread = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = staged(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("pivot")).filter("n > 1").select("bucket", "pivot"), "buckets")
-    members = staged(join_checked(spread, shared, "bucket", "inner"), "members")
-    wanted = staged(members.select("cls").distinct(), "wanted")
-    if not wanted.take(1):
+    shared = staged(spread.groupBy("bucket").count().filter("count > 1").select("bucket"), "buckets")
+    members = staged(spread.join(shared.hint("merge"), "bucket"), "members")
+    if not members.take(1):
         return None
-    sigs = staged(join_checked(classes.select("cls", "sig"), wanted, "cls", "left_semi"), "sigs")
-    texts = texts_of(wanted)
-    least = percent / 100 - MARGIN
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b").filter(estimate(F.col("sig_a"), F.col("sig_b")) >= least)
-        return staged(_confirmed(near.select("a", "b"), texts, percent), "links")
-
-    star = members.filter("cls > pivot").groupBy("cls").agg(F.min("pivot").alias("a")).select("a", F.col("cls").alias("b"))
-    seen = staged(star, "pairs")
-    links = tested(seen)
-    done = None
-    while True:
-        labels = components(links)
-        labelled = members.select("bucket", "cls").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        inside = staged(labelled.join(mixed, "bucket", "left_semi"), "inside")
-        by_size = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        big = by_size.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("big"), (F.sum("n") - F.max("n")).alias("outside"))
-        state = inside.join(big, "bucket").withColumn("out", F.col("component") != F.col("big"))
-        state = state.join(done, ["bucket", "cls"], "left") if done is not None else state.withColumn("done", F.lit(None).cast("boolean"))
-        state = staged(state.withColumn("done", F.coalesce("done", F.lit(False))), "state")
-        still = state.groupBy("bucket").agg(F.bool_or(F.col("out") & ~F.col("done")).alias("open")).filter("open").select("bucket")
-        state = staged(state.join(still, "bucket", "left_semi"), "open")
-        if not state.take(1):
-            return labels
-        few = F.col("outside") <= pivots
-        order = Window.partitionBy("bucket").orderBy(F.when(few, ~F.col("out")).otherwise(F.col("out")), F.xxhash64("cls"), "cls")
-        chosen = staged(state.filter(~F.col("done") & (F.col("out") | ~few)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= pivots).select("bucket", F.col("cls").alias("p"), F.col("component").alias("pc")), "pivots")
-        pairs = state.join(chosen, "bucket").filter(F.col("component") != F.col("pc")).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
-        pairs = staged(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = seen.unionByName(pairs)
-        links = links.unionByName(tested(pairs))
-        more = chosen.select("bucket", F.col("p").alias("cls"), F.lit(True).alias("done"))
-        done = more if done is None else done.unionByName(more)
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, pivots: int = PIVOTS) -> DataFrame:
+    blocks = staged(_blocks(classes, members, most_rows, most_shingles).join(classes.select("cls", "sig", "n_shingles").hint("merge"), "cls"), "blocks")
+    bins = max(8, -(-(blocks.agg(F.sum("n_shingles")).first()[0] or 0) // (most_shingles // 4)))
+    bin_ = F.pmod(F.xxhash64("kind", "key", "i", "j"), F.lit(bins))
+    texts = rows.select(F.col("id").alias("cls"), "text").join(blocks.hint("merge"), "cls").withColumn("bin", bin_).repartition(min(bins, 100_000), "bin")
+
+    def test(table: pa.Table) -> pa.Table:
+        met: dict[tuple, list[dict]] = {}
+        for r in table.to_pylist():
+            met.setdefault((r["kind"], r["key"], r["i"], r["j"]), []).append(r)
+        out = []
+        for group in met.values():
+            group.sort(key=lambda r: r["cls"])
+            found = links_of([r["text"] for r in group], np.array([r["sig"] for r in group], np.int64), percent)
+            out += [(group[x]["cls"], group[y]["cls"]) for x, y in found]
+        columns = list(zip(*out, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+    return components(texts.groupBy("bin").applyInArrow(test, "a long, b long"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, most_rows: int = MOST_ROWS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """One row per document: id, n_shingles, component, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set has its distinct shingles of five words,
@@ -203,12 +206,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = staged(signatures(rows), "signatures")
     full = signed.filter("key IS NOT NULL AND id IS NOT NULL")
-    classes = staged(full.groupBy("key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        return staged(join_checked(rows.select(F.col("id").alias("cls"), "text"), wanted, "cls", "left_semi"), "texts")
+    classes = staged(full.groupBy("key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
 
-    labels = _links(classes, texts_of, percent, pivots)
+    labels = _links(classes, rows, percent, most_rows, most_shingles)
     named = classes.select("key", "cls", "size")
     named = named.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
     named = staged(named.select("key", "size", F.coalesce("component", "cls").alias("component")), "named")

@@ -12,10 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has at most this many rows and bytes; beyond, the join is shuffled.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 24 << 20
-
 #: Groups with more than 1/HOT_SHARE of all rows are joined by broadcast: there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 
@@ -40,17 +36,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 16) -> DataFrame:
-    """Equi-join that broadcasts ``right`` only if its counted size is under the bounds; else a shuffled join.
-
-    ``row_bytes`` is an upper bound for the size of a row of ``right``.
-    """
-    rows = right.count()
-    if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES:
-        return left.join(F.broadcast(right), on, how)
-    return left.join(right.hint("merge"), on, how)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Gives each row what its group has (one row of ``groups`` for each key, with the group's ``size``).
 
