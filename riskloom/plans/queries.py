@@ -697,3 +697,98 @@ def _(spark, d):
 @query("stream_quota")
 def _(spark, d):
     return _run(jobs.quota(_event_stream(spark, d).withColumn("tool_calls", F.col("event_id") % 4), {"3": 10_000}, 50_000), "append")
+
+
+# --- cases, caches and structure --------------------------------------------------------------------------------
+
+
+@query("advisory_cases", "SELECT 'advisory-ghsa-' || page_id AS case_id, '# T' || page_id || ' (GHSA-' || page_id || ')' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || 'Bad ' || page_id || chr(10) || 'end' || chr(10) || chr(10) || '## Packages' || chr(10) || chr(10) || '- p' || page_id || ' (npm): < 2' || CASE WHEN page_id % 2 = 0 THEN '; fixed in 2.1' ELSE '' END || chr(10) || chr(10) || '## Watch for' || chr(10) || chr(10) || 'p' || page_id AS body FROM pages WHERE page_id % 3 <> 0")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    k = F.col("page_id")
+    text = F.concat(F.lit("## Source: x (aa)\n\n# Bad "), k, F.lit("\n---\nend\ncredit: me\n"))
+    package = F.array(F.struct(F.concat(F.lit("p"), k).alias("name"), F.lit("npm").alias("ecosystem"), F.lit("< 2").alias("affected"), F.when(k % 2 == 0, "2.1").alias("patched")))
+    rows = table(spark, d, "pages").select(F.concat(F.lit("GHSA-"), k).alias("ghsa_id"), F.lit("malware").alias("type"), F.when(k % 3 != 0, F.concat(F.lit("T"), k)).alias("summary"), text.alias("description"), package.alias("packages"))
+    return N.advisory_cases(rows)
+
+
+@query("changed_cases", "SELECT p_name AS case_id, max(p_brand) AS body FROM part GROUP BY p_name HAVING max(p_brand) <> min(p_brand) OR min(p_partkey) % 2 = 1")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    g = table(spark, d, "part").groupBy("p_name").agg(F.max("p_brand").alias("hi"), F.min("p_brand").alias("lo"), (F.min("p_partkey") % 2).alias("odd"))
+    return N.changed_cases(g.filter("odd = 0").select(F.col("p_name").alias("case_id"), F.col("lo").alias("body")), g.select(F.col("p_name").alias("case_id"), F.col("hi").alias("body")))
+
+
+@query("cache_plan", """WITH w AS (SELECT o_custkey AS request, o_orderkey AS ord, o_orderkey % 900 AS k FROM orders), c AS (SELECT DISTINCT event_id % 900 AS k FROM events WHERE event_id % 3 = 0 AND event_id < 900 AND ts > TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOURS),
+r AS (SELECT w.*, c.k IS NOT NULL AS hit FROM w LEFT JOIN c ON w.k = c.k)
+SELECT request, ord, CASE WHEN hit THEN 'cache' WHEN sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY request ORDER BY ord) <= 4 THEN 'fetch' ELSE 'limit' END AS source FROM r""")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    name = lambda c: (F.lit("e").alias("ecosystem"), (c % 900).cast("string").alias("name"), F.lit("1").alias("version"))
+    wanted = table(spark, d, "orders").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("ord"), *name(F.col("o_orderkey")))
+    cache = table(spark, d, "events").filter("event_id % 3 = 0 AND event_id < 900").select(*name(F.col("event_id")), F.col("ts").cast("timestamp").alias("fetched_at"))
+    return N.cache_plan(wanted, cache, "2024-01-02 00:00:00", 4).select("request", "ord", "source")
+
+
+@query("blocked_changes", SCORES + "SELECT event_id, repo, author FROM scores s WHERE (CASE WHEN repo IN ('org/repo1', 'org/repo2') THEN 1 ELSE 2 END, author) IN (SELECT (c_nationkey % 2 + 1, 'u' || c_custkey) FROM customer WHERE c_custkey < 40)")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    s = scores(spark, d)
+    repos = s.select("repo").distinct().withColumn("org_id", F.when(F.col("repo").isin("org/repo1", "org/repo2"), 1).otherwise(2))
+    blocked = table(spark, d, "customer").filter("c_custkey < 40").select((F.col("c_nationkey") % 2 + 1).alias("org_id"), F.concat(F.lit("u"), "c_custkey").alias("login"))
+    return N.blocked_changes(s.select("event_id", "repo", "author"), repos, blocked).select("event_id", "repo", "author")
+
+
+@query("layer_details", SCORES + "SELECT event_id, 'static' AS layer, static_score AS score, static_skipped AS skipped, CASE WHEN event_id % 3 = 0 THEN 'why ' || event_id ELSE '' END AS justification, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE nature END AS nature FROM scores UNION ALL SELECT event_id, 'semantic', coalesce(semantic_score, 0), coalesce(semantic_skipped, true), 'said', NULL FROM scores")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    doc = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"static": {"justification": "why '), "event_id", F.lit('", "threat_nature": "x"}}')))
+    return N.layer_details(scores(spark, d).withColumn("findings_json", doc).withColumn("semantic_justification", F.lit("said")), ("static", "semantic"))
+
+
+@query("distinct_authors", "SELECT o_custkey % 50 AS diff_id, min(o_orderkey) AS ord, o_orderpriority AS email, 'n' || min(o_orderkey) AS name, 'l' || min(o_orderkey) AS login FROM orders GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY o_custkey % 50, o_orderpriority"))
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    k = F.col("o_orderkey")
+    return N.distinct_authors(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("diff_id"), k.alias("ord"), F.col("o_orderpriority").alias("email"), F.concat(F.lit("n"), k).alias("name"), F.concat(F.lit("l"), k).alias("login")))
+
+
+@query("signs_commits", "SELECT repo, bool_or(verified) AS signs FROM (SELECT user_id AS repo, event_id % 37 = 0 AS verified, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k <= 20 GROUP BY repo")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    return N.signs_commits(table(spark, d, "events").select(F.col("user_id").alias("repo"), "ts", (F.col("event_id") % 37 == 0).alias("verified")))
+
+
+@query("python_structure", "SELECT p_partkey AS id, 'a' AS imports, 3 AS first, CAST(4 + p_size % 5 AS INT) AS last, 'def f' || p_partkey || '():' AS symbol FROM part")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("import a\n\ndef f"), k, F.lit("():\n"), F.repeat(F.lit("    pass\n"), (F.col("p_size") % 5 + 1).cast("int")), F.lit("x = 1\n"))
+    out = N.python_structure(table(spark, d, "part").select(k.alias("id"), code.alias("content")))
+    return out.select("id", F.array_join("imports", ",").alias("imports"), F.col("ranges")[0]["start"].alias("first"), F.col("ranges")[0]["end"].alias("last"), N.symbols(F.col("content"), F.col("ranges"))[0].alias("symbol"))
+
+
+@query("indented_ranges", "SELECT p_partkey AS id, 2 AS n, 1 AS a, CAST(p_size % 5 + 3 AS INT) AS z FROM part")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    code = F.concat(F.lit("def a\n"), F.repeat(F.lit("  x\n"), (F.col("p_size") % 5 + 1).cast("int")), F.lit("end\n# note\ndef b\n  y\nend\n"))
+    r = N.indented_ranges(code)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.size(r).alias("n"), r[0]["start"].alias("a"), (r[0]["end"] - 1).alias("z"))
+
+
+@query("pushed_refs", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 1 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'create' ELSE 'update' END AS kind FROM orders WHERE o_orderkey % 7 <> 0")
+def _(spark, d):
+    k, zero = F.col("o_orderkey"), F.lit("0000000000")
+    sha = F.concat(F.lit("a1"), k)
+    line = F.concat_ws(" ", F.when(k % 3 == 0, zero).otherwise(sha), F.when(k % 3 == 1, zero).otherwise(sha), F.when(k % 7 != 0, F.concat(F.lit("r"), k)))
+    rows = D.pushed_refs(table(spark, d, "orders").select(line.alias("value")))
+    return rows.select(F.substr("ref", F.lit(2)).cast("long").alias("id"), "kind")
