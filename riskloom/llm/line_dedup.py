@@ -1,10 +1,11 @@
 """Line dedup by an exact set-similarity join.
 
 Tokens of a line are ordered by rarity (hashed corpus counts, ties by hash: any order that all lines share is
-exact). Two sets with Jaccard similarity over the threshold share a token of their prefixes; length and position of
-it rule out most candidates, and the rest are verified on their full sets. A line is removed if any earlier line
-matches, so one match is enough: a token that many lines share is not paired up. Its lines meet a few of the
-others in each round, the matched ones leave, and the fewer are left, the more they meet, up to all.
+exact). Two sets with Jaccard similarity over the threshold share a token of their prefixes; their lengths, the
+token's positions and a 64-bit parity sketch rule out most candidates, and the rest are verified on their full sets.
+A line is removed if any earlier line matches, so one match is enough: a token that many lines share is not paired
+up. Its lines meet the first of them, then a few of the others in each round; the matched ones leave, and the fewer
+are left, the more they meet, up to all.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .anchors import attach, keyed
-from .shared import combined, join_groups, staged, text_slices
+from .shared import combined, discard, join_groups, staged, text_slices
 
 #: The rarity table: so many one-byte counters, whatever the corpus; this is the size of the broadcast.
 SLOTS = 1 << 24
@@ -72,9 +73,10 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(id0, fp, line, n, key, prefix array<struct<token, pos>>) for each line with words; key names the set (128 bits).
+    """(id0, fp, line, n, key, sketch, prefix array<struct<token, pos>>) for each line with words; key names the set (128 bits).
 
-    Tokens that occur once in the corpus are left out of the prefix: no other line has them.
+    Bit i of the sketch is the parity of the tokens with hash i (mod 64), so two sketches differ in no more bits than
+    their sets in tokens. Tokens that occur once in the corpus are left out of the prefix: no other line has them.
     """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
@@ -83,12 +85,13 @@ def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
         for part in parts:
             ids, fps = combined(part, "id0").to_numpy(), combined(part, "fp").to_numpy()
             for lo, _, data, offsets in text_slices(combined(part, "text")):
-                at, lines, sizes, keys, tokens, places, lengths = [], [], [], [], [], [], []
+                at, lines, sizes, keys, sketches, tokens, places, lengths = [], [], [], [], [], [], [], []
                 for doc, line, tokens_ in line_sets(data, offsets):
                     at.append(doc + lo)
                     lines.append(line)
                     sizes.append(len(tokens_))
                     keys.append(hashlib.blake2b(tokens_.tobytes(), digest_size=16).digest())
+                    sketches.append(np.bitwise_xor.reduce(np.uint64(1) << (tokens_ >> np.uint64(58))))
                     k = prefix_size(len(tokens_), percent)
                     often = table[tokens_ & np.uint64(SLOTS - 1)]
                     rare = np.argsort(often, kind="stable")[:k]
@@ -99,68 +102,77 @@ def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 if at:
                     offset = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
                     pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], names=["token", "pos"])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(fps[at]), pa.array(lines, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offset, pairs)], names=["id0", "fp", "line", "n", "key", "prefix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(fps[at]), pa.array(lines, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.array(sketches, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offset, pairs)], names=["id0", "fp", "line", "n", "key", "sketch", "prefix"])
 
-    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, n int, key binary, prefix array<struct<token: long, pos: int>>")
+    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, n int, key binary, sketch long, prefix array<struct<token: long, pos: int>>")
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, tokens) of the classes in ``wanted`` (key, place), read again from their first lines."""
-    lists = staged(wanted.groupBy(F.col("place.id0").alias("id0"), F.col("place.fp").alias("fp")).agg(F.collect_list("place.line").alias("lines")), "lines")
+    """(cls, tokens) of the classes in ``wanted`` (cls, place), read again from their first lines."""
+    lists = staged(wanted.groupBy(F.col("place.id0").alias("id0"), F.col("place.fp").alias("fp")).agg(F.map_from_entries(F.collect_list(F.struct("place.line", "cls"))).alias("lines")), "lines")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            wanted_lines = combined(part, "lines").to_pylist()
+            names = [dict(x) for x in combined(part, "lines").to_pylist()]
             for lo, _, data, offsets in text_slices(combined(part, "text")):
-                keys, flat, sizes = [], [], []
-                for doc, line, tokens in line_sets(data, offsets):
-                    if line in wanted_lines[lo + doc]:
-                        keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                        flat.append(tokens)
-                        sizes.append(len(tokens))
-                if keys:
-                    offset = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offset, pa.array(np.concatenate(flat).view(np.int64)))], names=["key", "tokens"])
-
-    joined = attach(rows.select("id0", "fp", "text"), lists, "inner")
-    return staged(joined.select("text", "lines").mapInArrow(read, "key binary, tokens array<long>").dropDuplicates(["key"]), "sets")
-
-
-def matched(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame | None:
-    """(key): the classes of which an earlier class is similar. ``classes``: key, place, n, prefix, one row per set."""
-    spread = classes.filter(F.size("prefix") > 0).select("key", "place", "n", F.explode("prefix").alias("t")).select(F.col("t.token").alias("token"), "key", "place", "n", F.col("t.pos").alias("pos"))
-    several = staged(spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "tokens")
-    members = staged(spread.join(several.hint("merge"), "token"), "members")
-    wanted = staged(members.groupBy("key").agg(F.first("place").alias("place")), "wanted")
-    if not wanted.take(1):
-        return None
-    sets = sets_of(rows, wanted)
-    members = members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(_FRACTIONS)))
-    overlap = F.ceil(F.lit(percent) * (F.col("n2") + F.col("n")) / (100 + percent))  # tokens that similar sets of these sizes share at least
+                found = [(names[lo + doc][line], tokens) for doc, line, tokens in line_sets(data, offsets) if line in names[lo + doc]]
+                if found:
+                    offset = pa.array(np.r_[0, np.cumsum([len(t) for _, t in found])].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.ListArray.from_arrays(offset, pa.array(np.concatenate([t for _, t in found]).view(np.int64)))], names=["cls", "tokens"])
+
+    joined = attach(rows.select("id0", "fp", "text"), lists, "inner").select("text", "lines")
+    out = staged(joined.mapInArrow(read, "cls long, tokens array<long>"), "sets")
+    discard(lists)
+    return out
+
+
+def _similar(percent: int) -> Column:
+    """What holds for similar sets with a shared token: earlier is (cls2, n2, pos2, sketch2), later (cls, n, pos, sketch)."""
+    sizes = F.col("n2") + F.col("n")
+    overlap = F.ceil(F.lit(percent) * sizes / (100 + percent))  # tokens that similar sets of these sizes share at least
     reach = F.least(F.col("n2") - F.col("pos2"), F.col("n") - F.col("pos"))  # and how many there are from this one on
-    fits = (F.col("place2") < F.col("place")) & (100 * F.least(F.col("n2"), F.col("n")) >= percent * F.greatest(F.col("n2"), F.col("n"))) & (reach >= overlap)
-    state = staged(several.select("token", "size", F.lit(0).cast("long").alias("from"), F.col("size").alias("left")), "state")
-    found = None
-    probes = members
+    apart = F.bit_count(F.col("sketch2").bitwiseXOR(F.col("sketch")))  # at most the tokens that only one of them has
+    return (F.col("cls2") < F.col("cls")) & (100 * F.least("n2", "n") >= percent * F.greatest("n2", "n")) & (reach >= overlap) & (apart <= sizes - 2 * overlap)
+
+
+def matched(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(id0, fp, line): the first lines of the classes of which an earlier class is similar. ``classes``: cls (in the order of place), place, n, sketch, prefix."""
+    spread = classes.select("cls", "n", "sketch", F.explode("prefix").alias("t")).select(F.col("t.token").alias("token"), "cls", "n", F.col("t.pos").alias("pos"), "sketch")
+    first = F.min(F.struct("cls", "n", "pos", "sketch")).alias("f")
+    several = staged(spread.groupBy("token").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1"), "tokens")
+    members = staged(spread.join(several.hint("merge"), "token"), "members")
+    places = staged(classes.select("cls", "place"), "places")
+    discard(classes)
+    # every class meets the first one with each of its tokens
+    star = members.select("cls", "n", "pos", "sketch", F.col("f.cls").alias("cls2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"), F.col("f.sketch").alias("sketch2"))
+    pairs = star.filter(_similar(percent)).select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct()
+    state = several.select("token", "size", F.lit(0).cast("long").alias("from"), F.col("size").alias("left"))
+    probes, found, known = members.select("token", "cls", "n", "pos", "sketch", "size"), None, None
+    members = probes
+    part = F.pmod(F.xxhash64("cls"), F.lit(_FRACTIONS))
+    both = F.size(F.array_intersect("x", "y"))
     while True:
-        upto = F.least(F.lit(_FRACTIONS), F.ceil(F.col("from") + _FRACTIONS * F.greatest(F.lit(FEW), F.floor(F.lit(ROUND_PAIRS) / F.col("left"))) / F.col("size")).cast("long"))
-        window = state.select("token", "from", upto.alias("upto"))
-        index = members.select("token", "key", "place", "n", "pos", "part").join(window, "token").filter("part >= from AND part < upto").select("token", F.col("key").alias("key2"), F.col("place").alias("place2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-        pairs = probes.select(F.col("token").alias("at"), "key", "place", "n", "pos").join(index, (F.col("at") == F.col("token")) & fits).select(F.col("key2").alias("a"), F.col("key").alias("b")).distinct()
-        both = F.size(F.array_intersect("x", "y"))
-        near = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-        hits = staged(near.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("b").alias("key")).distinct(), "hits")
+        pairs = staged(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        new = ends if known is None else ends.join(known.select("cls"), "cls", "left_anti")
+        sets = sets_of(rows, places.join(new.hint("merge"), "cls"))
+        known = sets if known is None else known.unionByName(sets)
+        near = pairs.join(known.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(known.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
+        hits = staged(near.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("b").alias("cls")).distinct(), "hits")
         found = hits if found is None else found.unionByName(hits)
-        # the members not matched yet, of tokens with others still to meet
-        later = window.filter(F.col("upto") < _FRACTIONS)
-        if not later.take(1):
-            return found
-        rest = probes.join(later.select("token", "upto"), "token").drop("upto").join(hits, "key", "left_anti")
-        probes = staged(rest, "probes")
-        left = probes.groupBy("token").agg(F.count(F.lit(1)).alias("left"), F.first("size").alias("size"))
-        state = staged(left.join(later, "token").select("token", "size", F.col("upto").alias("from"), "left"), "state")
-        if not state.take(1):
-            return found
+        discard(pairs)
+        # the classes not matched yet, of tokens with others still to meet
+        rest = probes.join(hits, "cls", "left_anti").join(state.filter(F.col("from") < _FRACTIONS).select("token", "from"), "token")
+        probes = staged(rest.drop("from"), "probes")
+        left = probes.groupBy("token").agg(F.count(F.lit(1)).alias("left"))
+        upto = F.least(F.lit(_FRACTIONS), F.ceil(F.col("from") + _FRACTIONS * F.greatest(F.lit(FEW), F.floor(F.lit(ROUND_PAIRS) / F.col("left"))) / F.col("size")).cast("long"))
+        window = staged(state.drop("left").join(left, "token").withColumn("upto", upto), "window")
+        if not window.take(1):
+            return found.join(places, "cls").select("place.*")
+        index = members.join(window.select("token", "from", "upto"), "token").filter((part >= F.col("from")) & (part < F.col("upto")))
+        index = index.select(F.col("token").alias("at"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("sketch").alias("sketch2"))
+        pairs = probes.join(index, (F.col("at") == F.col("token")) & _similar(percent)).select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct()
+        state = window.select("token", "size", F.col("upto").alias("from"), "left")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, extra: Sequence[str] = ()) -> DataFrame:
@@ -176,13 +188,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs, id_col, text_col).select("id0", "fp", "text")
     whole = keyed(docs, id_col, text_col, extra)
     lines = staged(line_rows(rows, rarity(rows), percent), "lines")
-    classes = staged(lines.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id0", "fp", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    hit = matched(classes, rows, percent)
-    gone = classes.filter("copies > 1").select("key", "copies", "place")
-    again = join_groups(lines.select("key", "id0", "fp", "line"), gone, "key", "copies", lines.count())
-    removed = again.filter(F.struct("id0", "fp", "line") != F.col("place")).select("id0", "fp", "line")
-    if hit is not None:
-        removed = removed.unionByName(classes.join(hit.hint("merge"), "key", "left_semi").select("place.id0", "place.fp", "place.line"))
+    groups = lines.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id0", "fp", "line")).alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    sets = staged(groups, "sets")
+    again = join_groups(lines.select("key", "id0", "fp", "line"), sets.filter("copies > 1").select("key", "copies", "place"), "key", "copies", lines.count())
+    copies = staged(again.filter(F.struct("id0", "fp", "line") != F.col("place")).select("id0", "fp", "line"), "copies")
+    discard(lines)
+    order = sets.filter(F.size("prefix") > 0).select("place", "n", "sketch", "prefix").repartitionByRange("place").sortWithinPartitions("place")
+    classes = staged(order.withColumn("cls", F.monotonically_increasing_id()), "classes")  # fixed once it is written
+    discard(sets)
+    removed = copies.unionByName(matched(classes, rows, percent))
     lists = staged(removed.groupBy("id0", "fp").agg(F.collect_set("line").alias("gone")), "removed")
     split = F.split("text", "\n", -1)
     out = attach(whole, lists).withColumns({"lines": split, "gone": F.sort_array(F.coalesce("gone", F.array().cast("array<int>")))})

@@ -32,6 +32,8 @@ MINIMA = 128
 MARGIN = 0.2
 #: A task compares at most so many documents, or documents with so many shingles together, with each other.
 MOST_ROWS, MOST_SHINGLES = 4096, 1_000_000
+#: Groups of more documents than this count all their intersections at once.
+FEW = 24
 
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,6 +121,7 @@ def links_of(texts: list[str], sigs: np.ndarray, percent: int) -> list[tuple[int
         sets += shingle_sets(np.frombuffer(b"".join(raw[lo:hi]), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw[lo:hi]])])
         lo = hi
     sizes = np.array([len(x) for x in sets], np.int64)
+    shared = intersections(sets) if len(sets) > FEW else None
     component, found = np.arange(len(sets)), []
     for x in range(len(sets) - 1):
         rest = np.arange(x + 1, len(sets))
@@ -127,9 +130,7 @@ def links_of(texts: list[str], sigs: np.ndarray, percent: int) -> list[tuple[int
         rest = rest[similarity(sigs[x], sigs[rest]) >= percent / 100 - MARGIN]
         if not len(rest):
             continue
-        flat, starts = np.concatenate([sets[y] for y in rest]), np.r_[0, np.cumsum(sizes[rest])][:-1]
-        at = np.minimum(np.searchsorted(sets[x], flat), sizes[x] - 1)
-        both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), starts)
+        both = shared[x, rest].astype(np.int64) if shared is not None else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in rest])
         for y in rest[100 * both >= percent * (sizes[x] + sizes[rest] - both)].tolist():
             if component[y] != component[x]:
                 component[component == component[y]] = component[x]
@@ -137,6 +138,35 @@ def links_of(texts: list[str], sigs: np.ndarray, percent: int) -> list[tuple[int
     return found
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets (float32, exact below 2^24).
+
+    Shingles that a tenth of the sets have are counted by a matrix product, slice by slice; rarer ones by their pairs.
+    """
+    m = len(sets)
+    row = np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((m, m), np.float32)
+    common = df >= max(8, m // 10)
+    numbers = np.cumsum(common) - 1
+    mine = common[column]
+    dense_row, dense_column = row[mine], numbers[column[mine]]
+    for lo in range(0, int(common.sum()), 1024):
+        here = (dense_column >= lo) & (dense_column < lo + 1024)
+        block = np.zeros((m, 1024), np.float32)
+        block[dense_row[here], dense_column[here] - lo] = 1
+        out += block @ block.T
+    few = ~mine & (df[column] > 1)
+    order = np.argsort(column[few], kind="stable")
+    r, c = row[few][order].astype(np.int64), column[few][order]
+    flat, step = out.reshape(-1), 1
+    while len(same := np.flatnonzero(c[step:] == c[:-step])) if step < len(c) else 0:
+        np.add.at(flat, r[same] * m + r[same + step], np.float32(1))
+        np.add.at(flat, r[same + step] * m + r[same], np.float32(1))
+        step += 1
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Similarity of packed signature ``a`` and each of ``b``, corrected for minima that agree in their low bits by chance."""
     x = (a ^ b).view(np.uint64)
