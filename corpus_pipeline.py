@@ -28,7 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text comes out empty."""
     cut = line_dedup.line_dedup(docs, extra=[c for c in docs.columns if c not in ("doc_id", "text")])
     left = cut.filter((F.size("removed") == 0) | (packing.word_count(F.col("kept")) > 0))
-    columns = {"doc_id": F.col("id"), "text": F.col("kept"), "n_chars": F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept")).cast(docs.schema["n_chars"].dataType)}
+    # text stays nullable, as in the schema of documents
+    columns = {"doc_id": F.col("id"), "text": F.when(F.col("kept").isNotNull(), F.col("kept")), "n_chars": F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept")).cast(docs.schema["n_chars"].dataType)}
     return left.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
