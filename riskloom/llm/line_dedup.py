@@ -3,9 +3,9 @@
 Tokens of a line are ordered by rarity (hashed corpus counts, ties by hash: any order that all lines share is
 exact). Two sets with Jaccard similarity over the threshold share a token of their prefixes; their lengths, the
 token's positions and a 64-bit parity sketch rule out most candidates, and the rest are verified on their full sets.
-A line is removed if any earlier line matches, so one match is enough: a token that many lines share is not paired
-up. Its lines meet the first of them, then a few of the others in each round; the matched ones leave, and the fewer
-are left, the more they meet, up to all.
+A line is removed if any earlier line matches, so one match is enough: the lines of a token meet inside a task, and
+only the candidate with the nearest sketch leaves it and is verified. Lines for which it fails then meet all others.
+A token that more than MOST_ROWS lines share is cut into chunks; lines still unmatched meet the chunks one by one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -25,10 +25,12 @@ from .shared import combined, discard, join_groups, staged, text_slices
 #: The rarity table: so many one-byte counters, whatever the corpus; this is the size of the broadcast.
 SLOTS = 1 << 24
 _CHUNK = 1 << 12
-#: In each round every line meets at least FEW others of its token, and all lines of a token together about ROUND_PAIRS.
-FEW = 8
-ROUND_PAIRS = 20_000
-_FRACTIONS = 1 << 20
+#: At most about so many lines of a token, and of lines that ask for partners, meet in one block.
+MOST_ROWS = 4096
+#: Rows of blocks that one call sees, on average.
+_BIN_ROWS = 100_000
+#: Blocks of up to so many rows are compared all at once, larger ones one by one.
+_STEPS = 256
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -126,53 +128,103 @@ def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def _similar(percent: int) -> Column:
-    """What holds for similar sets with a shared token: earlier is (cls2, n2, pos2, sketch2), later (cls, n, pos, sketch)."""
-    sizes = F.col("n2") + F.col("n")
-    overlap = F.ceil(F.lit(percent) * sizes / (100 + percent))  # tokens that similar sets of these sizes share at least
-    reach = F.least(F.col("n2") - F.col("pos2"), F.col("n") - F.col("pos"))  # and how many there are from this one on
-    apart = F.bit_count(F.col("sketch2").bitwiseXOR(F.col("sketch")))  # at most the tokens that only one of them has
-    return (F.col("cls2") < F.col("cls")) & (100 * F.least("n2", "n") >= percent * F.greatest("n2", "n")) & (reach >= overlap) & (apart <= sizes - 2 * overlap)
+def candidates(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(earlier, later, apart): positions of an indexed and a later probing row of one block that may be similar.
+
+    ``rows`` is ordered by block and cls. Two sets with a shared token need a size ratio of ``percent`` hundredths, as
+    many tokens from this one on as they must share, and sketches no further apart than their other tokens.
+    """
+    n, pos, sketch, cls = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["sketch"].view(np.uint64), rows["cls"]
+    index, probe = rows["role"] & 1 > 0, rows["role"] & 2 > 0
+
+    def pick(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = index[a] & probe[b] & (cls[a] < cls[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        least = -(-percent * (n[a] + n[b]) // (100 + percent))
+        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
+        a, b, least = a[ok], b[ok], least[ok]
+        apart = np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int64)
+        ok = apart <= n[a] + n[b] - 2 * least
+        return a[ok], b[ok], apart[ok]
+
+    edge = np.flatnonzero(np.r_[True, rows["block"][1:] != rows["block"][:-1], True])
+    sizes = np.diff(edge)
+    end = np.repeat(edge[1:], sizes)
+    at = np.flatnonzero(np.repeat(sizes <= _STEPS, sizes))
+    step = 1
+    while len(at := at[at + step < end[at]]):
+        yield pick(at, at + step)
+        step += 1
+    for lo, hi in zip(edge[:-1][sizes > _STEPS].tolist(), edge[1:][sizes > _STEPS].tolist(), strict=True):
+        held, asked = lo + np.flatnonzero(index[lo:hi]), lo + np.flatnonzero(probe[lo:hi])
+        wide = max(1, (1 << 20) // max(len(held), 1))
+        for k in range(0, len(asked), wide):
+            yield pick(np.tile(held, len(asked[k : k + wide])), np.repeat(asked[k : k + wide], len(held)))
+
+
+def _met(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b) of the candidates in the blocks (token, c, p): all of them, or for each b the one with the nearest sketch."""
+    bins = int(max(8, min(100_000, blocks.count() // _BIN_ROWS)))
+    # whole blocks share a bin; a bin is what one call of the function sees
+    placed = blocks.withColumn("bin", F.pmod(F.xxhash64("token", "c", "p"), F.lit(bins)).cast("int")).repartition(bins, "bin")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(k, "ascending") for k in ("token", "c", "p", "cls")])
+        rows = {k: table.column(k).to_numpy() for k in ("token", "c", "p", "cls", "n", "pos", "sketch", "role")}
+        rows["block"] = np.cumsum(np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["c"][1:] != rows["c"][:-1]) | (rows["p"][1:] != rows["p"][:-1])])
+        cls, none = rows["cls"], np.iinfo(np.int64).max
+        nearest, all_a, all_b = np.full(len(cls), none), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b, apart in candidates(rows, percent):
+            if best:
+                np.minimum.at(nearest, b, (apart << 40) | a)
+            else:
+                all_a.append(cls[a])
+                all_b.append(cls[b])
+        if best:
+            b = np.flatnonzero(nearest < none)
+            score = nearest[b]
+            return pa.table({"apart": pa.array((score >> 40).astype(np.int32)), "a": pa.array(cls[score & ((1 << 40) - 1)]), "b": pa.array(cls[b])})
+        return pa.table({"apart": pa.array(np.zeros(sum(map(len, all_a)), np.int32)), "a": pa.array(np.concatenate(all_a)), "b": pa.array(np.concatenate(all_b))})
+
+    out = placed.groupBy("bin").applyInArrow(meet, "apart int, a long, b long")
+    return out.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("m.a", "b") if best else out.select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(cls): the later sets of the pairs that are similar on their full sets."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = sets_of(rows, places.join(ends.hint("merge"), "cls"))
+    both = F.size(F.array_intersect("x", "y"))
+    near = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
+    hits = staged(near.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("b").alias("cls")).distinct(), "hits")
+    discard(sets)
+    return hits
 
 
 def matched(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(id0, fp, line): the first lines of the classes of which an earlier class is similar. ``classes``: cls (in the order of place), place, n, sketch, prefix."""
     spread = classes.select("cls", "n", "sketch", F.explode("prefix").alias("t")).select(F.col("t.token").alias("token"), "cls", "n", F.col("t.pos").alias("pos"), "sketch")
-    first = F.min(F.struct("cls", "n", "pos", "sketch")).alias("f")
-    several = staged(spread.groupBy("token").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1"), "tokens")
-    members = staged(spread.join(several.hint("merge"), "token"), "members")
+    several = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("token", F.ceil(F.col("size") / MOST_ROWS).cast("int").alias("parts"))
+    chunk = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("c")
+    members = staged(spread.join(several.hint("merge"), "token").select("token", chunk, "cls", "n", "pos", "sketch", "parts"), "members")
     places = staged(classes.select("cls", "place"), "places")
     discard(classes)
-    # every class meets the first one with each of its tokens
-    star = members.select("cls", "n", "pos", "sketch", F.col("f.cls").alias("cls2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"), F.col("f.sketch").alias("sketch2"))
-    pairs = star.filter(_similar(percent)).select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct()
-    state = several.select("token", "size", F.lit(0).cast("long").alias("from"), F.col("size").alias("left"))
-    probes, found, known = members.select("token", "cls", "n", "pos", "sketch", "size"), None, None
-    members = probes
-    part = F.pmod(F.xxhash64("cls"), F.lit(_FRACTIONS))
-    both = F.size(F.array_intersect("x", "y"))
-    while True:
-        pairs = staged(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        new = ends if known is None else ends.join(known.select("cls"), "cls", "left_anti")
-        sets = sets_of(rows, places.join(new.hint("merge"), "cls"))
-        known = sets if known is None else known.unionByName(sets)
-        near = pairs.join(known.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(known.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-        hits = staged(near.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("b").alias("cls")).distinct(), "hits")
-        found = hits if found is None else found.unionByName(hits)
-        discard(pairs)
-        # the classes not matched yet, of tokens with others still to meet
-        rest = probes.join(hits, "cls", "left_anti").join(state.filter(F.col("from") < _FRACTIONS).select("token", "from"), "token")
-        probes = staged(rest.drop("from"), "probes")
-        left = probes.groupBy("token").agg(F.count(F.lit(1)).alias("left"))
-        upto = F.least(F.lit(_FRACTIONS), F.ceil(F.col("from") + _FRACTIONS * F.greatest(F.lit(FEW), F.floor(F.lit(ROUND_PAIRS) / F.col("left"))) / F.col("size")).cast("long"))
-        window = staged(state.drop("left").join(left, "token").withColumn("upto", upto), "window")
-        if not window.take(1):
-            return found.join(places, "cls").select("place.*")
-        index = members.join(window.select("token", "from", "upto"), "token").filter((part >= F.col("from")) & (part < F.col("upto")))
-        index = index.select(F.col("token").alias("at"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("sketch").alias("sketch2"))
-        pairs = probes.join(index, (F.col("at") == F.col("token")) & _similar(percent)).select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct()
-        state = window.select("token", "size", F.col("upto").alias("from"), "left")
+    zero = F.lit(0)
+    pairs = staged(_met(members.select("token", "c", zero.alias("p"), "cls", "n", "pos", "sketch", F.lit(3).alias("role")), percent, best=True), "nearest")
+    found = verified(pairs, places, rows, percent)
+    # not settled: sets whose nearest candidate is not similar, and those that haven't met all the lines of a token
+    rest = pairs.select(F.col("b").alias("cls")).union(members.filter("parts > 1").select("cls")).distinct().join(found.hint("merge"), "cls", "left_anti")
+    rest = staged(rest, "rest")
+    discard(pairs)
+    asking = staged(members.join(rest.hint("merge"), "cls"), "asking")
+    shares = staged(asking.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("shares")), "shares")
+    # a block holds a chunk of a token's lines and a share of those that ask
+    held = members.join(shares.hint("merge"), "token").select("token", "c", F.explode(F.sequence(zero, F.col("shares") - 1)).alias("p"), "cls", "n", "pos", "sketch", F.lit(1).alias("role"))
+    share = F.pmod(F.xxhash64(F.col("cls"), F.lit(1)), F.col("shares")).cast("int").alias("p")
+    asks = asking.join(shares.hint("merge"), "token").select("token", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("c"), share, "cls", "n", "pos", "sketch", F.lit(2).alias("role"))
+    pairs = staged(_met(staged(held.unionByName(asks), "blocks"), percent, best=False), "others")
+    found = found.unionByName(verified(pairs, places, rows, percent))
+    return found.join(places, "cls").select("place.*")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, extra: Sequence[str] = ()) -> DataFrame:

@@ -104,8 +104,8 @@ def brute_lines(docs, percent):
 
 @pytest.mark.parametrize("few", [8, 1])
 def test_line_dedup(spark, monkeypatch, few):
-    monkeypatch.setattr(line_dedup, "FEW", few)
-    monkeypatch.setattr(line_dedup, "ROUND_PAIRS", 20_000 if few == 8 else 1)
+    monkeypatch.setattr(line_dedup, "MOST_ROWS", 4096 if few == 8 else few)
+    monkeypatch.setattr(line_dedup, "_STEPS", 256 if few == 8 else 2)
     r = random.Random(4)
     words = [f"w{i}" for i in range(30)]
     base = [" ".join(r.sample(words, r.randint(1, 12))) for _ in range(12)]
