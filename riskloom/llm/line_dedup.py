@@ -48,20 +48,23 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
-    """Counts (at most 255) of the words by hash slot: SLOTS bytes, gathered as finished chunks."""
+    """How often the words of each hash slot occur, on a log scale: SLOTS bytes, gathered as finished chunks.
+
+    0 is never, 1 once, n times 1 + 8 log2(n) rounded down, so that rarity still tells words apart in large corpora.
+    """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             slots = [W.Words(data, offsets).hash & np.uint64(SLOTS - 1) for _, _, data, offsets in text_slices(combined(part, "text"))]
             slot, n = np.unique(np.concatenate(slots) if slots else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(np.minimum(n, 255).astype(np.int32))], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
     def chunk(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(_CHUNK, np.uint8)
         out[table.column("slot").to_numpy() % _CHUNK] = table.column("n").to_numpy()
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
 
-    counts = rows.select("text").mapInArrow(count, "slot int, n int").groupBy("slot").agg(F.least(F.sum("n"), F.lit(255)).cast("int").alias("n"))
+    counts = rows.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.least(1 + F.floor(8 * F.log2(F.sum("n"))), F.lit(255)).cast("int").alias("n"))
     table = counts.withColumn("chunk", F.floor(F.col("slot") / _CHUNK).cast("int")).groupBy("chunk").applyInArrow(chunk, "chunk int, counts binary").toArrow()
     out = np.zeros(SLOTS, np.uint8)
     for c, b in zip(table.column("chunk").to_pylist(), table.column("counts").to_pylist(), strict=True):
@@ -162,9 +165,9 @@ def candidates(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.n
             yield pick(np.tile(held, len(asked[k : k + wide])), np.repeat(asked[k : k + wide], len(held)))
 
 
-def _met(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(a, b) of the candidates in the blocks (token, c, p): all of them, or for each b the one with the nearest sketch."""
-    bins = int(max(8, min(100_000, blocks.count() // _BIN_ROWS)))
+def _met(blocks: DataFrame, about: int, percent: int, best: bool) -> DataFrame:
+    """(a, b) of the candidates in the ``about`` rows of blocks (token, c, p): all, or for each b that with the nearest sketch."""
+    bins = int(max(8, min(100_000, about // _BIN_ROWS)))
     # whole blocks share a bin; a bin is what one call of the function sees
     placed = blocks.withColumn("bin", F.pmod(F.xxhash64("token", "c", "p"), F.lit(bins)).cast("int")).repartition(bins, "bin")
 
@@ -210,7 +213,7 @@ def matched(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     places = staged(classes.select("cls", "place"), "places")
     discard(classes)
     zero = F.lit(0)
-    pairs = staged(_met(members.select("token", "c", zero.alias("p"), "cls", "n", "pos", "sketch", F.lit(3).alias("role")), percent, best=True), "nearest")
+    pairs = staged(_met(members.select("token", "c", zero.alias("p"), "cls", "n", "pos", "sketch", F.lit(3).alias("role")), members.count(), percent, best=True), "nearest")
     found = verified(pairs, places, rows, percent)
     # not settled: sets whose nearest candidate is not similar, and those that haven't met all the lines of a token
     rest = pairs.select(F.col("b").alias("cls")).union(members.filter("parts > 1").select("cls")).distinct().join(found.hint("merge"), "cls", "left_anti")
@@ -222,7 +225,7 @@ def matched(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     held = members.join(shares.hint("merge"), "token").select("token", "c", F.explode(F.sequence(zero, F.col("shares") - 1)).alias("p"), "cls", "n", "pos", "sketch", F.lit(1).alias("role"))
     share = F.pmod(F.xxhash64(F.col("cls"), F.lit(1)), F.col("shares")).cast("int").alias("p")
     asks = asking.join(shares.hint("merge"), "token").select("token", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("c"), share, "cls", "n", "pos", "sketch", F.lit(2).alias("role"))
-    pairs = staged(_met(staged(held.unionByName(asks), "blocks"), percent, best=False), "others")
+    pairs = staged(_met(held.unionByName(asks), members.count() + asking.count(), percent, best=False), "others")
     found = found.unionByName(verified(pairs, places, rows, percent))
     return found.join(places, "cls").select("place.*")
 
