@@ -1,9 +1,10 @@
 """Packing into length buckets that waste the least padding, and batches under a token budget.
 
-The global histogram of lengths has at most BINS bins. Dynamic programming over it chooses up to ``buckets`` upper
-bounds; every document is padded to the bound of its bucket. Inside a bucket documents stand by length, and as
-many as the budget holds at that bound form a batch. Positions come from counts of small chunks, so that no bucket and
-no length, however common, is sorted in one task.
+The histogram of lengths up to the token budget has one bin for each length. Dynamic programming over it chooses up to
+``buckets`` upper bounds; every such document is padded to the bound of its bucket. Longer documents stand alone in a
+batch anyway: they form one more bucket, have no part in the choice of bounds and are not padded. Inside a bucket
+documents stand by length, and as many as the budget holds at that bound form a batch. Positions come from counts of
+small chunks, so that no bucket and no length, however common, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-#: The histogram that the driver gets has at most so many bins; longer lengths share bins of equal width.
+#: The histogram that the driver gets has so many bins for lengths from 1 to the budget; only where the budget is larger do lengths share bins.
 BINS = 16_384
 BUCKETS = 12
 TOKEN_BUDGET = 16_384
@@ -66,34 +67,35 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buck
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, bins: int = BINS) -> DataFrame:
-    """One row per document: id, n_tokens, bucket, padded (the bucket's bound), batch (from 0 in each bucket), slot.
+    """One row per document: id, n_tokens, bucket, padded (the bucket's bound, or a longer document's own length), batch (from 0 in each bucket), slot.
 
     ``tokens`` is the length (words of the text unless given; null or less than 0 counts as 0). A batch has
     ``budget`` // padded documents, at least one; only the last batch of a bucket may have fewer. Documents longer than
-    the budget stand alone, uncut. Documents without tokens are packed like others. Inside a bucket documents
-    stand by length bin, then by id; which of two rows that repeat an id comes first is not defined.
+    the budget stand alone, uncut, in a bucket after those of all others and by id. Documents without tokens are packed
+    like others. Inside a bucket documents stand by length bin, then by id; which of two rows that repeat an id comes first is not defined.
     """
     text = F.coalesce(F.col(text_col), F.lit("")) if text_col in docs.columns else F.lit("")
     length = F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)) if tokens is not None else word_count(F.col(text_col))
     rows = staged(docs.select(F.col(id_col).alias("id"), length.alias("n_tokens"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("place")), "lengths")
-    longest = rows.agg(F.max("n_tokens")).first()[0]
-    width = max(1, -(-((longest or 0) + 1) // bins))
-    rows = rows.withColumn("bin", F.ceil(F.col("n_tokens") / width).cast("long") * width).withColumn("chunk", F.shiftright("place", 16))
+    width, over = max(1, -(-budget // bins)), budget + 1  # by the parameters alone, so that no document changes another's bin
+    ordinary = F.least(F.ceil(F.col("n_tokens") / width).cast("long") * width, F.lit(budget))
+    rows = rows.withColumn("bin", F.when(F.col("n_tokens") > budget, over).otherwise(ordinary).cast("long")).withColumn("chunk", F.shiftright("place", 16))
     chunks = staged(rows.groupBy("bin", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")), "chunks")
     hist = sorted((r.bin, r.n, r.tokens) for r in chunks.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect())
-    bounds = boundaries(*(np.array([h[i] for h in hist], np.int64) for i in range(3)), buckets)
-    plan, b, offset = [], 0, 0
-    for length_, n, _ in hist:
+    short = [h for h in hist if h[0] < over]
+    bounds = boundaries(*(np.array([h[i] for h in short], np.int64) for i in range(3)), buckets)
+    plan, b, offset = [(over, len(bounds), None, 0)], 0, 0
+    for length_, n, _ in short:
         while length_ > bounds[b]:
             b, offset = b + 1, 0
         plan.append((length_, b, bounds[b], offset))
         offset += n
     spark = docs.sparkSession
-    bins_ = F.broadcast(spark.createDataFrame(plan, "bin long, bucket int, padded long, bin_offset long"))  # at most ``bins`` rows
+    bins_ = F.broadcast(spark.createDataFrame(plan, "bin long, bucket int, bound long, bin_offset long"))  # at most ``bins`` + 2 rows
     before = F.sum("n").over(Window.partitionBy("bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select("bin", "chunk", F.coalesce(before, F.lit(0)).alias("chunk_offset")).join(bins_, "bin")
     inside = F.row_number().over(Window.partitionBy("bin", "chunk").orderBy("place")) - 1
     rank = F.col("bin_offset") + F.col("chunk_offset") + F.col("inside")
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("padded", F.lit(1)))).cast("long")
-    placed = rows.join(offsets.hint("merge"), ["bin", "chunk"]).withColumn("inside", inside).withColumns({"rank": rank, "room": room})
+    placed = rows.join(offsets.hint("merge"), ["bin", "chunk"]).withColumns({"inside": inside, "padded": F.coalesce("bound", "n_tokens")}).withColumns({"rank": rank, "room": room})
     return placed.select("id", "n_tokens", "bucket", "padded", F.floor(F.col("rank") / F.col("room")).alias("batch"), (F.col("rank") % F.col("room")).alias("slot"))

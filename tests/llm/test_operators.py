@@ -275,6 +275,24 @@ def test_pack(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_pack_with_outliers(spark):
+    import itertools
+
+    r = random.Random(6)
+    short = [(i, r.randint(0, 30)) for i in range(300)]
+    long = [(1000, 10_000_000), (1001, 20_000), (1002, 20_000)]
+    pack = lambda rows: {x.id: x for x in packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), tokens=F.col("n"), buckets=3).collect()}
+    got, alone = pack(short + long), pack(short)
+    assert all(got[i] == alone[i] for i, _ in short) and len(got) == len(short) + len(long)
+    distinct = sorted({n for _, n in short})
+    waste = lambda bounds: sum(min(b for b in bounds if b >= n) - n for _, n in short)
+    best = min(waste((*inner, distinct[-1])) for m in range(3) for inner in itertools.combinations(distinct[:-1], m))
+    assert sum(got[i].padded - n for i, n in short) == best
+    assert all(got[i].padded == n and got[i].slot == 0 for i, n in long)
+    assert len({(got[i].bucket, got[i].batch) for i, _ in long}) == 3 and not {got[i].bucket for i, _ in long} & {got[i].bucket for i, _ in short}
+    assert [(x.bucket, x.padded, x.slot) for x in pack(long[:1]).values()] == [(0, 10_000_000, 0)]
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------
 
 
