@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.staging import staged
+
+#: So many queries, about, are broadcast at once.
+QUERY_BLOCK = 1024
 
 
 def normalised(name: Column) -> Column:
@@ -66,19 +72,28 @@ def shared_literal_edges(literals: DataFrame, group: str, node: str, literal: st
     return x.join(y, (x[group] == y.g2) & (x.lit == y.lit2) & (x.a < y.b)).select(group, "a", "b").distinct()
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", keep: list[str] | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", keep: list[str] | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, id, rank, ...): the k nearest items of each query by cosine distance, ties by id; exact.
 
-    ``queries`` is the small side. Each task keeps the best k of each query before anything is shuffled.
+    Queries meet all items in blocks of about ``block``, dealt by id, one after the other: what is broadcast at once has a
+    bound, however many queries there are. Each task keeps the best k of each query before anything is shuffled.
     """
     keep = keep or []
     unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"), unit(F.col(vec_col)).alias("qn"))
     i = items.select(F.col(id_col).alias("id"), *keep, F.col(vec_col).alias("iv"), unit(F.col(vec_col)).alias("inorm"))
     dot = F.aggregate(F.zip_with("qv", "iv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = i.join(F.broadcast(q)).select("query", "id", *keep, (1 - dot / (F.col("qn") * F.col("inorm"))).alias("distance"))
     order = Window.partitionBy("query").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def ranked(part: DataFrame) -> DataFrame:
+        scored = i.join(F.broadcast(part)).select("query", "id", *keep, (1 - dot / (F.col("qn") * F.col("inorm"))).alias("distance"))
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return ranked(q)
+    own = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [staged(ranked(q.filter(own == b))) for b in range(blocks)])
 
 
 def diversified_top_k(ranked: DataFrame, k: int, case_col: str) -> DataFrame:

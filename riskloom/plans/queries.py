@@ -460,9 +460,13 @@ _NORM = lambda t: f"sqrt(list_sum(list_transform({t}.embedding, lambda z: z::DOU
 _RANKED = f"r AS (SELECT q.vec_id AS query, i.vec_id AS id, i.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {_DOT} / ({_NORM('q')} * {_NORM('i')}), i.vec_id) AS rank FROM embeddings i, (SELECT * FROM embeddings WHERE vec_id IN (0, 7, 33)) q)"
 
 
-def _ranked(spark, d, k):
+_THREE, _HUNDREDTH = "vec_id IN (0, 7, 33)", "vec_id % 100 = 0"
+_RANKED_FULL = _RANKED.replace(_THREE, _HUNDREDTH)
+
+
+def _ranked(spark, d, k, which=_THREE):
     e = table(spark, d, "embeddings")
-    return matching.top_k(e.filter("vec_id IN (0, 7, 33)"), e, k, keep=["label"])
+    return matching.top_k(e.filter(which), e, k, keep=["label"])
 
 
 @query("vector_top_k", f"WITH {_RANKED} SELECT query, id, rank FROM r WHERE rank <= 10")
@@ -470,6 +474,11 @@ def _(spark, d):
     return _ranked(spark, d, 10).select("query", "id", "rank")
 
 
+@query("vector_top_k_full", SQL["vector_top_k"].replace(_RANKED, _RANKED_FULL))
+def _(spark, d):
+    return _ranked(spark, d, 10, _HUNDREDTH).select("query", "id", "rank")
+
+
 _DIV = "v AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY rank) AS n FROM r WHERE rank <= 15) WHERE n = 1))"
 
 
@@ -478,6 +487,11 @@ def _(spark, d):
     return matching.diversified_top_k(_ranked(spark, d, 15), 5, "label").select("query", "id", "label", "place")
 
 
+@query("vector_diversified_full", SQL["vector_diversified"].replace(_RANKED, _RANKED_FULL))
+def _(spark, d):
+    return matching.diversified_top_k(_ranked(spark, d, 15, _HUNDREDTH), 5, "label").select("query", "id", "label", "place")
+
+
 @query("vector_reserved_slot", f"WITH {_RANKED} SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY s, rank) AS place FROM (SELECT query, id, rank, 0 AS s FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS n FROM r WHERE label = 3) WHERE n <= 1 UNION ALL SELECT query, id, rank, 1 FROM r WHERE rank <= 4) QUALIFY place <= 5")
 def _(spark, d):
     e = table(spark, d, "embeddings")
@@ -485,6 +499,13 @@ def _(spark, d):
     return matching.with_reserved(fb, _ranked(spark, d, 4), 1, 5).select("query", "id", "place")
 
 
+@query("vector_reserved_slot_full", SQL["vector_reserved_slot"].replace(_RANKED, _RANKED_FULL))
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    fb = matching.top_k(e.filter(_HUNDREDTH), e.filter("label = 3"), 1)
+    return matching.with_reserved(fb, _ranked(spark, d, 4, _HUNDREDTH), 1, 5).select("query", "id", "place")
+
+
 @query("rule_hits", "SELECT doc_id, 'license' AS rule_id, 60 AS score FROM documents WHERE regexp_matches(text, '(?i)license') UNION ALL SELECT doc_id, 'address', 30 FROM documents WHERE regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')")
 def _(spark, d):
     from ..sources.corpus import rules_from_catalog

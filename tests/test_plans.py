@@ -56,6 +56,18 @@ def test_rate_limit_does_not_record_rejections(spark, tmp_path):
     assert [got["a", t] for t in ("00:00", "00:01", "00:02", "00:03", "00:59", "01:01")] == [True, True, False, False, False, True]
 
 
+def test_top_k_in_blocks(spark):
+    from riskloom.operators import matching
+
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query", "id", "rank").collect())
+    q = e.filter("vec_id % 10 = 0")
+    blocks = matching.top_k(q, e, 5, block=7)
+    assert rows(blocks) == rows(matching.top_k(q, e, 5)) and len(rows(blocks)) == 5 * q.count()
+    got = Q.QUERIES["vector_top_k_full"](spark, SF)
+    assert {r["query"] for r in got.collect()} == {r.vec_id for r in e.filter("vec_id % 100 = 0").collect()}
+
+
 def test_consecutive_errors(spark):
     polls = spark.createDataFrame([("r", i, i == 2) for i in range(8)] + [("s", 0, False)], "repo string, ts int, ok boolean")
     assert {(r.repo, r.errors, r.status) for r in H.consecutive_errors(polls).collect()} == {("r", 5, "error"), ("s", 1, "ok")}
