@@ -103,6 +103,12 @@ def _(spark, d):
     return H.authors_with_prior_risk(s.filter("score < 10").select("repo", "pr_number", "author", "event_id"), s, 99)
 
 
+@query("prior_risk_authors_full", SCORES + f"SELECT repo, pr_number, author, event_id FROM scores a WHERE EXISTS (SELECT 1 FROM scores b WHERE b.author = a.author AND b.score >= {K.RED} AND NOT (b.repo = a.repo AND b.pr_number = a.pr_number))")
+def _(spark, d):
+    s = scores(spark, d)
+    return H.authors_with_prior_risk(s.select("repo", "pr_number", "author", "event_id"), s)
+
+
 _OPEN = "o AS (SELECT 'org/repo' || (o_custkey % 7) AS repo, o_orderkey % 700 AS pr_number FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL)"
 
 

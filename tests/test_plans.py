@@ -68,6 +68,17 @@ def test_top_k_in_blocks(spark):
     assert {r["query"] for r in got.collect()} == {r.vec_id for r in e.filter("vec_id % 100 = 0").collect()}
 
 
+def test_prior_risk_of_all_changes(spark):
+    s = Q.scores(spark, SF).collect()
+    risky = {}
+    for r in s:
+        if r.score >= 70:
+            risky.setdefault(r.author, set()).add((r.repo, r.pr_number))
+    want = sorted(r.event_id for r in s if risky.get(r.author, set()) - {(r.repo, r.pr_number)})
+    assert sorted(r.event_id for r in Q.QUERIES["prior_risk_authors_full"](spark, SF).collect()) == want
+    assert any(r.score >= 10 and r.event_id in set(want) for r in s)
+
+
 def test_consecutive_errors(spark):
     polls = spark.createDataFrame([("r", i, i == 2) for i in range(8)] + [("s", 0, False)], "repo string, ts int, ok boolean")
     assert {(r.repo, r.errors, r.status) for r in H.consecutive_errors(polls).collect()} == {("r", 5, "error"), ("s", 1, "ok")}
