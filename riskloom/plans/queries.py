@@ -760,6 +760,18 @@ def _(spark, d):
     return N.cache_plan(wanted, cache, "2024-01-02 00:00:00", 4).select("request", "ord", "source")
 
 
+@query("cache_plan_full", """WITH w AS (SELECT o_custkey AS request, o_orderkey AS ord, o_orderkey AS k FROM orders), c AS (SELECT DISTINCT event_id AS k FROM events WHERE ts > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 24 HOURS),
+r AS (SELECT w.*, c.k IS NOT NULL AS hit FROM w LEFT JOIN c ON w.k = c.k)
+SELECT request, ord, CASE WHEN hit THEN 'cache' WHEN sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY request ORDER BY ord) <= 4 THEN 'fetch' ELSE 'limit' END AS source FROM r""")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    name = lambda c: (F.lit("e").alias("ecosystem"), c.cast("string").alias("name"), F.lit("1").alias("version"))
+    wanted = table(spark, d, "orders").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("ord"), *name(F.col("o_orderkey")))
+    cache = table(spark, d, "events").select(*name(F.col("event_id")), F.col("ts").cast("timestamp").alias("fetched_at"))
+    return N.cache_plan(wanted, cache, "2024-01-20 12:00:00", 4).select("request", "ord", "source")
+
+
 @query("blocked_changes", SCORES + "SELECT event_id, repo, author FROM scores s WHERE (CASE WHEN repo IN ('org/repo1', 'org/repo2') THEN 1 ELSE 2 END, author) IN (SELECT (c_nationkey % 2 + 1, 'u' || c_custkey) FROM customer WHERE c_custkey < 40)")
 def _(spark, d):
     from ..operators import knowledge as N
@@ -770,6 +782,16 @@ def _(spark, d):
     return N.blocked_changes(s.select("event_id", "repo", "author"), repos, blocked).select("event_id", "repo", "author")
 
 
+@query("blocked_changes_full", SQL["blocked_changes"].replace(" WHERE c_custkey < 40", ""))
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    s = scores(spark, d)
+    repos = s.select("repo").distinct().withColumn("org_id", F.when(F.col("repo").isin("org/repo1", "org/repo2"), 1).otherwise(2))
+    blocked = table(spark, d, "customer").select((F.col("c_nationkey") % 2 + 1).alias("org_id"), F.concat(F.lit("u"), "c_custkey").alias("login"))
+    return N.blocked_changes(s.select("event_id", "repo", "author"), repos, blocked).select("event_id", "repo", "author")
+
+
 @query("layer_details", SCORES + "SELECT event_id, 'static' AS layer, static_score AS score, static_skipped AS skipped, CASE WHEN event_id % 3 = 0 THEN 'why ' || event_id ELSE '' END AS justification, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE nature END AS nature FROM scores UNION ALL SELECT event_id, 'semantic', coalesce(semantic_score, 0), coalesce(semantic_skipped, true), 'said', NULL FROM scores")
 def _(spark, d):
     from ..operators import knowledge as N

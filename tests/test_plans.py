@@ -79,6 +79,15 @@ def test_prior_risk_of_all_changes(spark):
     assert any(r.score >= 10 and r.event_id in set(want) for r in s)
 
 
+def test_cache_and_block_list_of_all_rows(spark):
+    plan = Q.QUERIES["cache_plan_full"](spark, SF).collect()
+    assert {r.source for r in plan} == {"cache", "fetch", "limit"} and max(r.ord for r in plan if r.source == "cache") >= 900
+    more = "/root/testdata/sf0.01"  # the smallest tables have 15 users
+    blocked = {int(r.author[1:]) for r in Q.QUERIES["blocked_changes_full"](spark, more).select("author").distinct().collect()}
+    users = {r.user_id for r in Q.table(spark, more, "events").select("user_id").distinct().collect()}
+    assert max(blocked) >= 40 and blocked < users
+
+
 def test_consecutive_errors(spark):
     polls = spark.createDataFrame([("r", i, i == 2) for i in range(8)] + [("s", 0, False)], "repo string, ts int, ok boolean")
     assert {(r.repo, r.errors, r.status) for r in H.consecutive_errors(polls).collect()} == {("r", 5, "error"), ("s", 1, "ok")}
