@@ -127,8 +127,8 @@ def _(spark, d):
     return H.closed_changes(_open_changes(spark, d), scores(spark, d))
 
 
-def _findings(spark, d):
-    return table(spark, d, "lineitem").select(F.concat(F.lit("rule"), F.col("l_suppkey") % 9).alias("rule_id"), F.concat(F.lit("f"), F.col("l_partkey") % 50).alias("path"), F.col("l_returnflag").alias("severity"), F.col("l_linestatus").alias("message"), "l_orderkey", "l_linenumber")
+def _findings(spark, d, file="l_partkey % 50"):
+    return table(spark, d, "lineitem").select(F.concat(F.lit("rule"), F.col("l_suppkey") % 9).alias("rule_id"), F.concat(F.lit("f"), F.expr(file)).alias("path"), F.col("l_returnflag").alias("severity"), F.col("l_linestatus").alias("message"), "l_orderkey", "l_linenumber")
 
 
 @query("verify_fix", """WITH f AS (SELECT 'rule' || (l_suppkey % 9) AS rule_id, 'f' || (l_partkey % 50) AS path, l_returnflag AS severity, l_linestatus AS message, l_orderkey FROM lineitem),
@@ -140,6 +140,15 @@ def _(spark, d):
     return H.verify_fix(part("l_orderkey % 2 = 0"), part("l_orderkey % 11 = 1"))
 
 
+@query("verify_fix_full", """WITH f AS (SELECT 'rule' || (l_suppkey % 9) AS rule_id, 'f' || l_partkey AS path, l_returnflag AS severity, l_linestatus AS message, l_orderkey FROM lineitem),
+a AS (SELECT DISTINCT rule_id, path, severity, message FROM f WHERE l_orderkey % 2 = 0), b AS (SELECT rule_id, path, severity, message FROM f WHERE l_orderkey % 2 = 1)
+SELECT *, 'resolved' AS status, sha256(concat_ws(':', rule_id, path, severity, message)) AS signature FROM a WHERE (rule_id, path, severity, message) NOT IN (SELECT (rule_id, path, severity, message) FROM b) UNION ALL SELECT *, 'remaining', sha256(concat_ws(':', rule_id, path, severity, message)) FROM b""")
+def _(spark, d):
+    f = _findings(spark, d, "l_partkey")
+    part = lambda c: f.filter(c).select("rule_id", "path", "severity", "message")
+    return H.verify_fix(part("l_orderkey % 2 = 0"), part("l_orderkey % 2 = 1"))
+
+
 @query("tokens_by_org", "SELECT 'org' || (user_id % 4) AS org_id, strftime(ts, '%Y-%m') AS month, CAST(sum(event_id % 97) AS BIGINT) AS tokens_used FROM events GROUP BY ALL")
 def _(spark, d):
     return H.tokens_by_org(table(spark, d, "events").select(F.concat(F.lit("org"), F.col("user_id") % 4).alias("org_id"), F.date_format("ts", "yyyy-MM").alias("month"), (F.col("event_id") % 97).alias("tokens_used")))
@@ -197,6 +206,12 @@ def _(spark, d):
     return M.insert_unseen(p.filter("p_partkey % 2 = 0 AND p_size < 3"), p.filter("p_partkey % 2 = 1").select("p_partkey", "p_name"), "p_name", "p_partkey")
 
 
+@query("insert_unseen_rules_full", "WITH p AS (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_size) AS p_name FROM part) SELECT min(p_partkey) AS p_partkey, p_name FROM p WHERE p_partkey % 2 = 1 AND p_name NOT IN (SELECT p_name FROM p WHERE p_partkey % 2 = 0) GROUP BY p_name")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_size").alias("p_name"))
+    return M.insert_unseen(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), "p_name", "p_partkey")
+
+
 @query("effective_settings", "SELECT CAST(c_custkey AS VARCHAR) AS repo, 'n' || c_nationkey AS org, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 50 END, CASE WHEN c_nationkey % 2 = 0 THEN 60 END, 70) AS red, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 20 END, 40) AS yellow FROM customer")
 def _(spark, d):
     repos = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("repo"), F.concat(F.lit("n"), "c_nationkey").alias("org"), "c_custkey")
@@ -453,9 +468,18 @@ t AS (SELECT ecosystem, name, arg_min(ref, ord) AS t FROM d JOIN r ON d.eco = r.
 c AS (SELECT ecosystem, name, arg_min(ref, ord) AS c FROM d JOIN (SELECT *, replace(lower(ref), '_', '-') || unnest([{_SUF}]) AS long FROM r) r ON d.eco = r.eco AND norm = long GROUP BY ALL)
 SELECT ecosystem, name, coalesce(t, c) AS looks_like FROM d LEFT JOIN t USING (ecosystem, name) LEFT JOIN c USING (ecosystem, name) WHERE coalesce(t, c) IS NOT NULL""")
 def _(spark, d):
+    return _lookalikes(spark, d, "p_partkey % 3 = 0")
+
+
+@query("lookalike_packages_full", SQL["lookalike_packages"].replace(" WHERE p_partkey % 3 = 0", ""))
+def _(spark, d):
+    return _lookalikes(spark, d, "true")
+
+
+def _lookalikes(spark, d, listed):
     p, k = table(spark, d, "part"), F.col("p_partkey")
     even = F.col("p_size") % 2 == 0
-    refs = p.filter("p_partkey % 3 = 0").groupBy(F.when(even, "npm").otherwise("pypi").alias("ecosystem"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
+    refs = p.filter(listed).groupBy(F.when(even, "npm").otherwise("pypi").alias("ecosystem"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
     suffix = F.element_at(F.array(*(F.lit(s) for s in K.COMBOSQUAT_SUFFIXES)), (k % 14 + 1).cast("int"))
     name = F.when(k % 4 == 0, F.concat("p_name", F.lit("x"))).when(k % 4 == 1, F.substr("p_name", F.lit(2))).when(k % 4 == 2, F.concat("p_name", suffix)).otherwise(F.col("p_name"))
     return matching.lookalikes(p.select(F.when(even, "npm").otherwise("PyPI").alias("ecosystem"), name.alias("name")), refs)

@@ -88,6 +88,18 @@ def test_cache_and_block_list_of_all_rows(spark):
     assert max(blocked) >= 40 and blocked < users
 
 
+def test_every_row_has_a_role(spark):
+    fixed = Q.QUERIES["verify_fix_full"](spark, SF).groupBy("status").count().collect()
+    odd = Q.table(spark, SF, "lineitem").filter("l_orderkey % 2 = 1").count()
+    assert {r.status: r["count"] for r in fixed}["remaining"] == odd and len(fixed) == 2
+    parts = [(r.p_partkey, f"{r.p_name} {r.p_brand} {r.p_size}") for r in Q.table(spark, SF, "part").collect()]
+    want = {n for k, n in parts if k % 2} - {n for k, n in parts if k % 2 == 0}
+    assert {r.p_name for r in Q.QUERIES["insert_unseen_rules_full"](spark, SF).collect()} == want != set()
+    found = Q.QUERIES["lookalike_packages_full"](spark, SF).select("looks_like").distinct().collect()
+    listed = {r.p_name for r in Q.table(spark, SF, "part").filter("p_partkey % 3 = 0").collect()}
+    assert {r.looks_like for r in found} - listed
+
+
 def test_consecutive_errors(spark):
     polls = spark.createDataFrame([("r", i, i == 2) for i in range(8)] + [("s", 0, False)], "repo string, ts int, ok boolean")
     assert {(r.repo, r.errors, r.status) for r in H.consecutive_errors(polls).collect()} == {("r", 5, "error"), ("s", 1, "ok")}
