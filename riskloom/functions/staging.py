@@ -4,7 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is configured."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = folder.get() if folder.isDefined() else None
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="riskloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def staged(df: DataFrame) -> DataFrame:

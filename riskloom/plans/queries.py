@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as X
+from ..functions.staging import shared_dir
 from ..operators import history as H
 from ..operators import maintenance as M
 from ..operators import matching
@@ -721,13 +722,25 @@ def _(spark, d):
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The stream's result, written as Parquet into the shared folder and read again; ``complete`` keeps the last batch."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/riskloom/stream_{uuid.uuid4().hex}"
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/rows")
+    out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(out)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/rows"))
+    else:
+        writer = writer.format("parquet").option("path", f"{base}/rows")
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
 @query("stream_monthly_tokens", "SELECT user_id, strftime(ts, '%Y-%m') AS month, CAST(sum(event_id % 100) AS BIGINT) AS tokens_used FROM events GROUP BY ALL")

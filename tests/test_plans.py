@@ -100,6 +100,20 @@ def test_every_row_has_a_role(spark):
     assert {r.looks_like for r in found} - listed
 
 
+def test_streams_of_a_folder(spark, tmp_path):
+    names = ("stream_monthly_tokens", "stream_daily_counts", "stream_rate_limit", "stream_quota")
+    events = Q.table(spark, SF, "events")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    for name in names:
+        got, want = Q.QUERIES[name](spark, str(tmp_path)), Q.QUERIES[name](spark, SF)
+        assert rows(got) == rows(want) != [] and got.inputFiles()
+    assert Q.QUERIES["stream_quota"](spark, str(tmp_path)).count() == events.count()
+    empty = tmp_path / "none"
+    events.limit(0).write.parquet(str(empty / "events.parquet"))
+    assert [Q.QUERIES[n](spark, str(empty)).count() for n in names] == [0, 0, 0, 0]
+
+
 def test_consecutive_errors(spark):
     polls = spark.createDataFrame([("r", i, i == 2) for i in range(8)] + [("s", 0, False)], "repo string, ts int, ok boolean")
     assert {(r.repo, r.errors, r.status) for r in H.consecutive_errors(polls).collect()} == {("r", 5, "error"), ("s", 1, "ok")}
