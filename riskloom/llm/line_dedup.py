@@ -3,14 +3,15 @@
 Tokens of a line are ordered by rarity (hashed corpus counts, ties by hash: any order that all lines share is
 exact). Two sets with Jaccard similarity over the threshold share a token of their prefixes; their lengths, the
 token's positions and a 64-bit parity sketch rule out most candidates, and the rest are verified on their full sets.
-A line is removed if any earlier line matches, so one match is enough: the lines of a token meet inside a task, and
-only the candidate with the nearest sketch leaves it and is verified. Lines for which it fails then meet all others.
-A token that more than MOST_ROWS lines share is cut into chunks; lines still unmatched meet the chunks one by one.
+
+A line is removed if any earlier line matches, so one match is enough. Prefix entries are shuffled once, by token. In a
+task a line with the set of an earlier one goes at once, and of the others' candidates the MOST_CANDIDATES nearest
+leave the task and are verified. A line that had more of them, all of which failed, or that has a token of more than
+MOST_ROWS lines (such a token is cut into chunks, so no task gets all of its lines) then meets all others.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,31 +21,50 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .anchors import attach, keyed
-from .shared import combined, discard, join_groups, staged, text_slices
+from .shared import combined, discard, list_array, partitions_for, staged, text_slices
 
 #: The rarity table: so many one-byte counters, whatever the corpus; this is the size of the broadcast.
 SLOTS = 1 << 24
 _CHUNK = 1 << 12
 #: At most about so many lines of a token, and of lines that ask for partners, meet in one block.
 MOST_ROWS = 4096
-#: Rows of blocks that one call sees, on average.
-_BIN_ROWS = 100_000
+#: Candidates of a line that one task passes on in the first round.
+MOST_CANDIDATES = 16
+#: Rows of blocks in one task, on average.
+_TASK_ROWS = 400_000
 #: Blocks of up to so many rows are compared all at once, larger ones one by one.
 _STEPS = 256
+#: Pairs that a task holds before it picks the nearest.
+_HELD = 1 << 20
+
+PLACE = ("id0", "fp", "line")
+
+
+class LineSets:
+    """The sets of the lines with words of a run of texts; lines end at \\n.
 
+    ``doc``, ``line``: the text and the number of each line; ``token``: the distinct word hashes of the lines one after
+    the other, ``start`` the first of each line, ``n`` how many, ``group`` the line of each. In a line tokens stand by
+    ``weight`` (of the slots of a table of bytes; the rarest first), then by hash.
+    """
 
-def line_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(text, line, sorted distinct word hashes) for each line with words; lines end at \\n."""
-    w = W.Words(data, offsets)
-    if not len(w.start):
-        return
-    breaks = np.flatnonzero(data == 10)
-    before = np.searchsorted(breaks, w.start)  # line breaks before each word
-    first = np.searchsorted(breaks, offsets[:-1])  # and before each text
-    line = before - first[w.doc]
-    edge = np.flatnonzero(np.r_[True, (w.doc[1:] != w.doc[:-1]) | (line[1:] != line[:-1])])
-    for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(line)], strict=True):
-        yield int(w.doc[a]), int(line[a]), np.unique(w.hash[a:z])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None):
+        w = W.Words(data, offsets)
+        breaks = np.flatnonzero(data == 10)
+        before = np.searchsorted(breaks, w.start)  # line breaks before each word
+        line = before - np.searchsorted(breaks, offsets[:-1])[w.doc]
+        new = np.r_[True, (w.doc[1:] != w.doc[:-1]) | (line[1:] != line[:-1])][: len(line)]
+        self.doc, self.line = w.doc[new], line[new]
+        group = np.cumsum(new) - 1
+        weight = table[w.hash & np.uint64(len(table) - 1)] if table is not None else np.zeros(len(group), np.uint8)
+        order = np.argsort(weight.astype(np.uint64) << np.uint64(56) | w.hash >> np.uint64(8))
+        small = group.astype(np.uint16) if len(self.doc) < 1 << 16 else group
+        order = order[np.argsort(small[order], kind="stable")]
+        group, token = group[order], w.hash[order]
+        first = np.r_[True, (group[1:] != group[:-1]) | (token[1:] != token[:-1])][: len(group)]
+        self.group, self.token, self.weight = group[first], token[first], weight[order][first]
+        self.start = np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]][: len(self.group)])
+        self.n = np.diff(np.r_[self.start, len(self.group)])
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
@@ -55,8 +75,8 @@ def rarity(rows: DataFrame) -> np.ndarray:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            slots = [W.Words(data, offsets).hash & np.uint64(SLOTS - 1) for _, _, data, offsets in text_slices(combined(part, "text"))]
-            slot, n = np.unique(np.concatenate(slots) if slots else np.zeros(0, np.uint64), return_counts=True)
+            slots = [(W.Words(data, offsets).hash & np.uint64(SLOTS - 1)).astype(np.uint32) for _, _, data, offsets in text_slices(combined(part, "text"))]
+            slot, n = np.unique(np.concatenate(slots) if slots else np.zeros(0, np.uint32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
     def chunk(key: tuple, table: pa.Table) -> pa.Table:
@@ -72,76 +92,82 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """Tokens of a set of ``n`` of which a similar set must share one; 0 if only equal sets are similar."""
-    return n - -(-percent * n // 100) + 1 if 100 * n >= percent * (n + 1) else 0
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of a set of ``n`` of which a similar set must share one; equal sets share the first."""
+    return np.maximum(1, n + 1 - -(-percent * n // 100))
 
 
 def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(id0, fp, line, n, key, sketch, prefix array<struct<token, pos>>) for each line with words; key names the set (128 bits).
+    """(id0, fp, line, n, key, sketch, again, m, prefix array<struct<token, pos, often>>) for each line that may match another.
 
-    Bit i of the sketch is the parity of the tokens with hash i (mod 64), so two sketches differ in no more bits than
-    their sets in tokens. Tokens that occur once in the corpus are left out of the prefix: no other line has them.
+    ``key`` names the set together with n and the sketch. Bit i of the sketch is the parity of the tokens with hash i
+    (mod 64), so two sketches differ in no more bits than their sets in tokens. Tokens that occur once in the corpus are
+    left out of the prefix, and a line without others: no other line has them. ``again``: an earlier line of the same
+    batch has the same set; such a line needs no prefix. ``m`` is the length of the prefix.
     """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
+    seed = np.uint64(0xA0761D6478BD642F)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for part in parts:
             ids, fps = combined(part, "id0").to_numpy(), combined(part, "fp").to_numpy()
+            found = []
             for lo, _, data, offsets in text_slices(combined(part, "text")):
-                at, lines, sizes, keys, sketches, tokens, places, lengths = [], [], [], [], [], [], [], []
-                for doc, line, tokens_ in line_sets(data, offsets):
-                    at.append(doc + lo)
-                    lines.append(line)
-                    sizes.append(len(tokens_))
-                    keys.append(hashlib.blake2b(tokens_.tobytes(), digest_size=16).digest())
-                    sketches.append(np.bitwise_xor.reduce(np.uint64(1) << (tokens_ >> np.uint64(58))))
-                    k = prefix_size(len(tokens_), percent)
-                    often = table[tokens_ & np.uint64(SLOTS - 1)]
-                    rare = np.argsort(often, kind="stable")[:k]
-                    rare_at = np.flatnonzero(often[rare] > 1)
-                    tokens.append(tokens_[rare[rare_at]])
-                    places.append(rare_at)
-                    lengths.append(len(rare_at))
-                if at:
-                    offset = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
-                    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], names=["token", "pos"])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(fps[at]), pa.array(lines, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.array(sketches, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offset, pairs)], names=["id0", "fp", "line", "n", "key", "sketch", "prefix"])
-
-    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, n int, key binary, sketch long, prefix array<struct<token: long, pos: int>>")
-
-
-def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, tokens) of the classes in ``wanted`` (cls, place), read again from their first lines."""
-    lists = staged(wanted.groupBy(F.col("place.id0").alias("id0"), F.col("place.fp").alias("fp")).agg(F.map_from_entries(F.collect_list(F.struct("place.line", "cls"))).alias("lines")), "lines")
-
-    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            names = [dict(x) for x in combined(part, "lines").to_pylist()]
-            for lo, _, data, offsets in text_slices(combined(part, "text")):
-                found = [(names[lo + doc][line], tokens) for doc, line, tokens in line_sets(data, offsets) if line in names[lo + doc]]
-                if found:
-                    offset = pa.array(np.r_[0, np.cumsum([len(t) for _, t in found])].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.ListArray.from_arrays(offset, pa.array(np.concatenate([t for _, t in found]).view(np.int64)))], names=["cls", "tokens"])
-
-    joined = attach(rows.select("id0", "fp", "text"), lists, "inner").select("text", "lines")
-    out = staged(joined.mapInArrow(read, "cls long, tokens array<long>"), "sets")
-    discard(lists)
-    return out
+                s = LineSets(data, offsets, table)
+                if not len(s.start):
+                    continue
+                with np.errstate(over="ignore"):
+                    key = W.mix(np.add.reduceat(W.mix(s.token ^ seed), s.start))
+                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (s.token >> np.uint64(58)), s.start)
+                pos = np.arange(len(s.token)) - s.start[s.group]
+                mine = np.flatnonzero((pos < prefix_size(s.n, percent)[s.group]) & (s.weight > 1))
+                m = np.bincount(s.group[mine], minlength=len(s.n))
+                some = m > 0
+                found.append((ids[s.doc + lo][some], fps[s.doc + lo][some], s.line[some], s.n[some], key[some], sketch[some], m[some], s.token[mine], pos[mine], s.weight[mine]))
+            if not found:
+                continue
+            id0, fp, line, n, key, sketch, m, token, pos, often = map(np.concatenate, zip(*found, strict=True))
+            order = np.argsort(key, kind="stable")
+            same = np.r_[False, key[order][1:] == key[order][:-1]]
+            order = order[same | np.r_[same[1:], False]]
+            order = order[np.lexsort((line[order], fp[order], id0[order], sketch[order], n[order], key[order]))]
+            head = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (n[order][1:] != n[order][:-1]) | (sketch[order][1:] != sketch[order][:-1])][: len(order)])
+            first = np.repeat(order[head], np.diff(np.r_[head, len(order)]))
+            again, repeat = np.zeros(len(key), bool), np.zeros(len(key), bool)
+            repeat[order] = order != first
+            again[order] = (id0[order] != id0[first]) | (fp[order] != fp[first]) | (line[order] != line[first])  # else a row that repeats id and text
+            kept = np.repeat(~repeat, m)
+            m = np.where(repeat, 0, m)
+            pairs = pa.StructArray.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(pos[kept].astype(np.int32)), pa.array(often[kept].astype(np.int32))], names=["token", "pos", "often"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)].astype(np.int32)), pairs)
+            columns = [id0, fp, line.astype(np.int32), n.astype(np.int32), key.view(np.int64), sketch.view(np.int64), again, m.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=[*PLACE, "n", "key", "sketch", "again", "m", "prefix"])
+
+    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, n int, key long, sketch long, again boolean, m int, prefix array<struct<token: long, pos: int, often: int>>")
+
+
+def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of each ``b`` the ``most`` nearest; marks in ``more`` those that had others."""
+    order = np.lexsort((a, apart, b))
+    a, b, apart = a[order], b[order], apart[order]
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
+    ok = np.arange(len(b)) - np.repeat(first, np.diff(np.r_[first, len(b)])) < most
+    more[b[~ok]] = True
+    return a[ok], b[ok], apart[ok]
 
 
 def candidates(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(earlier, later, apart): positions of an indexed and a later probing row of one block that may be similar.
 
-    ``rows`` is ordered by block and cls. Two sets with a shared token need a size ratio of ``percent`` hundredths, as
+    ``rows`` is ordered by block and place, of which ``no`` is the number. Two sets with a shared token need a size ratio of ``percent`` hundredths, as
     many tokens from this one on as they must share, and sketches no further apart than their other tokens.
     """
-    n, pos, sketch, cls = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["sketch"].view(np.uint64), rows["cls"]
-    index, probe = rows["role"] & 1 > 0, rows["role"] & 2 > 0
+    n, pos, sketch = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["sketch"].view(np.uint64)
+    index, probe, no = rows["role"] & 1 > 0, rows["role"] & 2 > 0, rows["no"]
 
     def pick(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = index[a] & probe[b] & (cls[a] < cls[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        ok = index[a] & probe[b] & (no[a] < no[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         a, b = a[ok], b[ok]
         least = -(-percent * (n[a] + n[b]) // (100 + percent))
         ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
@@ -165,69 +191,127 @@ def candidates(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.n
             yield pick(np.tile(held, len(asked[k : k + wide])), np.repeat(asked[k : k + wide], len(held)))
 
 
-def _met(blocks: DataFrame, about: int, percent: int, best: bool) -> DataFrame:
-    """(a, b) of the candidates in the ``about`` rows of blocks (token, c, p): all, or for each b that with the nearest sketch."""
-    bins = int(max(8, min(100_000, about // _BIN_ROWS)))
-    # whole blocks share a bin; a bin is what one call of the function sees
-    placed = blocks.withColumn("bin", F.pmod(F.xxhash64("token", "c", "p"), F.lit(bins)).cast("int")).repartition(bins, "bin")
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(k, "ascending") for k in ("token", "c", "p", "cls")])
-        rows = {k: table.column(k).to_numpy() for k in ("token", "c", "p", "cls", "n", "pos", "sketch", "role")}
-        rows["block"] = np.cumsum(np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["c"][1:] != rows["c"][:-1]) | (rows["p"][1:] != rows["p"][:-1])])
-        cls, none = rows["cls"], np.iinfo(np.int64).max
-        nearest, all_a, all_b = np.full(len(cls), none), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b, apart in candidates(rows, percent):
-            if best:
-                np.minimum.at(nearest, b, (apart << 40) | a)
-            else:
-                all_a.append(cls[a])
-                all_b.append(cls[b])
-        if best:
-            b = np.flatnonzero(nearest < none)
-            score = nearest[b]
-            return pa.table({"apart": pa.array((score >> 40).astype(np.int32)), "a": pa.array(cls[score & ((1 << 40) - 1)]), "b": pa.array(cls[b])})
-        return pa.table({"apart": pa.array(np.zeros(sum(map(len, all_a)), np.int32)), "a": pa.array(np.concatenate(all_a)), "b": pa.array(np.concatenate(all_b))})
-
-    out = placed.groupBy("bin").applyInArrow(meet, "apart int, a long, b long")
-    return out.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("m.a", "b") if best else out.select("a", "b").distinct()
-
-
-def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(cls): the later sets of the pairs that are similar on their full sets."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = sets_of(rows, places.join(ends.hint("merge"), "cls"))
-    both = F.size(F.array_intersect("x", "y"))
-    near = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
-    hits = staged(near.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("b").alias("cls")).distinct(), "hits")
+def met(entries: DataFrame, about: int, percent: int, most: int | None) -> DataFrame:
+    """What meets in the ``about`` ``entries`` (token, c, p, the place, n, pos, key, sketch, role): a row for each later line and candidate.
+
+    (id0, fp, line) is the later line, (a_id0, a_fp, a_line) the earlier one, null if their sets are equal: nothing
+    is left to verify then. Given ``most``, only so many of the nearest are told, and ``more`` says that there were others.
+    """
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(parts)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        rows = {k: table.column(k).to_numpy() for k in table.column_names}
+        name = rows["token"].view(np.uint64)
+        if rows["c"].any() or rows["p"].any():
+            name = W.mix(name ^ W.mix(rows["c"].astype(np.uint64) << np.uint64(32) | rows["p"].astype(np.uint64)))
+        order = np.argsort(name)
+        alone = np.r_[True, name[order][1:] != name[order][:-1]]
+        order = order[~(alone & np.r_[alone[1:], True])]  # blocks of one row
+        order = order[np.lexsort((rows["line"][order], rows["fp"][order], rows["id0"][order], name[order]))]
+        # rows with the set of an earlier, indexed row of the block
+        sets = W.mix(name[order] ^ W.mix(rows["key"][order].view(np.uint64) ^ W.mix(rows["sketch"][order].view(np.uint64) + rows["n"][order].astype(np.uint64))))
+        by_set = np.argsort(sets, kind="stable")
+        places = np.array([rows[k][order] for k in PLACE])
+        no = np.cumsum(np.r_[True, (places[:, 1:] != places[:, :-1]).any(axis=0)][: len(order)])
+        held = np.where(rows["role"][order] & 1 > 0, no, len(order) + 1)[by_set]
+        begin = np.flatnonzero(np.r_[True, sets[by_set][1:] != sets[by_set][:-1]][: len(by_set)])
+        equal = np.zeros(len(order), bool)
+        if len(order):
+            equal[by_set] = no[by_set] > np.repeat(np.minimum.reduceat(held, begin), np.diff(np.r_[begin, len(by_set)]))
+        twins = order[equal & (rows["role"][order] & 2 > 0)]
+        order, no = order[~equal], no[~equal]
+        rows |= {k: v[order] for k, v in rows.items()} | {"block": name[order], "no": no}
+        more, pairs = np.zeros(len(order), bool), [np.zeros((3, 0), np.int64)]
+        for pair in candidates(rows, percent):
+            pairs.append(np.array(pair))
+            if most is not None and sum(x.shape[1] for x in pairs) > _HELD:
+                pairs = [np.array(nearest(*np.concatenate(pairs, axis=1), most, more))]
+        a, b, apart = np.concatenate(pairs, axis=1)
+        if most is not None:
+            a, b, apart = nearest(a, b, apart, most, more)
+        places = {k: table.column(k).take(pa.array(np.r_[twins, order[b]])).combine_chunks() for k in PLACE}
+        earlier = {f"a_{k}": pa.concat_arrays([pa.nulls(len(twins), table.schema.field(k).type), pa.array(rows[k][a])]) for k in PLACE}
+        out = pa.table(places | earlier | {"more": pa.array(np.r_[np.zeros(len(twins), bool), more[b]])})
+        yield from out.to_batches(max_chunksize=100_000)
+
+    n = partitions_for(about, _TASK_ROWS)
+    return entries.repartition(n, "token", "c", "p").mapInArrow(meet, "id0 long, fp long, line int, a_id0 long, a_fp long, a_line int, more boolean")
+
+
+def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id0, fp, line, tokens) of the ``wanted`` places, read again from their texts."""
+    lists = wanted.groupBy("id0", "fp").agg(F.collect_set("line").alias("lines"))
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            wanted_ = [np.array(x, np.int64) for x in combined(part, "lines").to_pylist()]
+            ids, fps = combined(part, "id0").to_numpy(), combined(part, "fp").to_numpy()
+            for lo, hi, data, offsets in text_slices(combined(part, "text")):
+                s = LineSets(data, offsets)
+                asked = np.concatenate([np.int64(d) << 32 | x for d, x in enumerate(wanted_[lo:hi])])
+                at = np.flatnonzero(np.isin(s.doc << 32 | s.line, asked))
+                mine = np.isin(s.group, at)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s.doc[at] + lo]), pa.array(fps[s.doc[at] + lo]), pa.array(s.line[at].astype(np.int32)), list_array(s.token[mine].view(np.int64), s.n[at], pa.int64())], names=[*PLACE, "tokens"])
+
+    joined = attach(rows.select("id0", "fp", "text"), lists, "inner")
+    return joined.mapInArrow(read, "id0 long, fp long, line int, tokens array<long>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(id0, fp, line): the later lines of the pairs that are similar on their full sets."""
+    earlier = [F.col(f"a_{k}").alias(k) for k in PLACE]
+    sets = staged(sets_of(rows, pairs.select(*PLACE).unionByName(pairs.select(*earlier))), "sets", True)
+    x = sets.select(*(F.col(k).alias(f"a_{k}") for k in PLACE), F.col("tokens").alias("x"))
+    near = pairs.join(x.hint("merge"), [f"a_{k}" for k in PLACE]).join(sets.hint("merge"), list(PLACE))
+    both = F.size(F.array_intersect("x", "tokens"))
+    hits = staged(near.filter(100 * both >= percent * (F.size("x") + F.size("tokens") - both)).select(*PLACE).distinct(), "hits")
     discard(sets)
     return hits
 
 
-def matched(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(id0, fp, line): the first lines of the classes of which an earlier class is similar. ``classes``: cls (in the order of place), place, n, sketch, prefix."""
-    spread = classes.select("cls", "n", "sketch", F.explode("prefix").alias("t")).select(F.col("t.token").alias("token"), "cls", "n", F.col("t.pos").alias("pos"), "sketch")
-    several = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("token", F.ceil(F.col("size") / MOST_ROWS).cast("int").alias("parts"))
-    chunk = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("c")
-    members = staged(spread.join(several.hint("merge"), "token").select("token", chunk, "cls", "n", "pos", "sketch", "parts"), "members")
-    places = staged(classes.select("cls", "place"), "places")
-    discard(classes)
-    zero = F.lit(0)
-    pairs = staged(_met(members.select("token", "c", zero.alias("p"), "cls", "n", "pos", "sketch", F.lit(3).alias("role")), members.count(), percent, best=True), "nearest")
-    found = verified(pairs, places, rows, percent)
-    # not settled: sets whose nearest candidate is not similar, and those that haven't met all the lines of a token
-    rest = pairs.select(F.col("b").alias("cls")).union(members.filter("parts > 1").select("cls")).distinct().join(found.hint("merge"), "cls", "left_anti")
-    rest = staged(rest, "rest")
-    discard(pairs)
-    asking = staged(members.join(rest.hint("merge"), "cls"), "asking")
-    shares = staged(asking.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("shares")), "shares")
+def _entries(lines: DataFrame, prefix: F.Column) -> DataFrame:
+    return lines.select(*PLACE, "n", "key", "sketch", F.explode(prefix).alias("t")).select("t.token", "t.pos", *PLACE, "n", "key", "sketch")
+
+
+def matched(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(id0, fp, line) of the lines of which an earlier one is similar. ``lines``: see ``line_rows``."""
+    zero, both = F.lit(0), F.lit(3)
+    about = lines.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    # only a token that is common in the corpus can have many lines
+    common = float(1 + np.floor(8 * np.log2(MOST_ROWS)))
+    often, rare = (_entries(lines, F.filter("prefix", f)) for f in (lambda t: t.often >= common, lambda t: t.often < common))
+    crowded = often.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > MOST_ROWS)
+    crowded = staged(crowded.select("token", F.ceil(F.col("size") / MOST_ROWS).cast("int").alias("parts")), "crowded")
+    own = F.pmod(F.xxhash64(*PLACE), F.coalesce("parts", F.lit(1))).cast("int")
+    often = often.join(crowded.hint("merge"), "token", "left").withColumn("c", own).drop("parts")
+    first = rare.withColumn("c", zero).unionByName(often).withColumns({"p": zero, "role": both})
+    seen = staged(met(first, about, percent, MOST_CANDIDATES), "seen", True)
+    same = seen.filter("a_line IS NULL").select(*PLACE).distinct()
+    pairs = seen.filter("a_line IS NOT NULL").groupBy(*PLACE, "a_id0", "a_fp", "a_line").agg(F.max("more").alias("more")).join(same.hint("merge"), list(PLACE), "left_anti")
+    pairs = staged(pairs, "pairs")
+    found = staged(same.unionByName(verified(pairs, rows, percent)), "found")
+    # not settled: lines that had more candidates, and those that haven't met all the lines of a token
+    split = _entries(lines, F.filter("prefix", lambda t: t.often >= common)).join(crowded.hint("merge"), "token").select(*PLACE)
+    rest = staged(pairs.filter("more").select(*PLACE).unionByName(split).distinct().join(found.hint("merge"), list(PLACE), "left_anti"), "rest")
+    discard(seen, pairs)
+    if not rest.take(1):
+        return found
+    every = _entries(lines, F.col("prefix")).join(crowded.hint("merge"), "token", "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "own": own})
+    asking = staged(_entries(lines.join(rest.hint("merge"), list(PLACE), "left_semi"), F.col("prefix")), "asking")
+    shares = staged(asking.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("shares")).join(crowded.hint("merge"), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "shares")
     # a block holds a chunk of a token's lines and a share of those that ask
-    held = members.join(shares.hint("merge"), "token").select("token", "c", F.explode(F.sequence(zero, F.col("shares") - 1)).alias("p"), "cls", "n", "pos", "sketch", F.lit(1).alias("role"))
-    share = F.pmod(F.xxhash64(F.col("cls"), F.lit(1)), F.col("shares")).cast("int").alias("p")
-    asks = asking.join(shares.hint("merge"), "token").select("token", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("c"), share, "cls", "n", "pos", "sketch", F.lit(2).alias("role"))
-    pairs = staged(_met(held.unionByName(asks), members.count() + asking.count(), percent, best=False), "others")
-    found = found.unionByName(verified(pairs, places, rows, percent))
-    return found.join(places, "cls").select("place.*")
+    held = every.drop("parts").join(shares.hint("merge"), "token").select("token", F.col("own").alias("c"), F.explode(F.sequence(zero, F.col("shares") - 1)).alias("p"), "pos", *PLACE, "n", "key", "sketch", F.lit(1).alias("role"))
+    share = F.pmod(F.xxhash64(*PLACE, F.lit(1)), F.col("shares")).cast("int").alias("p")
+    asks = asking.join(shares.hint("merge"), "token").select("token", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("c"), share, "pos", *PLACE, "n", "key", "sketch", F.lit(2).alias("role"))
+    blocks = staged(held.unionByName(asks), "blocks")
+    seen = staged(met(blocks, blocks.count(), percent, None), "others", True)
+    discard(blocks)
+    same = seen.filter("a_line IS NULL").select(*PLACE)
+    pairs = staged(seen.filter("a_line IS NOT NULL").drop("more").distinct(), "pairs")
+    return found.unionByName(same).unionByName(verified(pairs, rows, percent)).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, extra: Sequence[str] = ()) -> DataFrame:
@@ -237,23 +321,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unchanged. A line goes if its set's intersection with that of any earlier line (smaller id, or earlier in the
     document) is at least ``percent`` hundredths of the union; judged on the input. Lines without words stay and
     match nothing. Null is the empty text: one line without words. Rows that repeat an id and its text count as one
-    document, with equal results; a null id sorts first. Of the input only the two named columns are read, and ``extra`` ones,
-    which are passed on (they can't be named like the result's columns or id0, fp, gone and lines).
+    document, with equal results; of rows with one id and different texts the one with the smaller hash is earlier; a
+    null id sorts first. Ids are whole numbers. Of the input only the two named columns are read, and ``extra`` ones,
+    of any names but the result's own, which are passed on.
     """
-    rows = keyed(docs, id_col, text_col).select("id0", "fp", "text")
-    whole = keyed(docs, id_col, text_col, extra)
+    rows = keyed(docs.withColumn("extra", F.struct(F.lit(0).alias("none"), *extra)), id_col, text_col, ["extra"])
+    out = attach(rows, removed_lines(rows, percent))
+    gone = F.sort_array(F.coalesce("gone", F.array().cast("array<int>")))
+    return out.select("id", line_count(F.col("text")).alias("n_lines"), gone.alias("removed"), without_lines(F.col("text"), F.col("gone")).alias("kept"), *(F.col("extra")[c].alias(c) for c in extra))
+
+
+def line_count(text: F.Column) -> F.Column:
+    return (F.regexp_count(text, F.lit("\n")) + 1).cast("long")
+
+
+def without_lines(text: F.Column, gone: F.Column) -> F.Column:
+    """``text`` without the lines of these numbers (null: all stay)."""
+    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def removed_lines(rows: DataFrame, percent: int = 80) -> DataFrame:
+    """(id0, fp, gone array<int>) of the documents (see ``keyed``) that lose lines."""
+    rows = rows.select("id0", "fp", "text")
     lines = staged(line_rows(rows, rarity(rows), percent), "lines")
-    groups = lines.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id0", "fp", "line")).alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    sets = staged(groups, "sets")
-    again = join_groups(lines.select("key", "id0", "fp", "line"), sets.filter("copies > 1").select("key", "copies", "place"), "key", "copies", lines.count())
-    copies = staged(again.filter(F.struct("id0", "fp", "line") != F.col("place")).select("id0", "fp", "line"), "copies")
+    gone = lines.filter("again").select(*PLACE).unionByName(matched(lines.filter("m > 0"), rows, percent))
+    out = staged(gone.groupBy("id0", "fp").agg(F.collect_set("line").alias("gone")), "removed")
     discard(lines)
-    order = sets.filter(F.size("prefix") > 0).select("place", "n", "sketch", "prefix").repartitionByRange("place").sortWithinPartitions("place")
-    classes = staged(order.withColumn("cls", F.monotonically_increasing_id()), "classes")  # fixed once it is written
-    discard(sets)
-    removed = copies.unionByName(matched(classes, rows, percent))
-    lists = staged(removed.groupBy("id0", "fp").agg(F.collect_set("line").alias("gone")), "removed")
-    split = F.split("text", "\n", -1)
-    out = attach(whole, lists).withColumns({"lines": split, "gone": F.sort_array(F.coalesce("gone", F.array().cast("array<int>")))})
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    return out.select("id", F.size("lines").cast("long").alias("n_lines"), F.col("gone").alias("removed"), kept.alias("kept"), *extra)
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,45 +12,56 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Groups with more than 1/HOT_SHARE of all rows are joined by broadcast: there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share. One of our own only where none is configured and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="riskloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    Nothing reads the plan's shuffle files again; if they are ``large``, Spark is told to delete them once it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riskloom/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true" if large else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more, and lets Spark clean up the shuffle files of finished steps.
-
-    Spark does the latter when the driver drops the objects of a finished plan, which otherwise may take long.
-    """
+    """Deletes staged tables that nothing reads any more."""
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t._staged_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         t._staged_at = None
-    gc.collect()
-    if tables:
-        spark._jvm.System.gc()
+
+
+def partitions_for(rows: int, each: int) -> int:
+    """As many partitions as hold ``each`` rows (or bytes), at least 8: their number grows with the data, a task does not."""
+    return max(8, -(-rows // each))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

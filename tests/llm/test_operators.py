@@ -102,8 +102,11 @@ def brute_lines(docs, percent):
     return gone
 
 
-@pytest.mark.parametrize("few", [8, 1])
+@pytest.mark.parametrize("few", [8, 2, 1])
 def test_line_dedup(spark, monkeypatch, few):
+    """With ``few`` = 1 and 2, lines meet in chunks and in both rounds."""
+    monkeypatch.setattr(line_dedup, "MOST_CANDIDATES", few)
+    monkeypatch.setattr(line_dedup, "_HELD", 1 << 20 if few == 8 else 5)
     monkeypatch.setattr(line_dedup, "MOST_ROWS", 4096 if few == 8 else few)
     monkeypatch.setattr(line_dedup, "_STEPS", 256 if few == 8 else 2)
     r = random.Random(4)
