@@ -25,11 +25,11 @@ from .shared import combined, discard, list_array, partitions_for, staged, text_
 
 #: The rarity table: so many one-byte counters, whatever the corpus; this is the size of the broadcast.
 SLOTS = 1 << 24
-_CHUNK = 1 << 12
+_CHUNK = 1 << 14
 #: At most about so many lines of a token, and of lines that ask for partners, meet in one block.
 MOST_ROWS = 4096
 #: Candidates of a line that one task passes on in the first round.
-MOST_CANDIDATES = 16
+MOST_CANDIDATES = 4
 #: Rows of blocks in one task, on average.
 _TASK_ROWS = 400_000
 #: Blocks of up to so many rows are compared all at once, larger ones one by one.
@@ -45,68 +45,115 @@ class LineSets:
 
     ``doc``, ``line``: the text and the number of each line; ``token``: the distinct word hashes of the lines one after
     the other, ``start`` the first of each line, ``n`` how many, ``group`` the line of each. In a line tokens stand by
-    ``weight`` (of the slots of a table of bytes; the rarest first), then by hash.
+    ``weight`` (of the slots of a table of bytes; the rarest first), then by hash. ``only``: lines to read, as doc << 32 | line.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None, only: np.ndarray | None = None):
         w = W.Words(data, offsets)
         breaks = np.flatnonzero(data == 10)
-        before = np.searchsorted(breaks, w.start)  # line breaks before each word
+        before = np.cumsum(np.bincount(np.searchsorted(w.start, breaks), minlength=len(w.start) + 1)[: len(w.start)])  # line breaks before each word
         line = before - np.searchsorted(breaks, offsets[:-1])[w.doc]
-        new = np.r_[True, (w.doc[1:] != w.doc[:-1]) | (line[1:] != line[:-1])][: len(line)]
+        new = np.r_[True, (w.doc[1:] != w.doc[:-1]) | (before[1:] != before[:-1])][: len(line)]
         self.doc, self.line = w.doc[new], line[new]
-        group = np.cumsum(new) - 1
-        weight = table[w.hash & np.uint64(len(table) - 1)] if table is not None else np.zeros(len(group), np.uint8)
-        order = np.argsort(weight.astype(np.uint64) << np.uint64(56) | w.hash >> np.uint64(8))
+        group, hashes = np.cumsum(new) - 1, w.hash
+        if only is not None:
+            asked = np.isin(self.doc << 32 | self.line, only)
+            hashes, group = hashes[asked[group]], (np.cumsum(asked) - 1)[group[asked[group]]]
+            self.doc, self.line = self.doc[asked], self.line[asked]
+        weight = table[hashes & np.uint64(len(table) - 1)] if table is not None else np.zeros(len(group), np.uint8)
+        order = np.argsort(weight.astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8))
         small = group.astype(np.uint16) if len(self.doc) < 1 << 16 else group
         order = order[np.argsort(small[order], kind="stable")]
-        group, token = group[order], w.hash[order]
+        group, token = group[order], hashes[order]
         first = np.r_[True, (group[1:] != group[:-1]) | (token[1:] != token[:-1])][: len(group)]
         self.group, self.token, self.weight = group[first], token[first], weight[order][first]
         self.start = np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]][: len(self.group)])
         self.n = np.diff(np.r_[self.start, len(self.group)])
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """How often the words of each hash slot occur, on a log scale: SLOTS bytes, gathered as finished chunks.
+def gathered(parts: DataFrame) -> np.ndarray:
+    """The sums of ``parts`` (chunk, slot: 16-bit numbers, n: 32-bit counts) as one array of SLOTS counts on a log scale.
 
+    Counts are summed chunk by chunk as they stream by; what comes to the driver is SLOTS bytes, whatever the corpus.
     0 is never, 1 once, n times 1 + 8 log2(n) rounded down, so that rarity still tells words apart in large corpora.
     """
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            slots = [(W.Words(data, offsets).hash & np.uint64(SLOTS - 1)).astype(np.uint32) for _, _, data, offsets in text_slices(combined(part, "text"))]
-            slot, n = np.unique(np.concatenate(slots) if slots else np.zeros(0, np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, slot, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                total = sums.setdefault(c, np.zeros(_CHUNK, np.int64))
+                total[np.frombuffer(slot, np.uint16)] += np.frombuffer(n, np.uint32)
+        for c, total in sums.items():
+            scale = np.where(total > 0, np.minimum(1 + np.floor(8 * np.log2(np.maximum(total, 1))), 255), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([scale.tobytes()])], names=["chunk", "counts"])
 
-    def chunk(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(_CHUNK, np.uint8)
-        out[table.column("slot").to_numpy() % _CHUNK] = table.column("n").to_numpy()
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    counts = rows.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.least(1 + F.floor(8 * F.log2(F.sum("n"))), F.lit(255)).cast("int").alias("n"))
-    table = counts.withColumn("chunk", F.floor(F.col("slot") / _CHUNK).cast("int")).groupBy("chunk").applyInArrow(chunk, "chunk int, counts binary").toArrow()
     out = np.zeros(SLOTS, np.uint8)
+    table = parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
     for c, b in zip(table.column("chunk").to_pylist(), table.column("counts").to_pylist(), strict=True):
         out[c * _CHUNK : (c + 1) * _CHUNK] = np.frombuffer(b, np.uint8)
     return out
 
 
+def by_chunk(slots: np.ndarray) -> pa.RecordBatch:
+    """(chunk, slot, n) of ``slots``, each with how often it occurs."""
+    slot, n = np.unique(slots, return_counts=True)
+    chunk = (slot // _CHUNK).astype(np.int32)
+    edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(slot) else np.zeros(1, np.int64)
+    low, n = (slot % _CHUNK).astype(np.uint16), n.astype(np.uint32)
+    columns = [pa.array(chunk[edge[:-1]]), *(pa.array([x[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (low, n))]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "slot", "n"])
+
+
+def rarity(rows: DataFrame) -> np.ndarray:
+    """How often the words of each hash slot occur, see ``gathered``."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            slots = [slots_of(W.Words(data, offsets).hash) for _, _, data, offsets in text_slices(combined(part, "text"))]
+            yield by_chunk(np.concatenate(slots) if slots else np.zeros(0, np.uint32))
+
+    return gathered(rows.select("text").mapInArrow(count, "chunk int, slot binary, n binary"))
+
+
+def slots_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(SLOTS - 1)).astype(np.uint32)
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     """Tokens of a set of ``n`` of which a similar set must share one; equal sets share the first."""
     return np.maximum(1, n + 1 - -(-percent * n // 100))
 
 
+#: What an entry says of its line, packed so that it is one column of the shuffle: the place, the number of distinct words,
+#: of left-out words, and two hashes of the set.
+LINE = np.dtype([("id0", "<i8"), ("fp", "<i8"), ("line", "<i4"), ("n", "<i4"), ("skipped", "<i4"), ("key", "<u8"), ("sketch", "<u8")])
+
+
+def packed(values: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a structured array."""
+    size = values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, size * (len(values) + 1), size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """The structured array of a binary column of such rows."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + kind.itemsize * len(column)].view(kind) if len(column) else np.zeros(0, kind)
+
+
 def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(id0, fp, line, n, key, sketch, again, m, prefix array<struct<token, pos, often>>) for each line that may match another.
+    """(id0, fp, line, again, m, data, prefix array<long>, common array<long>) for each line that may match another.
 
-    ``key`` names the set together with n and the sketch. Bit i of the sketch is the parity of the tokens with hash i
-    (mod 64), so two sketches differ in no more bits than their sets in tokens. Tokens that occur once in the corpus are
-    left out of the prefix, and a line without others: no other line has them. ``again``: an earlier line of the same
+    ``data`` is a LINE: its key names the set together with n and the sketch. Bit i of the sketch is the parity of the
+    tokens with hash i (mod 64), so two sketches differ in no more bits than their sets in tokens. Tokens that occur once
+    in the corpus are left out of the prefix, and a line without others: no other line has them. They come first in the
+    order, so the position of a token is its index and the number of those left out. ``common`` are the last tokens of the
+    prefix, those that so many lines may have that their blocks could be too large. ``again``: an earlier line of the same
     batch has the same set; such a line needs no prefix. ``m`` is the length of the prefix.
     """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
-    seed = np.uint64(0xA0761D6478BD642F)
+    seed, often = np.uint64(0xA0761D6478BD642F), 1 + int(8 * np.log2(MOST_ROWS))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -117,34 +164,37 @@ def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 s = LineSets(data, offsets, table)
                 if not len(s.start):
                     continue
+                x = np.zeros(len(s.start), LINE)
                 with np.errstate(over="ignore"):
-                    key = W.mix(np.add.reduceat(W.mix(s.token ^ seed), s.start))
-                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (s.token >> np.uint64(58)), s.start)
+                    x["key"] = W.mix(np.add.reduceat(W.mix(s.token ^ seed), s.start))
+                x["sketch"] = np.bitwise_xor.reduceat(np.uint64(1) << (s.token >> np.uint64(58)), s.start)
+                x["id0"], x["fp"], x["line"], x["n"] = ids[s.doc + lo], fps[s.doc + lo], s.line, s.n
                 pos = np.arange(len(s.token)) - s.start[s.group]
-                mine = np.flatnonzero((pos < prefix_size(s.n, percent)[s.group]) & (s.weight > 1))
-                m = np.bincount(s.group[mine], minlength=len(s.n))
-                some = m > 0
-                found.append((ids[s.doc + lo][some], fps[s.doc + lo][some], s.line[some], s.n[some], key[some], sketch[some], m[some], s.token[mine], pos[mine], s.weight[mine]))
+                inside = pos < prefix_size(s.n, percent)[s.group]
+                x["skipped"] = np.bincount(s.group[inside & (s.weight < 2)], minlength=len(x))
+                lists = []
+                for mine in (inside & (s.weight > 1) & (s.weight < often), inside & (s.weight >= often)):
+                    lists += [np.bincount(s.group[mine], minlength=len(x)), s.token[mine]]
+                some = lists[0] + lists[2] > 0
+                found.append((x[some], lists[0][some], lists[1], lists[2][some], lists[3]))
             if not found:
                 continue
-            id0, fp, line, n, key, sketch, m, token, pos, often = map(np.concatenate, zip(*found, strict=True))
-            order = np.argsort(key, kind="stable")
-            same = np.r_[False, key[order][1:] == key[order][:-1]]
+            x, m, prefix, k, common = map(np.concatenate, zip(*found, strict=True))
+            order = np.argsort(x["key"], kind="stable")
+            same = np.r_[False, x["key"][order][1:] == x["key"][order][:-1]]
             order = order[same | np.r_[same[1:], False]]
-            order = order[np.lexsort((line[order], fp[order], id0[order], sketch[order], n[order], key[order]))]
-            head = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (n[order][1:] != n[order][:-1]) | (sketch[order][1:] != sketch[order][:-1])][: len(order)])
+            order = order[np.lexsort([x[c][order] for c in ("line", "fp", "id0", "sketch", "n", "key")])]
+            head = np.flatnonzero(np.r_[True, (x[["key", "n", "sketch"]][order][1:] != x[["key", "n", "sketch"]][order][:-1])][: len(order)])
             first = np.repeat(order[head], np.diff(np.r_[head, len(order)]))
-            again, repeat = np.zeros(len(key), bool), np.zeros(len(key), bool)
+            again, repeat = np.zeros(len(x), bool), np.zeros(len(x), bool)
             repeat[order] = order != first
-            again[order] = (id0[order] != id0[first]) | (fp[order] != fp[first]) | (line[order] != line[first])  # else a row that repeats id and text
-            kept = np.repeat(~repeat, m)
-            m = np.where(repeat, 0, m)
-            pairs = pa.StructArray.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(pos[kept].astype(np.int32)), pa.array(often[kept].astype(np.int32))], names=["token", "pos", "often"])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)].astype(np.int32)), pairs)
-            columns = [id0, fp, line.astype(np.int32), n.astype(np.int32), key.view(np.int64), sketch.view(np.int64), again, m.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=[*PLACE, "n", "key", "sketch", "again", "m", "prefix"])
+            again[order] = x[list(PLACE)][order] != x[list(PLACE)][first]  # else a row that repeats id and text
+            prefix, common = prefix[np.repeat(~repeat, m)], common[np.repeat(~repeat, k)]
+            m, k = np.where(repeat, 0, m), np.where(repeat, 0, k)
+            lists = [list_array(prefix.view(np.int64), m, pa.int64()), list_array(common.view(np.int64), k, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[c].copy()) for c in PLACE), pa.array(again), pa.array((m + k).astype(np.int32)), packed(x), *lists], names=[*PLACE, "again", "m", "data", "prefix", "common"])
 
-    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, n int, key long, sketch long, again boolean, m int, prefix array<struct<token: long, pos: int, often: int>>")
+    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, again boolean, m int, data binary, prefix array<long>, common array<long>")
 
 
 def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,26 +207,29 @@ def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int, more: np
     return a[ok], b[ok], apart[ok]
 
 
-def candidates(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def candidates(x: np.ndarray, pos: np.ndarray, block: np.ndarray, no: np.ndarray, role: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(earlier, later, apart): positions of an indexed and a later probing row of one block that may be similar.
 
-    ``rows`` is ordered by block and place, of which ``no`` is the number. Two sets with a shared token need a size ratio of ``percent`` hundredths, as
-    many tokens from this one on as they must share, and sketches no further apart than their other tokens.
+    The rows (LINE and the token's position) are ordered by block and place, of which ``no`` is the number. Two sets
+    with a shared token need a size ratio of ``percent`` hundredths, as many tokens from this one on as they must
+    share, and sketches no further apart than their other tokens.
     """
-    n, pos, sketch = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["sketch"].view(np.uint64)
-    index, probe, no = rows["role"] & 1 > 0, rows["role"] & 2 > 0, rows["no"]
+    n, sketch = x["n"].astype(np.int64), x["sketch"].copy()
+    left, index, probe = n - pos, role & 1 > 0, role & 2 > 0
 
     def pick(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = index[a] & probe[b] & (no[a] < no[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[ok], b[ok]
+        ok = index[a] & probe[b] & (no[a] < no[b])
         a, b = a[ok], b[ok]
         least = -(-percent * (n[a] + n[b]) // (100 + percent))
-        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
+        ok = np.minimum(left[a], left[b]) >= least
         a, b, least = a[ok], b[ok], least[ok]
         apart = np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int64)
         ok = apart <= n[a] + n[b] - 2 * least
         return a[ok], b[ok], apart[ok]
 
-    edge = np.flatnonzero(np.r_[True, rows["block"][1:] != rows["block"][:-1], True])
+    edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(x) else np.zeros(1, np.int64)
     sizes = np.diff(edge)
     end = np.repeat(edge[1:], sizes)
     at = np.flatnonzero(np.repeat(sizes <= _STEPS, sizes))
@@ -192,8 +245,9 @@ def candidates(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.n
 
 
 def met(entries: DataFrame, about: int, percent: int, most: int | None) -> DataFrame:
-    """What meets in the ``about`` ``entries`` (token, c, p, the place, n, pos, key, sketch, role): a row for each later line and candidate.
+    """What meets in the ``about`` ``entries`` (block, tag, data): a row for each later line and candidate.
 
+    ``tag`` is four times the token's index and 1 for a line that others ask for, 2 for one that asks, 3 for both.
     (id0, fp, line) is the later line, (a_id0, a_fp, a_line) the earlier one, null if their sets are equal: nothing
     is left to verify then. Given ``most``, only so many of the nearest are told, and ``more`` says that there were others.
     """
@@ -202,43 +256,40 @@ def met(entries: DataFrame, about: int, percent: int, most: int | None) -> DataF
         batches = list(parts)
         if not batches:
             return
-        table = pa.Table.from_batches(batches)
-        rows = {k: table.column(k).to_numpy() for k in table.column_names}
-        name = rows["token"].view(np.uint64)
-        if rows["c"].any() or rows["p"].any():
-            name = W.mix(name ^ W.mix(rows["c"].astype(np.uint64) << np.uint64(32) | rows["p"].astype(np.uint64)))
+        name = np.concatenate([b.column(0).to_numpy() for b in batches]).view(np.uint64)
+        tag = np.concatenate([b.column(1).to_numpy() for b in batches])
+        data = np.concatenate([unpacked(b.column(2), LINE) for b in batches])
         order = np.argsort(name)
         alone = np.r_[True, name[order][1:] != name[order][:-1]]
         order = order[~(alone & np.r_[alone[1:], True])]  # blocks of one row
-        order = order[np.lexsort((rows["line"][order], rows["fp"][order], rows["id0"][order], name[order]))]
+        name, tag, x = name[order], tag[order], data[order]
+        order = np.lexsort((x["line"], x["fp"], x["id0"], name))
+        name, tag, x = name[order], tag[order], x[order]
+        no = np.cumsum(np.r_[True, (x["line"][1:] != x["line"][:-1]) | (x["fp"][1:] != x["fp"][:-1]) | (x["id0"][1:] != x["id0"][:-1])][: len(x)])
         # rows with the set of an earlier, indexed row of the block
-        sets = W.mix(name[order] ^ W.mix(rows["key"][order].view(np.uint64) ^ W.mix(rows["sketch"][order].view(np.uint64) + rows["n"][order].astype(np.uint64))))
+        sets = W.mix(name ^ W.mix(x["key"] ^ W.mix(x["sketch"] + x["n"].astype(np.uint64))))
         by_set = np.argsort(sets, kind="stable")
-        places = np.array([rows[k][order] for k in PLACE])
-        no = np.cumsum(np.r_[True, (places[:, 1:] != places[:, :-1]).any(axis=0)][: len(order)])
-        held = np.where(rows["role"][order] & 1 > 0, no, len(order) + 1)[by_set]
-        begin = np.flatnonzero(np.r_[True, sets[by_set][1:] != sets[by_set][:-1]][: len(by_set)])
-        equal = np.zeros(len(order), bool)
-        if len(order):
-            equal[by_set] = no[by_set] > np.repeat(np.minimum.reduceat(held, begin), np.diff(np.r_[begin, len(by_set)]))
-        twins = order[equal & (rows["role"][order] & 2 > 0)]
-        order, no = order[~equal], no[~equal]
-        rows |= {k: v[order] for k, v in rows.items()} | {"block": name[order], "no": no}
-        more, pairs = np.zeros(len(order), bool), [np.zeros((3, 0), np.int64)]
-        for pair in candidates(rows, percent):
+        held = np.where(tag & 1 > 0, no, len(x) + 1)[by_set]
+        begin = np.flatnonzero(np.r_[True, sets[by_set][1:] != sets[by_set][:-1]][: len(x)])
+        equal = np.zeros(len(x), bool)
+        if len(x):
+            equal[by_set] = no[by_set] > np.repeat(np.minimum.reduceat(held, begin), np.diff(np.r_[begin, len(x)]))
+        twins = x[equal & (tag & 2 > 0)]
+        name, tag, x, no = name[~equal], tag[~equal], x[~equal], no[~equal]
+        more, pairs = np.zeros(len(x), bool), [np.zeros((3, 0), np.int64)]
+        for pair in candidates(x, (tag >> 2) + x["skipped"].astype(np.int64), name, no, tag & 3, percent):
             pairs.append(np.array(pair))
-            if most is not None and sum(x.shape[1] for x in pairs) > _HELD:
+            if most is not None and sum(p.shape[1] for p in pairs) > _HELD:
                 pairs = [np.array(nearest(*np.concatenate(pairs, axis=1), most, more))]
         a, b, apart = np.concatenate(pairs, axis=1)
         if most is not None:
             a, b, apart = nearest(a, b, apart, most, more)
-        places = {k: table.column(k).take(pa.array(np.r_[twins, order[b]])).combine_chunks() for k in PLACE}
-        earlier = {f"a_{k}": pa.concat_arrays([pa.nulls(len(twins), table.schema.field(k).type), pa.array(rows[k][a])]) for k in PLACE}
-        out = pa.table(places | earlier | {"more": pa.array(np.r_[np.zeros(len(twins), bool), more[b]])})
+        columns = {c: pa.array(np.r_[twins[c], x[c][b]]) for c in PLACE}
+        columns |= {f"a_{c}": pa.concat_arrays([pa.nulls(len(twins), columns[c].type), pa.array(x[c][a])]) for c in PLACE}
+        out = pa.table(columns | {"more": pa.array(np.r_[np.zeros(len(twins), bool), more[b]])})
         yield from out.to_batches(max_chunksize=100_000)
 
-    n = partitions_for(about, _TASK_ROWS)
-    return entries.repartition(n, "token", "c", "p").mapInArrow(meet, "id0 long, fp long, line int, a_id0 long, a_fp long, a_line int, more boolean")
+    return entries.repartition(partitions_for(about, _TASK_ROWS), "block").mapInArrow(meet, "id0 long, fp long, line int, a_id0 long, a_fp long, a_line int, more boolean")
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -250,11 +301,8 @@ def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             wanted_ = [np.array(x, np.int64) for x in combined(part, "lines").to_pylist()]
             ids, fps = combined(part, "id0").to_numpy(), combined(part, "fp").to_numpy()
             for lo, hi, data, offsets in text_slices(combined(part, "text")):
-                s = LineSets(data, offsets)
-                asked = np.concatenate([np.int64(d) << 32 | x for d, x in enumerate(wanted_[lo:hi])])
-                at = np.flatnonzero(np.isin(s.doc << 32 | s.line, asked))
-                mine = np.isin(s.group, at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s.doc[at] + lo]), pa.array(fps[s.doc[at] + lo]), pa.array(s.line[at].astype(np.int32)), list_array(s.token[mine].view(np.int64), s.n[at], pa.int64())], names=[*PLACE, "tokens"])
+                s = LineSets(data, offsets, only=np.concatenate([np.int64(d) << 32 | x for d, x in enumerate(wanted_[lo:hi])]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s.doc + lo]), pa.array(fps[s.doc + lo]), pa.array(s.line.astype(np.int32)), list_array(s.token.view(np.int64), s.n, pa.int64())], names=[*PLACE, "tokens"])
 
     joined = attach(rows.select("id0", "fp", "text"), lists, "inner")
     return joined.mapInArrow(read, "id0 long, fp long, line int, tokens array<long>")
@@ -265,53 +313,93 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     earlier = [F.col(f"a_{k}").alias(k) for k in PLACE]
     sets = staged(sets_of(rows, pairs.select(*PLACE).unionByName(pairs.select(*earlier))), "sets", True)
     x = sets.select(*(F.col(k).alias(f"a_{k}") for k in PLACE), F.col("tokens").alias("x"))
-    near = pairs.join(x.hint("merge"), [f"a_{k}" for k in PLACE]).join(sets.hint("merge"), list(PLACE))
-    both = F.size(F.array_intersect("x", "tokens"))
-    hits = staged(near.filter(100 * both >= percent * (F.size("x") + F.size("tokens") - both)).select(*PLACE).distinct(), "hits")
+    near = pairs.select(*PLACE, *(f"a_{k}" for k in PLACE)).join(x.hint("merge"), [f"a_{k}" for k in PLACE]).join(sets.hint("merge"), list(PLACE))
+
+    def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for batch in (part.slice(i, 2000) for i in range(0, part.num_rows, 2000)):
+                lists = [combined(batch, c) for c in ("x", "tokens")]
+                sizes = [np.diff(c.offsets.to_numpy()).astype(np.int64) for c in lists]
+                owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+                token = np.concatenate([c.flatten().to_numpy() for c in lists])
+                order = np.argsort(token)
+                order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+                token, owner = token[order], owner[order]
+                both = np.bincount(owner[1:][(token[1:] == token[:-1]) & (owner[1:] == owner[:-1])], minlength=batch.num_rows)  # a set holds a token once
+                yield batch.select(list(PLACE)).filter(pa.array(100 * both >= percent * (sizes[0] + sizes[1] - both)))
+
+    hits = staged(near.select(*PLACE, "x", "tokens").mapInArrow(check, "id0 long, fp long, line int").distinct(), "hits")
     discard(sets)
     return hits
 
 
-def _entries(lines: DataFrame, prefix: F.Column) -> DataFrame:
-    return lines.select(*PLACE, "n", "key", "sketch", F.explode(prefix).alias("t")).select("t.token", "t.pos", *PLACE, "n", "key", "sketch")
+def _both(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, at, data): the entries of rare tokens, and those of common ones; ``at`` is the index in the prefix."""
+    rare = lines.select("data", F.posexplode("prefix").alias("at", "token"))
+    common = lines.filter(F.size("common") > 0).select("data", F.size("prefix").alias("before"), F.posexplode("common").alias("at", "token"))
+    return rare.select("token", "at", "data"), common.select("token", (F.col("before") + F.col("at")).alias("at"), "data")
+
+
+def asked_for(lines: DataFrame, asking: DataFrame) -> DataFrame:
+    """The entries of all ``lines`` with a token whose hash slot a token of ``asking`` has; a table of SLOTS bytes tells which."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield by_chunk(slots_of(combined(part, "token").to_numpy().view(np.uint64)))
+
+    shared = lines.sparkSession.sparkContext.broadcast(gathered(asking.select("token").mapInArrow(count, "chunk int, slot binary, n binary")))
+
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for part in parts:
+            before, data = np.zeros(part.num_rows, np.int64), unpacked(combined(part, "data"), LINE)
+            for name in ("prefix", "common"):
+                lists = combined(part, name)
+                counts = np.diff(lists.offsets.to_numpy())
+                token = lists.flatten().to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), counts)
+                at = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts) + before[owner]
+                ok = wanted[slots_of(token.view(np.uint64))] > 0
+                yield pa.RecordBatch.from_arrays([pa.array(token[ok]), pa.array(at[ok].astype(np.int32)), packed(data[owner[ok]])], names=["token", "at", "data"])
+                before = counts
+
+    return lines.select("data", "prefix", "common").mapInArrow(pick, "token long, at int, data binary")
 
 
 def matched(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(id0, fp, line) of the lines of which an earlier one is similar. ``lines``: see ``line_rows``."""
-    zero, both = F.lit(0), F.lit(3)
-    about = lines.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    # only a token that is common in the corpus can have many lines
-    common = float(1 + np.floor(8 * np.log2(MOST_ROWS)))
-    often, rare = (_entries(lines, F.filter("prefix", f)) for f in (lambda t: t.often >= common, lambda t: t.often < common))
-    crowded = often.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > MOST_ROWS)
+    place, about = list(PLACE), lines.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    rare, common = _both(lines)
+    crowded = common.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > MOST_ROWS)
     crowded = staged(crowded.select("token", F.ceil(F.col("size") / MOST_ROWS).cast("int").alias("parts")), "crowded")
-    own = F.pmod(F.xxhash64(*PLACE), F.coalesce("parts", F.lit(1))).cast("int")
-    often = often.join(crowded.hint("merge"), "token", "left").withColumn("c", own).drop("parts")
-    first = rare.withColumn("c", zero).unionByName(often).withColumns({"p": zero, "role": both})
-    seen = staged(met(first, about, percent, MOST_CANDIDATES), "seen", True)
-    same = seen.filter("a_line IS NULL").select(*PLACE).distinct()
-    pairs = seen.filter("a_line IS NOT NULL").groupBy(*PLACE, "a_id0", "a_fp", "a_line").agg(F.max("more").alias("more")).join(same.hint("merge"), list(PLACE), "left_anti")
+    own = F.pmod(F.xxhash64("data"), F.coalesce("parts", F.lit(1))).cast("int")
+    both = (F.col("at") * 4 + 3).alias("tag")
+    common = common.join(crowded.hint("merge"), "token", "left")
+    block = F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", own, F.lit(0)))
+    seen = staged(met(rare.select(F.col("token").alias("block"), both, "data").unionByName(common.select(block.alias("block"), both, "data")), about, percent, MOST_CANDIDATES), "seen", True)
+    same = seen.filter("a_line IS NULL").select(*place).distinct()
+    pairs = seen.filter("a_line IS NOT NULL").groupBy(*place, "a_id0", "a_fp", "a_line").agg(F.max("more").alias("more")).join(same.hint("merge"), place, "left_anti")
     pairs = staged(pairs, "pairs")
     found = staged(same.unionByName(verified(pairs, rows, percent)), "found")
     # not settled: lines that had more candidates, and those that haven't met all the lines of a token
-    split = _entries(lines, F.filter("prefix", lambda t: t.often >= common)).join(crowded.hint("merge"), "token").select(*PLACE)
-    rest = staged(pairs.filter("more").select(*PLACE).unionByName(split).distinct().join(found.hint("merge"), list(PLACE), "left_anti"), "rest")
+    split = lines.filter(F.size("common") > 0).select(*place, F.explode("common").alias("token")).join(crowded.hint("merge"), "token", "left_semi")
+    rest = staged(pairs.filter("more").select(*place).unionByName(split.select(*place)).distinct().join(found.hint("merge"), place, "left_anti"), "rest")
     discard(seen, pairs)
     if not rest.take(1):
         return found
-    every = _entries(lines, F.col("prefix")).join(crowded.hint("merge"), "token", "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "own": own})
-    asking = staged(_entries(lines.join(rest.hint("merge"), list(PLACE), "left_semi"), F.col("prefix")), "asking")
-    shares = staged(asking.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("shares")).join(crowded.hint("merge"), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "shares")
+    rare, common = _both(lines.join(rest.hint("merge"), place, "left_semi"))
+    asking = staged(rare.unionByName(common), "asking")
+    shares = asking.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("shares")).join(crowded.hint("merge"), "token", "left")
+    shares = staged(shares.select("token", "shares", F.coalesce("parts", F.lit(1)).alias("parts")), "shares")
     # a block holds a chunk of a token's lines and a share of those that ask
-    held = every.drop("parts").join(shares.hint("merge"), "token").select("token", F.col("own").alias("c"), F.explode(F.sequence(zero, F.col("shares") - 1)).alias("p"), "pos", *PLACE, "n", "key", "sketch", F.lit(1).alias("role"))
-    share = F.pmod(F.xxhash64(*PLACE, F.lit(1)), F.col("shares")).cast("int").alias("p")
-    asks = asking.join(shares.hint("merge"), "token").select("token", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("c"), share, "pos", *PLACE, "n", "key", "sketch", F.lit(2).alias("role"))
-    blocks = staged(held.unionByName(asks), "blocks")
+    chunk, share = own.alias("c"), F.pmod(F.xxhash64("data", F.lit(1)), F.col("shares")).cast("int").alias("p")
+    held = asked_for(lines, asking).join(shares.hint("merge"), "token").select("token", "at", "data", chunk, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p"), F.lit(1).alias("role"))
+    asks = asking.join(shares.hint("merge"), "token").select("token", "at", "data", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("c"), share, F.lit(2).alias("role"))
+    blocks = staged(held.unionByName(asks).select(F.xxhash64("token", "c", "p").alias("block"), (F.col("at") * 4 + F.col("role")).alias("tag"), "data"), "blocks", True)
     seen = staged(met(blocks, blocks.count(), percent, None), "others", True)
     discard(blocks)
-    same = seen.filter("a_line IS NULL").select(*PLACE)
     pairs = staged(seen.filter("a_line IS NOT NULL").drop("more").distinct(), "pairs")
-    return found.unionByName(same).unionByName(verified(pairs, rows, percent)).distinct()
+    return found.unionByName(seen.filter("a_line IS NULL").select(*place)).unionByName(verified(pairs, rows, percent)).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, extra: Sequence[str] = ()) -> DataFrame:
@@ -332,7 +420,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_count(text: F.Column) -> F.Column:
-    return (F.regexp_count(text, F.lit("\n")) + 1).cast("long")
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
 def without_lines(text: F.Column, gone: F.Column) -> F.Column:

@@ -16,6 +16,10 @@ WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_IN_WORD = (~WHITE).view(np.int8)
+#: Masks that keep the first 0 to 8 of eight bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
 _powers = np.ones(1, U)
 _inverse = np.ones(1, U)
 
@@ -38,26 +42,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def lanes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces of ``data`` (first byte, bytes), eight bytes at a time."""
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    padded[len(data) :] = 0
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(U) * _BASE ^ eight[start] & _KEEP[np.minimum(size, 8)])
+        more = np.flatnonzero(size > 8)
+        at = 8
+        while len(more):
+            out[more] = mix(out[more] * _STEP ^ eight[start[more] + at] & _KEEP[np.minimum(size[more] - at, 8)])
+            at += 8
+            more = more[size[more] > at]
+    return out
+
+
 class Words:
     """Words of a run of texts: ``start``, ``end`` (bytes), ``doc`` (index of the text), ``hash`` (64 bits)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         data = LOWER[data] if lower else data
-        word = ~WHITE[data]
-        n = len(data)
-        cut = np.zeros(n + 1, bool)  # a word never crosses the border of two texts
-        cut[offsets] = True
-        before = np.r_[False, word[:-1]] if n else word
-        after = np.r_[word[1:], False] if n else word
-        self.start = np.flatnonzero(word & (~before | cut[:n]))
-        self.end = np.flatnonzero(word & (~after | cut[1:])) + 1
-        self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.counts = np.bincount(self.doc, minlength=len(offsets) - 1).astype(np.int64)
-        self.first = np.r_[0, np.cumsum(self.counts)]
-        _grow(n)
-        with np.errstate(over="ignore"):
-            total = np.r_[U(0), np.cumsum((data.astype(U) + U(1)) * _powers[:n])]
-            self.hash = mix((total[self.end] - total[self.start]) * _inverse[self.start] + (self.end - self.start).astype(U))
+        word = np.zeros(len(data) + 2, np.int8)
+        np.take(_IN_WORD, data, out=word[1:-1])
+        edge = np.diff(word)
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # a word never crosses the border of two texts
+        inner = np.unique(offsets[1:-1])
+        inner = inner[(inner > 0) & (inner < len(data))]
+        inner = inner[(word[inner] > 0) & (word[inner + 1] > 0)]
+        if len(inner):
+            self.start, self.end = np.sort(np.r_[self.start, inner]), np.sort(np.r_[self.end, inner])
+        self.first = np.searchsorted(self.start, offsets)
+        self.counts = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
+        self.hash = lanes(data, self.start, self.end - self.start)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
