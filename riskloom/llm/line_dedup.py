@@ -2,7 +2,7 @@
 
 Tokens of a line are ordered by rarity (hashed corpus counts, ties by hash: any order that all lines share is
 exact). Two sets with Jaccard similarity over the threshold share a token of their prefixes; their lengths, the
-token's positions and a 64-bit parity sketch rule out most candidates, and the rest are verified on their full sets.
+token's positions and a 128-bit parity sketch rule out most candidates, and the rest are verified on their full sets.
 
 A line is removed if any earlier line matches, so one match is enough. Prefix entries are shuffled once, by token. In a
 task a line with the set of an earlier one goes at once, and of the others' candidates the MOST_CANDIDATES nearest
@@ -29,7 +29,7 @@ _CHUNK = 1 << 14
 #: At most about so many lines of a token, and of lines that ask for partners, meet in one block.
 MOST_ROWS = 4096
 #: Candidates of a line that one task passes on in the first round.
-MOST_CANDIDATES = 4
+MOST_CANDIDATES = 16
 #: Rows of blocks in one task, on average.
 _TASK_ROWS = 400_000
 #: Blocks of up to so many rows are compared all at once, larger ones one by one.
@@ -126,8 +126,8 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 #: What an entry says of its line, packed so that it is one column of the shuffle: the place, the number of distinct words,
-#: of left-out words, and two hashes of the set.
-LINE = np.dtype([("id0", "<i8"), ("fp", "<i8"), ("line", "<i4"), ("n", "<i4"), ("skipped", "<i4"), ("key", "<u8"), ("sketch", "<u8")])
+#: and two hashes of the set.
+LINE = np.dtype([("id0", "<i8"), ("fp", "<i8"), ("line", "<i4"), ("n", "<i4"), ("key", "<u8"), ("sketch", "<u8", 2)])
 
 
 def packed(values: np.ndarray) -> pa.Array:
@@ -142,13 +142,19 @@ def unpacked(column: pa.Array, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[first : first + kind.itemsize * len(column)].view(kind) if len(column) else np.zeros(0, kind)
 
 
+def set_name(x: np.ndarray) -> np.ndarray:
+    """What tells the sets of LINEs apart: all that is known of them, in 64 bits."""
+    with np.errstate(over="ignore"):
+        return W.mix(x["key"] ^ W.mix(x["sketch"][:, 0] + x["n"].astype(np.uint64)) ^ W.mix(x["sketch"][:, 1] ^ np.uint64(0x9E3779B97F4A7C15)))
+
+
 def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(id0, fp, line, again, m, data, prefix array<long>, common array<long>) for each line that may match another.
+    """(id0, fp, line, again, m, skipped, data, prefix array<long>, common array<long>) for each line that may match another.
 
     ``data`` is a LINE: its key names the set together with n and the sketch. Bit i of the sketch is the parity of the
-    tokens with hash i (mod 64), so two sketches differ in no more bits than their sets in tokens. Tokens that occur once
+    tokens with hash i (mod 128), so two sketches differ in no more bits than their sets in tokens. Tokens that occur once
     in the corpus are left out of the prefix, and a line without others: no other line has them. They come first in the
-    order, so the position of a token is its index and the number of those left out. ``common`` are the last tokens of the
+    order, so the position of a token is its index and the number of those left out, ``skipped``. ``common`` are the last tokens of the
     prefix, those that so many lines may have that their blocks could be too large. ``again``: an earlier line of the same
     batch has the same set; such a line needs no prefix. ``m`` is the length of the prefix.
     """
@@ -167,24 +173,26 @@ def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 x = np.zeros(len(s.start), LINE)
                 with np.errstate(over="ignore"):
                     x["key"] = W.mix(np.add.reduceat(W.mix(s.token ^ seed), s.start))
-                x["sketch"] = np.bitwise_xor.reduceat(np.uint64(1) << (s.token >> np.uint64(58)), s.start)
+                bit, half = np.uint64(1) << (s.token >> np.uint64(57) & np.uint64(63)), s.token >> np.uint64(63)
+                for i in (0, 1):
+                    x["sketch"][:, i] = np.bitwise_xor.reduceat(np.where(half == i, bit, np.uint64(0)), s.start)
                 x["id0"], x["fp"], x["line"], x["n"] = ids[s.doc + lo], fps[s.doc + lo], s.line, s.n
                 pos = np.arange(len(s.token)) - s.start[s.group]
                 inside = pos < prefix_size(s.n, percent)[s.group]
-                x["skipped"] = np.bincount(s.group[inside & (s.weight < 2)], minlength=len(x))
-                lists = []
+                lists, skipped = [], np.bincount(s.group[inside & (s.weight < 2)], minlength=len(x))
                 for mine in (inside & (s.weight > 1) & (s.weight < often), inside & (s.weight >= often)):
                     lists += [np.bincount(s.group[mine], minlength=len(x)), s.token[mine]]
                 some = lists[0] + lists[2] > 0
-                found.append((x[some], lists[0][some], lists[1], lists[2][some], lists[3]))
+                found.append((x[some], skipped[some], lists[0][some], lists[1], lists[2][some], lists[3]))
             if not found:
                 continue
-            x, m, prefix, k, common = map(np.concatenate, zip(*found, strict=True))
+            x, skipped, m, prefix, k, common = map(np.concatenate, zip(*found, strict=True))
             order = np.argsort(x["key"], kind="stable")
             same = np.r_[False, x["key"][order][1:] == x["key"][order][:-1]]
             order = order[same | np.r_[same[1:], False]]
-            order = order[np.lexsort([x[c][order] for c in ("line", "fp", "id0", "sketch", "n", "key")])]
-            head = np.flatnonzero(np.r_[True, (x[["key", "n", "sketch"]][order][1:] != x[["key", "n", "sketch"]][order][:-1])][: len(order)])
+            name = set_name(x)
+            order = order[np.lexsort([*(x[c][order] for c in ("line", "fp", "id0")), name[order]])]
+            head = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]][: len(order)])
             first = np.repeat(order[head], np.diff(np.r_[head, len(order)]))
             again, repeat = np.zeros(len(x), bool), np.zeros(len(x), bool)
             repeat[order] = order != first
@@ -192,9 +200,9 @@ def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             prefix, common = prefix[np.repeat(~repeat, m)], common[np.repeat(~repeat, k)]
             m, k = np.where(repeat, 0, m), np.where(repeat, 0, k)
             lists = [list_array(prefix.view(np.int64), m, pa.int64()), list_array(common.view(np.int64), k, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[c].copy()) for c in PLACE), pa.array(again), pa.array((m + k).astype(np.int32)), packed(x), *lists], names=[*PLACE, "again", "m", "data", "prefix", "common"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[c].copy()) for c in PLACE), pa.array(again), pa.array((m + k).astype(np.int32)), pa.array(skipped.astype(np.int32)), packed(x), *lists], names=[*PLACE, "again", "m", "skipped", "data", "prefix", "common"])
 
-    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, again boolean, m int, data binary, prefix array<long>, common array<long>")
+    return rows.select("id0", "fp", "text").mapInArrow(cut, "id0 long, fp long, line int, again boolean, m int, skipped int, data binary, prefix array<long>, common array<long>")
 
 
 def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +222,7 @@ def candidates(x: np.ndarray, pos: np.ndarray, block: np.ndarray, no: np.ndarray
     with a shared token need a size ratio of ``percent`` hundredths, as many tokens from this one on as they must
     share, and sketches no further apart than their other tokens.
     """
-    n, sketch = x["n"].astype(np.int64), x["sketch"].copy()
+    n, sketch = x["n"].astype(np.int64), np.ascontiguousarray(x["sketch"])
     left, index, probe = n - pos, role & 1 > 0, role & 2 > 0
 
     def pick(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +233,7 @@ def candidates(x: np.ndarray, pos: np.ndarray, block: np.ndarray, no: np.ndarray
         least = -(-percent * (n[a] + n[b]) // (100 + percent))
         ok = np.minimum(left[a], left[b]) >= least
         a, b, least = a[ok], b[ok], least[ok]
-        apart = np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int64)
+        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
         ok = apart <= n[a] + n[b] - 2 * least
         return a[ok], b[ok], apart[ok]
 
@@ -247,7 +255,7 @@ def candidates(x: np.ndarray, pos: np.ndarray, block: np.ndarray, no: np.ndarray
 def met(entries: DataFrame, about: int, percent: int, most: int | None) -> DataFrame:
     """What meets in the ``about`` ``entries`` (block, tag, data): a row for each later line and candidate.
 
-    ``tag`` is four times the token's index and 1 for a line that others ask for, 2 for one that asks, 3 for both.
+    ``tag`` is four times the token's position and 1 for a line that others ask for, 2 for one that asks, 3 for both.
     (id0, fp, line) is the later line, (a_id0, a_fp, a_line) the earlier one, null if their sets are equal: nothing
     is left to verify then. Given ``most``, only so many of the nearest are told, and ``more`` says that there were others.
     """
@@ -267,7 +275,7 @@ def met(entries: DataFrame, about: int, percent: int, most: int | None) -> DataF
         name, tag, x = name[order], tag[order], x[order]
         no = np.cumsum(np.r_[True, (x["line"][1:] != x["line"][:-1]) | (x["fp"][1:] != x["fp"][:-1]) | (x["id0"][1:] != x["id0"][:-1])][: len(x)])
         # rows with the set of an earlier, indexed row of the block
-        sets = W.mix(name ^ W.mix(x["key"] ^ W.mix(x["sketch"] + x["n"].astype(np.uint64))))
+        sets = W.mix(name ^ set_name(x))
         by_set = np.argsort(sets, kind="stable")
         held = np.where(tag & 1 > 0, no, len(x) + 1)[by_set]
         begin = np.flatnonzero(np.r_[True, sets[by_set][1:] != sets[by_set][:-1]][: len(x)])
@@ -277,7 +285,7 @@ def met(entries: DataFrame, about: int, percent: int, most: int | None) -> DataF
         twins = x[equal & (tag & 2 > 0)]
         name, tag, x, no = name[~equal], tag[~equal], x[~equal], no[~equal]
         more, pairs = np.zeros(len(x), bool), [np.zeros((3, 0), np.int64)]
-        for pair in candidates(x, (tag >> 2) + x["skipped"].astype(np.int64), name, no, tag & 3, percent):
+        for pair in candidates(x, tag.astype(np.int64) >> 2, name, no, tag & 3, percent):
             pairs.append(np.array(pair))
             if most is not None and sum(p.shape[1] for p in pairs) > _HELD:
                 pairs = [np.array(nearest(*np.concatenate(pairs, axis=1), most, more))]
@@ -334,10 +342,11 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _both(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, at, data): the entries of rare tokens, and those of common ones; ``at`` is the index in the prefix."""
-    rare = lines.select("data", F.posexplode("prefix").alias("at", "token"))
-    common = lines.filter(F.size("common") > 0).select("data", F.size("prefix").alias("before"), F.posexplode("common").alias("at", "token"))
-    return rare.select("token", "at", "data"), common.select("token", (F.col("before") + F.col("at")).alias("at"), "data")
+    """(token, pos, data): the entries of rare tokens, and those of common ones."""
+    rare = lines.select("data", "skipped", F.posexplode("prefix").alias("at", "token"))
+    common = lines.filter(F.size("common") > 0).select("data", (F.col("skipped") + F.size("prefix")).alias("skipped"), F.posexplode("common").alias("at", "token"))
+    rare, common = (x.select("token", (F.col("skipped") + F.col("at")).alias("pos"), "data") for x in (rare, common))
+    return rare, common
 
 
 def asked_for(lines: DataFrame, asking: DataFrame) -> DataFrame:
@@ -352,7 +361,7 @@ def asked_for(lines: DataFrame, asking: DataFrame) -> DataFrame:
     def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for part in parts:
-            before, data = np.zeros(part.num_rows, np.int64), unpacked(combined(part, "data"), LINE)
+            before, data = combined(part, "skipped").to_numpy().astype(np.int64), unpacked(combined(part, "data"), LINE)
             for name in ("prefix", "common"):
                 lists = combined(part, name)
                 counts = np.diff(lists.offsets.to_numpy())
@@ -360,10 +369,16 @@ def asked_for(lines: DataFrame, asking: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(part.num_rows), counts)
                 at = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts) + before[owner]
                 ok = wanted[slots_of(token.view(np.uint64))] > 0
-                yield pa.RecordBatch.from_arrays([pa.array(token[ok]), pa.array(at[ok].astype(np.int32)), packed(data[owner[ok]])], names=["token", "at", "data"])
-                before = counts
+                yield pa.RecordBatch.from_arrays([pa.array(token[ok]), pa.array(at[ok].astype(np.int32)), packed(data[owner[ok]])], names=["token", "pos", "data"])
+                before = before + counts
+
+    return lines.select("skipped", "data", "prefix", "common").mapInArrow(pick, "token long, pos int, data binary")
+
 
-    return lines.select("data", "prefix", "common").mapInArrow(pick, "token long, at int, data binary")
+def _in_each(rows: DataFrame, name: str, count: str) -> DataFrame:
+    """Rows once for each number under ``count`` in the column ``name``; only of those with several the rows multiply."""
+    several = rows.filter(F.col(count) > 1).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    return rows.filter(F.col(count) == 1).unionByName(several)
 
 
 def matched(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -373,7 +388,7 @@ def matched(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     crowded = common.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > MOST_ROWS)
     crowded = staged(crowded.select("token", F.ceil(F.col("size") / MOST_ROWS).cast("int").alias("parts")), "crowded")
     own = F.pmod(F.xxhash64("data"), F.coalesce("parts", F.lit(1))).cast("int")
-    both = (F.col("at") * 4 + 3).alias("tag")
+    both = (F.col("pos") * 4 + 3).alias("tag")
     common = common.join(crowded.hint("merge"), "token", "left")
     block = F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", own, F.lit(0)))
     seen = staged(met(rare.select(F.col("token").alias("block"), both, "data").unionByName(common.select(block.alias("block"), both, "data")), about, percent, MOST_CANDIDATES), "seen", True)
@@ -392,10 +407,11 @@ def matched(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     shares = asking.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("shares")).join(crowded.hint("merge"), "token", "left")
     shares = staged(shares.select("token", "shares", F.coalesce("parts", F.lit(1)).alias("parts")), "shares")
     # a block holds a chunk of a token's lines and a share of those that ask
-    chunk, share = own.alias("c"), F.pmod(F.xxhash64("data", F.lit(1)), F.col("shares")).cast("int").alias("p")
-    held = asked_for(lines, asking).join(shares.hint("merge"), "token").select("token", "at", "data", chunk, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p"), F.lit(1).alias("role"))
-    asks = asking.join(shares.hint("merge"), "token").select("token", "at", "data", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("c"), share, F.lit(2).alias("role"))
-    blocks = staged(held.unionByName(asks).select(F.xxhash64("token", "c", "p").alias("block"), (F.col("at") * 4 + F.col("role")).alias("tag"), "data"), "blocks", True)
+    held = asked_for(lines, asking).join(shares.hint("merge"), "token").withColumns({"c": own, "p": F.lit(0), "role": F.lit(1)})
+    asks = asking.join(shares.hint("merge"), "token").withColumns({"c": F.lit(0), "p": F.pmod(F.xxhash64("data", F.lit(1)), F.col("shares")).cast("int"), "role": F.lit(2)})
+    held, asks = _in_each(held, "p", "shares"), _in_each(asks, "c", "parts")
+    blocks = held.unionByName(asks).select(F.xxhash64("token", "c", "p").alias("block"), (F.col("pos") * 4 + F.col("role")).alias("tag"), "data")
+    blocks = staged(blocks, "blocks", True)
     seen = staged(met(blocks, blocks.count(), percent, None), "others", True)
     discard(blocks)
     pairs = staged(seen.filter("a_line IS NOT NULL").drop("more").distinct(), "pairs")
@@ -432,7 +448,7 @@ def without_lines(text: F.Column, gone: F.Column) -> F.Column:
 def removed_lines(rows: DataFrame, percent: int = 80) -> DataFrame:
     """(id0, fp, gone array<int>) of the documents (see ``keyed``) that lose lines."""
     rows = rows.select("id0", "fp", "text")
-    lines = staged(line_rows(rows, rarity(rows), percent), "lines")
+    lines = staged(line_rows(rows, rarity(rows), percent), "lines", True)
     gone = lines.filter("again").select(*PLACE).unionByName(matched(lines.filter("m > 0"), rows, percent))
     out = staged(gone.groupBy("id0", "fp").agg(F.collect_set("line").alias("gone")), "removed")
     discard(lines)

@@ -35,14 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: cuts lineage, survives lost executors.
 
-    Nothing reads the plan's shuffle files again; if they are ``large``, Spark is told to delete them once it is written.
+    Nothing reads the plan's shuffle files again; if they are ``large``, Spark is told to delete them once
+    it is written. A large table holds hashes, for which dictionaries only cost time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riskloom/{uuid.uuid4().hex}/{name}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true" if large else before)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not large).lower()).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
