@@ -2,7 +2,8 @@
 
 The index is a Parquet table bucketed and sorted by digest, one row for each distinct text ever accepted. A
 batch is reduced to one row per digest (partial aggregation before the shuffle, so a hot text costs one row per
-task), anti-joined with the index by a sort-merge join and the rest appended.
+task), anti-joined with the index by a sort-merge join and the rest appended. The index notes which batch brought a
+text, so a batch that is judged again, because its result was lost after the append, gets the same verdicts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_groups, staged
+from .shared import discard, join_groups, staged
 
 BUCKETS = 64
 
@@ -23,32 +24,45 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def open_index(spark: SparkSession, table: str, path: str | None = None, buckets: int = BUCKETS) -> None:
     """Creates the index table, or registers the one that lies at ``path`` already."""
     where = f"LOCATION '{path}'" if path else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS {where}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (digest STRING, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS {where}")
 
 
-def add_batch(spark: SparkSession, rows: DataFrame, table: str, buckets: int = BUCKETS) -> DataFrame:
+def batch_name(rows: DataFrame) -> str:
+    """A name that follows from the rows (id, digest) of a batch: the same rows, in any order, have the same name."""
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("id", "digest").cast("decimal(38,0)")), F.lit(0))).first()
+    return f"{n}:{total}"
+
+
+def add_batch(spark: SparkSession, rows: DataFrame, table: str, batch: str, buckets: int = BUCKETS) -> DataFrame:
     """Appends the texts of ``rows`` (id, digest) that the index lacks; returns a row for each digest of the batch.
 
+    Texts that the index has from a run of the same ``batch`` are its own: not appended again, and not ``known``.
+
     Of equal texts in the batch, the largest id is the one to keep (ids that are null lose). The returned
     ``known`` says that an earlier batch brought the digest; no row of this batch is to be kept then.
     """
     groups = staged(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    known = spark.table(table).select("digest")
-    fresh = groups.join(known.hint("merge"), "digest", "left_anti")
+    known = spark.table(table).select("digest", (F.col("batch") == batch).alias("own"))
+    fresh = groups.join(known.hint("merge"), "digest", "left").filter(F.coalesce("own", F.lit(True)))
     fresh = staged(fresh, "fresh")  # read before the table is written to
-    fresh.repartition(buckets, "digest").sortWithinPartitions("digest").write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
-    return groups.join(fresh.select("digest", F.lit(False).alias("known")).hint("merge"), "digest", "left").withColumn("known", F.coalesce("known", F.lit(True)))
+    new = fresh.filter("own IS NULL").select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
+    new.repartition(buckets, "digest").sortWithinPartitions("digest").write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+    judged = groups.join(fresh.select("digest", F.lit(False).alias("known")).hint("merge"), "digest", "left").withColumn("known", F.coalesce("known", F.lit(True)))
+    judged = staged(judged, "judged")
+    discard(groups, fresh)
+    return judged
 
 
-def dedup(spark: SparkSession, docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, batch: str | None = None) -> DataFrame:
     """One row per document: id, digest, keep_id, group_size, kept.
 
-    Null texts equal empty ones; an empty table gives no rows; other columns are not read, so clashing names do
+    ``batch`` names the documents as one batch; unless given, the name follows from their ids and texts. A batch of
+    the same name is a rerun and gets the verdicts of the first run. Null texts equal empty ones; an empty table gives no rows; other columns are not read, so clashing names do
     no harm. Rows that repeat an id with the same text all carry that id's verdict. A row with a null id is kept
     only if its whole group has null ids.
     """
     rows = staged(digests(docs, id_col, text_col), "digests")
-    groups = staged(add_batch(spark, rows, table, buckets), "judged")
+    groups = add_batch(spark, rows, table, batch or batch_name(rows), buckets)
     old = spark.table(table).select("digest", F.col("keep_id").alias("old_id"))
     known = groups.filter("known").join(old.hint("merge"), "digest", "left").select("digest", F.col("old_id").alias("keep_id"), "group_size", "known")
     all_groups = groups.filter(~F.col("known")).unionByName(known)
