@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import combined
+from .shared import combined, discard, staged
 
-#: Benchmark text is searched in blocks of at most about so many bytes, each held in memory by every task.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text is searched in blocks of about so many bytes; a worker's tables take about a hundred times that.
+BLOCK_BYTES = 1 << 20
 
 #: Lower-cases A-Z; all but 0-9, a-z and bytes over 0x7F become spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -83,20 +84,30 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` and ``_hit`` (sorted positions of hit words), ``_items`` (ids as sorted strings), ``_n_words``.
 
-    No shuffle: the documents stay where they are read, and each block of the benchmark is one more pass over
-    them in the same stage. A null or empty text has no words; a null item text or id has no windows; an empty
-    benchmark hits nothing. Columns of ``docs`` may have any names other than these three.
+    No shuffle: the documents stay where they are read. Each block of the benchmark is broadcast for one pass over
+    them; of several passes each but the last is written to the shared folder before the next block is read, so driver
+    and workers hold one block at a time. A null or empty text has no words; a null item text or id has no windows; an
+    empty benchmark hits nothing; rows that repeat an id are judged row by row. Columns of ``docs`` may have any names
+    other than these three.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField("_hit", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_n_words", T.LongType())])
     out = docs.withColumns({"_hit": F.array().cast("array<int>"), "_items": F.array().cast("array<string>"), "_n_words": F.lit(0).cast("long")})
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+    block, before = None, None
+    for following in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+        if block is not None:
+            out = staged(out, "searched")
+            block.unpersist()
+            if before is not None:
+                discard(before)
+            before = out
+        block = docs.sparkSession.sparkContext.broadcast(following)
         out = _pass(out, schema, block, text_col, size)
     return out
 
 
-def _pass(docs: DataFrame, schema: T.StructType, block: list[tuple[str, str]], text_col: str, size: int) -> DataFrame:
+def _pass(docs: DataFrame, schema: T.StructType, block: Broadcast, text_col: str, size: int) -> DataFrame:
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = pattern_sets(block, size)
+        sets = pattern_sets(block.value, size)
         for part in parts:
             for batch in (part.slice(i, 500) for i in range(0, part.num_rows, 500)):
                 hits, items, counts = [], [], []
