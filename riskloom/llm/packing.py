@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import partitions_for, staged
 
 #: The histogram that the driver gets has so many bins for lengths from 1 to the budget; only where the budget is larger do lengths share bins.
 BINS = 16_384
 BUCKETS = 12
 TOKEN_BUDGET = 16_384
+#: Documents of one length are numbered in chunks of about so many.
+CHUNK_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -72,14 +74,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     ``tokens`` is the length (words of the text unless given; null or less than 0 counts as 0). A batch has
     ``budget`` // padded documents, at least one; only the last batch of a bucket may have fewer. Documents longer than
     the budget stand alone, uncut, in a bucket after those of all others and by id. Documents without tokens are packed
-    like others. Inside a bucket documents stand by length bin, then by id; which of two rows that repeat an id comes first is not defined.
+    like others. Inside a bucket documents stand by length bin, then by chunk (a hash of id and text) and
+    id, so that neither one length nor ids of any kind make a task large. Rows that repeat an id stand by their texts,
+    and equal rows are interchangeable. Ids may be of any type; rows with a null id stand in the order they are read.
     """
     text = F.coalesce(F.col(text_col), F.lit("")) if text_col in docs.columns else F.lit("")
     length = F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)) if tokens is not None else word_count(F.col(text_col))
-    rows = staged(docs.select(F.col(id_col).alias("id"), length.alias("n_tokens"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("place")), "lengths")
+    place = F.xxhash64(F.col(id_col), text, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
+    rows = staged(docs.select(F.col(id_col).alias("id"), length.alias("n_tokens"), place.alias("place")), "lengths")
     width, over = max(1, -(-budget // bins)), budget + 1  # by the parameters alone, so that no document changes another's bin
     ordinary = F.least(F.ceil(F.col("n_tokens") / width).cast("long") * width, F.lit(budget))
-    rows = rows.withColumn("bin", F.when(F.col("n_tokens") > budget, over).otherwise(ordinary).cast("long")).withColumn("chunk", F.shiftright("place", 16))
+    rows = rows.withColumn("bin", F.when(F.col("n_tokens") > budget, over).otherwise(ordinary).cast("long")).withColumn("chunk", F.pmod("place", F.lit(partitions_for(rows.count(), CHUNK_ROWS))))
     chunks = staged(rows.groupBy("bin", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")), "chunks")
     hist = sorted((r.bin, r.n, r.tokens) for r in chunks.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect())
     short = [h for h in hist if h[0] < over]
@@ -94,7 +99,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     bins_ = F.broadcast(spark.createDataFrame(plan, "bin long, bucket int, bound long, bin_offset long"))  # at most ``bins`` + 2 rows
     before = F.sum("n").over(Window.partitionBy("bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select("bin", "chunk", F.coalesce(before, F.lit(0)).alias("chunk_offset")).join(bins_, "bin")
-    inside = F.row_number().over(Window.partitionBy("bin", "chunk").orderBy("place")) - 1
+    inside = F.row_number().over(Window.partitionBy("bin", "chunk").orderBy("id", "place")) - 1
     rank = F.col("bin_offset") + F.col("chunk_offset") + F.col("inside")
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("padded", F.lit(1)))).cast("long")
     placed = rows.join(offsets.hint("merge"), ["bin", "chunk"]).withColumns({"inside": inside, "padded": F.coalesce("bound", "n_tokens")}).withColumns({"rank": rank, "room": room})
