@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,9 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = staged(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi > lo").distinct(), "large")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo")))
-        now = staged(small.distinct(), "small")
+        old, now = now, staged(small.distinct(), "small")
+        discard(old, large)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if sign == before:
             break
         before = sign
-    return staged(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct(), "components")
+    out = staged(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct(), "components")
+    discard(now)
+    return out

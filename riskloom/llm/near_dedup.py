@@ -32,7 +32,7 @@ MINIMA = 128
 MARGIN = 0.2
 #: A task compares at most so many documents, or documents with so many shingles together, with each other.
 MOST_ROWS, MOST_SHINGLES = 4096, 1_000_000
-#: Groups of more documents than this count all their intersections at once.
+#: Groups with more close pairs than this for each document count their intersections at once.
 FEW = 24
 
 _rng = np.random.default_rng(11)
@@ -121,16 +121,21 @@ def links_of(texts: list[str], sigs: np.ndarray, percent: int) -> list[tuple[int
         sets += shingle_sets(np.frombuffer(b"".join(raw[lo:hi]), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw[lo:hi]])])
         lo = hi
     sizes = np.array([len(x) for x in sets], np.int64)
-    shared = intersections(sets) if len(sets) > FEW else None
-    component, found = np.arange(len(sets)), []
+    close = []
     for x in range(len(sets) - 1):
         rest = np.arange(x + 1, len(sets))
-        rest = rest[component[rest] != component[x]]
         rest = rest[100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x])]
-        rest = rest[similarity(sigs[x], sigs[rest]) >= percent / 100 - MARGIN]
+        close.append(rest[similarity(sigs[x], sigs[rest]) >= percent / 100 - MARGIN])
+    shared = None
+    if sum(map(len, close)) > FEW * len(sets):  # of sets with a close one only
+        some = np.unique(np.concatenate([np.r_[x, rest] for x, rest in enumerate(close) if len(rest)]))
+        shared, at = intersections([sets[i] for i in some]), np.searchsorted(some, np.arange(len(sets)))
+    component, found = np.arange(len(sets)), []
+    for x, rest in enumerate(close):
+        rest = rest[component[rest] != component[x]]
         if not len(rest):
             continue
-        both = shared[x, rest].astype(np.int64) if shared is not None else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in rest])
+        both = shared[at[x], at[rest]].astype(np.int64) if shared is not None else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in rest])
         for y in rest[100 * both >= percent * (sizes[x] + sizes[rest] - both)].tolist():
             if component[y] != component[x]:
                 component[component == component[y]] = component[x]
@@ -231,7 +236,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one of a shorter text. Documents are linked if 100 * intersection >= ``percent`` * union, and the component is the
     smallest id reachable over links; that document is kept. Null and empty texts have no shingles and no links. A row
     with a null id is linked with nothing: its component is null and it is kept. Rows with one id are one document with
-    the links of all its texts. Of the input only the two named columns are read.
+    the links of all its texts. Ids are whole numbers. Of the input only the two named columns are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = staged(signatures(rows), "signatures")
