@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,10 @@ from . import words as W
 from .shared import combined, list_array, text_slices
 
 HASH_BITS = 18
-#: The fit uses at most so many labelled rows, half of each class, chosen by a hash of their ids.
+#: The fit uses at most so many labelled rows, half of each class, chosen by a hash of their ids, and of these the first
+#: that together have so many bytes of text (half of each class again, one text at least).
 SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 12
 COST = 1.0
 
@@ -83,7 +85,10 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost: float = COST, ones: float | None = None) -> Model:
-    """``labels``: 0 or 1. ``ones``: the share of label 1 where the scores are to hold, if the rows' own share differs. Without both classes the model is the share of ones (one half without any rows)."""
+    """``labels``: 0 or 1. ``ones``: the share of label 1 where the scores are to hold, if the rows' own share differs.
+
+    With fewer than 20 rows, or without both classes, every score is the share of ones (one half without any rows).
+    """
     size = 1 << HASH_BITS
     if len(rows) < 20 or labels.min() == labels.max():
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, 0.0, float(labels.mean()) if len(rows) else 0.5)
@@ -137,15 +142,21 @@ def _logistic(margins: np.ndarray, labels: np.ndarray, share: float) -> tuple[fl
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most ``sample_rows`` labelled rows that are not held out; null and contradicting labels don't count."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most ``sample_rows`` labelled rows that are not held out; null and contradicting labels don't count.
+
+    Of rows that repeat an id the text with the smallest hash counts. The order of rows makes no difference.
+    """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other").filter(~held_out(F.col("id")))
     shares = dict(marks.groupBy("label").count().collect())
     chosen = None
     for k in (0, 1):
         part = marks.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    running = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")) - F.octet_length("text")
+    rows = rows.withColumn("before", running).filter(F.col("before") < sample_bytes // 2).select("id", "label", "text")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -154,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([combined(part, "id").slice(lo, hi - lo), combined(part, "label").slice(lo, hi - lo), list_array(np.concatenate(found), np.array([len(f) for f in found]), pa.int32())], names=["id", "label", "found"])
 
     table = rows.mapInArrow(read, f"id {rows.schema['id'].dataType.simpleString()}, label int, found array<int>").toArrow()
-    order = np.argsort(table.column("id").to_numpy(), kind="stable")[: 2 * sample_rows]
+    order = np.argsort(table.column("id").to_numpy(), kind="stable")
     found, marks_ = table.column("found").combine_chunks(), table.column("label").to_numpy()
     if isinstance(found, pa.ChunkedArray):
         found = found.chunk(0) if found.num_chunks else pa.array([], pa.list_(pa.int32()))
