@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .shared import combined
+from .shared import combined, staged
 
 GRAM = 6
 BUCKET_BYTES = 2 << 20
@@ -144,8 +144,8 @@ def removed(spans: list[dict] | None, n: int, length: int) -> np.ndarray:
 def against_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", ref_text_col: str = "text", length: int = 20, most_bytes: int = 8 << 20) -> DataFrame:
     """(id, spans array<struct<start, runs>>): runs of ``length`` words that occur in ``reference``, a table of its own.
 
-    The reference is cut into shards of at most about ``most_bytes``; each shard's automaton is broadcast, and all
-    documents stream through it. The number of passes grows with the reference, the size of a broadcast doesn't.
+    The reference is cut into shards of at most about ``most_bytes``. Each is broadcast, and all documents stream through
+    its automaton before the next is read: passes grow with the reference, what is held at once doesn't.
     """
     refs = reference.select(F.coalesce(F.col(ref_text_col), F.lit("")).alias("t"))
     total = refs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
@@ -171,7 +171,8 @@ def against_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_
                     spans.append([{"start": a, "runs": n} for a, n in anchors.runs_of(hit)])
                 yield pa.RecordBatch.from_arrays([combined(batch, "id"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("runs", pa.int32())])))], names=["id", "spans"])
 
-        one = rows.mapInArrow(stream, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<start: int, runs: int>>").filter(F.size("spans") > 0)
+        one = staged(rows.mapInArrow(stream, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<start: int, runs: int>>").filter(F.size("spans") > 0), "shard")
+        shared.unpersist()
         found = one if found is None else found.unionByName(one)
     return found.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
