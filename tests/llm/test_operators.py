@@ -159,6 +159,23 @@ def test_near_dedup(spark, most):
     assert sorted((x.id or 0, x.component or 0, x.kept) for x in lone) == [(0, 0, True), (4, 4, True), (4, 4, True)]
 
 
+@pytest.mark.parametrize("few", [0, 24, 10**6])
+def test_links_within_a_group(monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    r = random.Random(3)
+    texts = []
+    for _ in range(3):
+        base = [f"t{r.randrange(10**6)}" for _ in range(90)]
+        texts += [" ".join(w if r.random() < 0.97 else "other" for w in base) for _ in range(14)]
+    sets = near_dedup.shingle_sets(np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+    found = near_dedup.links_of(texts, near_dedup.packed(near_dedup.minima(sets)), 85)
+    name = list(range(len(texts)))
+    for a, b in found:
+        assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+        name = [min(name[a], name[b]) if x in (name[a], name[b]) else x for x in name]
+    assert {i: (len(x), name[i]) for i, x in enumerate(sets)} == brute_components(list(enumerate(texts)), 85)
+
+
 def test_estimate_is_unbiased():
     r = np.random.default_rng(1)
     truth, seen = [], []
@@ -239,6 +256,41 @@ def test_quality(spark):
     assert quality.classify(empty(spark), none).count() == 0
 
 
+def test_ratios_and_fit_against_a_plain_solver():
+    """Log-count ratios by counting, and the dual's optimum by many plain passes without a random order."""
+    r = np.random.default_rng(4)
+    rows = [np.unique(r.integers(0, 30, 6) + (8 if i % 2 else 0)).astype(np.int32) for i in range(60)]
+    labels = np.array([i % 2 for i in range(60)])
+    model = quality.fit(rows, labels, epochs=400)
+    order = np.random.default_rng(5).permutation(60)
+    train = np.setdiff1d(order, order[::5])
+    part = [np.mean(labels[train] == k) for k in (0, 1)]
+    count = [[sum(f in rows[i] for i in train if labels[i] == k) for f in range(38)] for k in (0, 1)]
+    ratio = np.array([np.log((count[1][f] / part[1] + 1) / (count[0][f] / part[0] + 1)) for f in range(38)])
+    assert np.allclose(model.ratio[:38], ratio) and not model.ratio[38:].any()
+    x = np.zeros((len(train), 39))
+    for j, i in enumerate(train):
+        x[j, rows[i]] = ratio[rows[i]] / np.linalg.norm(ratio[rows[i]])
+        x[j, 38] = 1
+    y, alpha = np.where(labels[train] == 1, 1.0, -1.0), np.zeros(len(train))
+    most = np.where(labels[train] == 1, 0.5 / labels[train].mean(), 0.5 / (1 - labels[train].mean()))
+    w = np.zeros(39)
+    for _ in range(2000):
+        for j in range(len(train)):
+            new = min(max(alpha[j] - (y[j] * (x[j] @ w) - 1) / 2, 0), most[j])
+            w, alpha[j] = w + (new - alpha[j]) * y[j] * x[j], new
+    assert np.allclose(model.weight[:38], w[:38] * ratio, atol=1e-3) and abs(model.bias - w[38]) < 1e-3
+
+
+def test_quality_sample(spark):
+    """Repeated rows and the order of rows make no difference, and texts beyond the bound aren't fetched."""
+    rows = [(i, ("good stone " if i % 2 else "bad $$$ ") * (5 + i % 7)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    one, two = (quality.train(d, labels) for d in (frame(spark, rows), frame(spark, rows[::-1] + rows[:9])))
+    assert np.array_equal(one.weight, two.weight) and one.bias == two.bias
+    assert quality.train(frame(spark, rows), labels, sample_bytes=2).prior == 0.5
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------
 
 
@@ -273,6 +325,11 @@ def test_pack(spark):
         assert sorted(x.slot for x in xs) == list(range(len(xs)))
         if (bucket, batch + 1) in by:
             assert len(xs) == max(1, 100 // max(1, xs[0].padded))
+    named = packing.pack(spark.createDataFrame([("a", "x y"), ("b", "x"), ("b", "x"), (None, "x"), (None, "x")], "doc_id string, text string"), budget=4).collect()
+    assert sorted((x.id or "", x.n_tokens, x.padded) for x in named) == [("", 1, 1), ("", 1, 1), ("a", 2, 2), ("b", 1, 1), ("b", 1, 1)]
+    assert sorted((x.bucket, x.batch, x.slot) for x in named) == [(0, 0, 0), (0, 0, 1), (0, 0, 2), (0, 0, 3), (1, 0, 0)]
+    first, second = ({tuple(x) for x in packing.pack(frame(spark, docs[:-2]).repartition(k), buckets=4, budget=100).collect()} for k in (1, 5))
+    assert first == second
     coarse = packing.pack(frame(spark, docs), buckets=4, budget=100, bins=8).collect()
     assert len(coarse) == len(docs) and all(x.n_tokens <= x.padded for x in coarse)
     assert packing.pack(empty(spark)).count() == 0
@@ -315,6 +372,28 @@ def test_token_counts(spark, rule):
     assert token_counts.token_counts(empty(spark), ["text"]).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["start", "majority"])
+def test_token_counts_of_sections(spark, rule):
+    """Token by token, byte by byte."""
+    import tiktoken.load
+
+    docs = [(1, "Überlänge naïve\nzwei  drei\n\n  vier"), (2, None), (3, ""), (None, "a\nb"), (3, "a\nb" * 50)]
+    ranks = tiktoken.load.load_tiktoken_bpe(token_counts.VOCABULARY)
+    encoding = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in docs:
+        text = "7\n" + (t or "")
+        owner = [0] * 2 + [1 + k for k, line in enumerate((t or "").split("\n")) for _ in line.encode() + b"\n"]
+        n, at = collections.Counter(), 0
+        for token in encoding.encode_ordinary(text):
+            mine = owner[at : at + len(encoding.decode_single_token_bytes(token))]
+            n[mine[0] if rule == "start" else max(sorted(set(mine)), key=mine.count)] += 1
+            at += len(mine)
+        want += [(i, *(("kept", 0) if s == 0 else ("text", s - 1)), n[s]) for s in range(2 + (t or "").count("\n"))]
+    got = token_counts.token_counts(frame(spark, docs), ["kept", "text"], sections_of="text", rule=rule).collect()
+    assert collections.Counter((x.id, x.field, x.section, x.n_tokens) for x in got) == collections.Counter(want)
+
+
 def test_allocation():
     sizes, starts = np.array([3, 2, 5]), np.array([0, 4, 4, 9])
     assert token_counts.allocate(sizes, starts, 10, "start").tolist() == [2, 0, 1, 0]
@@ -427,3 +506,8 @@ def test_exact_dedup(spark):
     assert sorted((x.id, x.keep_id, x.kept) for x in later) == [(900, 501, False), (901, 902, False), (902, 902, True)]
     assert spark.table(table).count() == len(groups) + 1
     assert exact_dedup.dedup(spark, empty(spark), table).count() == 0
+    again = exact_dedup.dedup(spark, frame(spark, docs).repartition(3), table).collect()
+    assert collections.Counter((x.id, x.keep_id, x.group_size, x.kept) for x in again) == collections.Counter((x.id, x.keep_id, x.group_size, x.kept) for x in got)
+    assert spark.table(table).count() == len(groups) + 1
+    long = exact_dedup.dedup(spark, frame(spark, [(1, "x" * 3_000_000), (2, "x" * 3_000_000)]), table, batch="long")
+    assert sorted((x.id, x.kept) for x in long.collect()) == [(1, False), (2, True)]
