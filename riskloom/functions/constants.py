@@ -80,6 +80,11 @@ CVSS_PR_CHANGED = {"N": 0.85, "L": 0.68, "H": 0.5}
 CVSS_UI = {"N": 0.85, "R": 0.62}
 SEVERITY_LABELS = {"CRITICAL": "CRÍTICA", "HIGH": "ALTA", "MODERATE": "MEDIA", "MEDIUM": "MEDIA", "LOW": "BAJA"}
 
+#: Lines of a package.json hunk: section opened (name), section closed, install script (name, command), entry (name, version).
+PACKAGE_JSON_OPEN = r'^[+\- ]\s*"([^"]+)":\s*\{\s*$'
+PACKAGE_JSON_CLOSE = r"^[+\- ]\s*\},?\s*$"
+PACKAGE_JSON_SCRIPT = r'^\+\s*"(preinstall|postinstall|install)":\s*"([^"]+)"'
+PACKAGE_JSON_ENTRY = r'^\+\s*"([^"]+)":\s*"([^"]+)"'
 PACKAGE_JSON_OTHER_KEYS = (
     "name", "version", "description", "main", "module", "types", "typings", "browser", "bin", "files", "sideEffects", "author", "license", "private", "type",
     "repository", "bugs", "homepage", "keywords", "scripts", "packageManager", "engines", "publishConfig", "exports", "workspaces", "directories", "funding",

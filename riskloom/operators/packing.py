@@ -7,8 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..sources.corpus import split_text
+
 MAX_CHUNKS = 20
 MAX_TOKENS = 8000
+#: Characters that fragments without ranges share, and the fewest that one has.
+OVERLAP, LEAST_FRAGMENT = 200, 500
 
 
 def degrees(edges: DataFrame, group: str = "diff_id") -> DataFrame:
@@ -46,6 +51,52 @@ def pack_pieces(pieces: DataFrame, edges: DataFrame, budget: int = MAX_TOKENS, m
     return rows.groupBy(group).applyInPandas(fill, f"{group} {kind}, path string, part int, tokens int, chunk int")
 
 
+def fragments(lines: list[str], ranges: list[tuple[int, int]], budget: int) -> list[str]:
+    """Fragments of a file that fit ``budget`` tokens, cut between its ``ranges`` (first and last line from 1) where it has some.
+
+    The first fragment begins with the file and the last ends with it. What is too much by itself is cut at
+    separators, with an overlap of OVERLAP characters. Blank fragments are left out; nothing else of a file is.
+    """
+    spans, begin, done = [], 0, 0
+    for start, end in sorted(ranges):
+        if done and _tokens("\n".join(lines[begin:end])) > budget:
+            spans.append((begin, done))
+            begin = start - 1
+        done = end
+    out = []
+    for a, z in [*spans, (begin, len(lines))]:
+        text = "\n".join(lines[a:z])
+        if _tokens(text) <= budget:
+            out.append(text)
+        else:
+            out += split_text(text, max(LEAST_FRAGMENT, 4 * budget - OVERLAP), OVERLAP)
+    return [x for x in out if x.strip()] or ["\n".join(lines)]
+
+
+def _tokens(text: str) -> int:
+    """As ``text.token_estimate``."""
+    return max(1, len(text) // 4) if text else 0
+
+
+def file_pieces(files: DataFrame, budget: int = MAX_TOKENS, group: str = "diff_id") -> DataFrame:
+    """(group, ord, path, part, parts, content, tokens): each file as one piece, or as fragments where it exceeds the budget.
+
+    ``files`` (group, ord, path, content, ranges array<struct<start: int, end: int>>), such as ``knowledge.indented_ranges``
+    gives; only the files over the budget go through Python. ``pack_pieces`` places the result.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(content: pd.Series, ranges: pd.Series) -> pd.Series:
+        return pd.Series([fragments(t.splitlines(), [(r["start"], r["end"]) for r in rs], budget) for t, rs in zip(content, ranges, strict=True)])
+
+    content = F.coalesce("content", F.lit(""))
+    rows = files.select(group, "ord", "path", content.alias("content"), "ranges")
+    small = rows.filter(X.token_estimate(F.col("content")) <= budget).select(group, "ord", "path", F.lit(0).alias("part"), F.lit(1).alias("parts"), "content")
+    large = rows.filter(X.token_estimate(F.col("content")) > budget).withColumn("cut", cut("content", F.coalesce("ranges", F.array().cast("array<struct<start: int, end: int>>"))))
+    large = large.select(group, "ord", "path", F.size("cut").alias("parts"), F.posexplode("cut").alias("part", "content")).select(*small.columns)
+    return small.unionByName(large).withColumn("tokens", X.token_estimate(F.col("content")))
+
+
 def excerpt_windows(matches: DataFrame, group: list[str], before: int = 3, most: int = 60) -> DataFrame:
     """(group, start, end): windows of ``before`` lines around matching lines (0-based, ``n_lines`` each), merged where they touch.
 

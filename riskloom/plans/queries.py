@@ -717,6 +717,22 @@ def _(spark, d):
     return chunks(table(spark, d, "documents"), "doc_id", "text").select("id", "n", F.md5("chunk").alias("chunk"))
 
 
+@query("corpus_split")
+def _(spark, d):
+    from ..sources.corpus import split_chunks
+
+    return split_chunks(table(spark, d, "documents"), "doc_id", "text").select("id", "n", F.md5("chunk").alias("chunk"))
+
+
+@query("file_pieces")
+def _(spark, d):
+    from ..operators import knowledge as N
+
+    text = F.coalesce("text", F.lit(""))
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("diff_id"), F.lit(0).alias("ord"), F.concat(F.lit("f"), "doc_id").alias("path"), text.alias("content"), N.indented_ranges(text).alias("ranges"))
+    return P.file_pieces(files, budget=300).select("diff_id", "path", "part", "parts", "tokens", F.md5("content").alias("content"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 

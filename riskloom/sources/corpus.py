@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -41,8 +44,60 @@ def case_fields(body, case_id):
     return F.coalesce(title, case_id).alias("title"), description.alias("description"), kind.alias("kind")
 
 
+#: A text is cut at the first of these that it has; parts that are still too long at the next; fixed values.
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def split_text(text: str, size: int = 1000, overlap: int = 100, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """Chunks of at most ``size`` characters without white space at their ends, cut at separators; a chunk repeats up to ``overlap`` characters of the last.
+
+    A separator stays at the head of the part that it begins. Parts shorter than ``size`` are joined while they fit.
+    """
+    at = next(i for i, s in enumerate(separators) if s in text)
+    sep, finer = separators[at], separators[at + 1 :]
+    head, *tail = text.split(sep) if sep else ["", *text]
+    parts, out, first = [p for p in (head, *(sep + t for t in tail)) if p], [], 0
+    for i in range(len(parts) + 1):
+        if i == len(parts) or len(parts[i]) >= size:
+            out += _joined(parts[first:i], size, overlap)
+            first = i + 1
+            if i < len(parts):
+                out += split_text(parts[i], size, overlap, finer) if finer else [parts[i]]
+    return out
+
+
+def _joined(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Windows over the parts: each is as long as ``size`` allows and begins with parts of at most ``overlap`` characters of the one before."""
+    ends = [0]
+    for p in parts:
+        ends.append(ends[-1] + len(p))
+    out, a = [], 0
+    for z in range(len(parts)):
+        if a < z and ends[z + 1] - ends[a] > size:
+            out.append("".join(parts[a:z]).strip())
+            while a < z and (ends[z] - ends[a] > overlap or ends[z + 1] - ends[a] > size):
+                a += 1
+    out.append("".join(parts[a:]).strip())
+    return [x for x in out if x]
+
+
+def split_column(text: Column, size: int = 1000, overlap: int = 100) -> Column:
+    """array<string> of the chunks of ``split_text``; a null text has none."""
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, size, overlap) if t else [])
+
+    return split(text)
+
+
+def split_chunks(cases: DataFrame, id_col: str = "case_id", text_col: str = "body", size: int = 1000, overlap: int = 100) -> DataFrame:
+    """(id, n, chunk): the chunks of each text at separators, numbered from 0."""
+    return cases.select(F.col(id_col).alias("id"), F.posexplode(split_column(F.col(text_col), size, overlap)).alias("n", "chunk"))
+
+
 def chunks(cases: DataFrame, id_col: str = "case_id", text_col: str = "body", size: int = 1000, overlap: int = 100) -> DataFrame:
-    """(id, n, chunk): windows of at most ``size`` characters that overlap by ``overlap``; a blank text has none."""
+    """(id, n, chunk): fixed windows, whatever the text, of at most ``size`` characters that overlap by ``overlap``; a blank text has none."""
     step = size - overlap
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")

@@ -1,5 +1,7 @@
 """Diffs, manifests and text patterns."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as X
@@ -82,3 +84,37 @@ def test_fuzzy_pairs_are_complete(spark):
     want = {(a, b) for a, b in itertools.permutations([n for n in names if len(n) >= 6], 2) if 1 <= distance(a, b) <= 2}
     df = spark.createDataFrame([("k", n) for n in names], "k string, name string")
     assert {(x.l, x.r) for x in matching.fuzzy_pairs(df, df, "k").collect()} == want
+
+
+def test_package_json_sections(spark):
+    hunk = '@@ -1 +1 @@\n {\n+  "name": "x",\n   "devDependencies": {\n+    "a": "1",\n+    "git": "github:u/r"\n   },\n+  "jest": {\n+    "deep": {\n+      "b": "2"\n+    },\n+    "c": "3"\n+  },\n+  "left": "4"\n@@ -9 +9 @@\n+    "d": "5",\n-    "e": "6"\n+++ "f": "7"\n'
+    assert [x[:3] for x in deps(spark, "package.json", hunk)] == [("a", "1", False), ("git", "github:u/r", True), ("b", "2", False), ("left", "4", False), ("d", "5", False)]
+
+
+def test_split_text():
+    from riskloom.sources.corpus import split_text
+
+    assert split_text("ab cd ef gh", 5, 2) == ["ab cd", "ef", "gh"]
+    assert split_text("ab cd ef gh", 6, 3) == ["ab cd", "cd ef", "ef gh"]
+    assert split_text("p1 p1\n\np2 p2\n\np3", 12, 0) == ["p1 p1\n\np2 p2", "p3"]
+    assert split_text("x" * 25, 10, 4) == ["x" * 10, "x" * 10, "x" * 10, "x" * 7]
+    assert split_text("", 10, 0) == [] and split_text(" \n ", 10, 0) == []
+    r = random.Random(1)
+    for _ in range(200):
+        text = "".join(r.choice("ab \n") for _ in range(r.randint(0, 120)))
+        out = split_text(text, 20, 5)
+        assert all(len(x) <= 20 and x == x.strip() and x in text for x in out)
+        assert "".join("".join(split_text(text, 20, 0)).split()) == "".join(text.split())  # without overlap, only white space goes
+
+
+def test_fragments(spark):
+    from riskloom.operators.packing import file_pieces, fragments
+
+    lines = ["import a", "def f", " " + "x" * 60, "def g", " " + "y" * 60, "end"]
+    assert fragments(lines, [(2, 3), (4, 5)], 25) == ["\n".join(lines[:3]), "\n".join(lines[3:])]
+    assert fragments(lines, [(2, 3), (4, 5)], 100) == ["\n".join(lines)]
+    long = fragments(["word " * 600], [], 200)
+    assert all(len(x) <= 600 for x in long) and len(long) > 5
+    files = spark.createDataFrame([(1, 0, "a", "short", None), (1, 1, "b", "\n".join(lines), [(2, 3), (4, 5)]), (2, 0, "c", None, None)], "diff_id long, ord int, path string, content string, ranges array<struct<start: int, end: int>>")
+    got = sorted((r.path, r.part, r.parts, r.tokens) for r in file_pieces(files, 25).collect())
+    assert got == [("a", 0, 1, 1), ("b", 0, 2, 19), ("b", 1, 2, 17), ("c", 0, 1, 0)]
