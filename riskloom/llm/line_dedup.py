@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def gathered(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([scale.tobytes()])], names=["chunk", "counts"])
 
     out = np.zeros(SLOTS, np.uint8)
-    table = parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
+    table = parts.repartition(64, "chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
     for c, b in zip(table.column("chunk").to_pylist(), table.column("counts").to_pylist(), strict=True):
         out[c * _CHUNK : (c + 1) * _CHUNK] = np.frombuffer(b, np.uint8)
     return out
@@ -148,7 +149,7 @@ def set_name(x: np.ndarray) -> np.ndarray:
         return W.mix(x["key"] ^ W.mix(x["sketch"][:, 0] + x["n"].astype(np.uint64)) ^ W.mix(x["sketch"][:, 1] ^ np.uint64(0x9E3779B97F4A7C15)))
 
 
-def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+def line_rows(rows: DataFrame, counts: Broadcast, percent: int) -> DataFrame:
     """(id0, fp, line, again, m, skipped, data, prefix array<long>, common array<long>) for each line that may match another.
 
     ``data`` is a LINE: its key names the set together with n and the sketch. Bit i of the sketch is the parity of the
@@ -158,11 +159,10 @@ def line_rows(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     prefix, those that so many lines may have that their blocks could be too large. ``again``: an earlier line of the same
     batch has the same set; such a line needs no prefix. ``m`` is the length of the prefix.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
     seed, often = np.uint64(0xA0761D6478BD642F), 1 + int(8 * np.log2(MOST_ROWS))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = counts.value
         for part in parts:
             ids, fps = combined(part, "id0").to_numpy(), combined(part, "fp").to_numpy()
             found = []
@@ -349,17 +349,21 @@ def _both(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rare, common
 
 
-def asked_for(lines: DataFrame, asking: DataFrame) -> DataFrame:
-    """The entries of all ``lines`` with a token whose hash slot a token of ``asking`` has; a table of SLOTS bytes tells which."""
+def asked_slots(asking: DataFrame) -> Broadcast:
+    """Which hash slots the tokens of ``asking`` have: a table of SLOTS bytes."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield by_chunk(slots_of(combined(part, "token").to_numpy().view(np.uint64)))
 
-    shared = lines.sparkSession.sparkContext.broadcast(gathered(asking.select("token").mapInArrow(count, "chunk int, slot binary, n binary")))
+    return asking.sparkSession.sparkContext.broadcast(gathered(asking.select("token").mapInArrow(count, "chunk int, slot binary, n binary")))
+
+
+def asked_for(lines: DataFrame, slots: Broadcast) -> DataFrame:
+    """The entries of all ``lines`` with a token of one of the ``slots``."""
 
     def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        wanted = slots.value
         for part in parts:
             before, data = combined(part, "skipped").to_numpy().astype(np.int64), unpacked(combined(part, "data"), LINE)
             for name in ("prefix", "common"):
@@ -407,11 +411,13 @@ def matched(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     shares = asking.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("shares")).join(crowded.hint("merge"), "token", "left")
     shares = staged(shares.select("token", "shares", F.coalesce("parts", F.lit(1)).alias("parts")), "shares")
     # a block holds a chunk of a token's lines and a share of those that ask
-    held = asked_for(lines, asking).join(shares.hint("merge"), "token").withColumns({"c": own, "p": F.lit(0), "role": F.lit(1)})
+    slots = asked_slots(asking)
+    held = asked_for(lines, slots).join(shares.hint("merge"), "token").withColumns({"c": own, "p": F.lit(0), "role": F.lit(1)})
     asks = asking.join(shares.hint("merge"), "token").withColumns({"c": F.lit(0), "p": F.pmod(F.xxhash64("data", F.lit(1)), F.col("shares")).cast("int"), "role": F.lit(2)})
     held, asks = _in_each(held, "p", "shares"), _in_each(asks, "c", "parts")
     blocks = held.unionByName(asks).select(F.xxhash64("token", "c", "p").alias("block"), (F.col("pos") * 4 + F.col("role")).alias("tag"), "data")
     blocks = staged(blocks, "blocks", True)
+    slots.destroy()
     seen = staged(met(blocks, blocks.count(), percent, None), "others", True)
     discard(blocks)
     pairs = staged(seen.filter("a_line IS NOT NULL").drop("more").distinct(), "pairs")
@@ -448,7 +454,9 @@ def without_lines(text: F.Column, gone: F.Column) -> F.Column:
 def removed_lines(rows: DataFrame, percent: int = 80) -> DataFrame:
     """(id0, fp, gone array<int>) of the documents (see ``keyed``) that lose lines."""
     rows = rows.select("id0", "fp", "text")
-    lines = staged(line_rows(rows, rarity(rows), percent), "lines", True)
+    counts = rows.sparkSession.sparkContext.broadcast(rarity(rows))
+    lines = staged(line_rows(rows, counts, percent), "lines", True)
+    counts.destroy()
     gone = lines.filter("again").select(*PLACE).unionByName(matched(lines.filter("m > 0"), rows, percent))
     out = staged(gone.groupBy("id0", "fp").agg(F.collect_set("line").alias("gone")), "removed")
     discard(lines)

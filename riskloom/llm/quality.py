@@ -25,6 +25,8 @@ HASH_BITS = 18
 #: that together have so many bytes of text (half of each class again, one text at least).
 SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 64 << 20
+#: Tasks that read the features of the sample: results of about a megabyte, not a few large ones.
+SAMPLE_TASKS = 64
 EPOCHS = 12
 COST = 1.0
 
@@ -156,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     running = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")) - F.octet_length("text")
-    rows = rows.withColumn("before", running).filter(F.col("before") < sample_bytes // 2).select("id", "label", "text")
+    rows = rows.withColumn("before", running).filter(F.col("before") < sample_bytes // 2).select("id", "label", "text").repartition(SAMPLE_TASKS, "id")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,12 +53,13 @@ def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
+    """Deletes staged tables that nothing reads any more, and lets go of the driver's plans of finished steps."""
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t._staged_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         t._staged_at = None
+    gc.collect()
 
 
 def partitions_for(rows: int, each: int) -> int:
