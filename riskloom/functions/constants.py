@@ -104,3 +104,15 @@ PROJECT_MARKERS = [
 ]
 UNKNOWN, ROOT = "desconocido", "(raíz)"
 MALICIOUS_KEYWORDS = ("malware", "backdoor", "exfiltration", "obfuscation", "trojan", "c2", "persistence", "supply-chain-attack")
+
+# What stored rows may hold, highest role first.
+FEEDBACK_VALUES = ("correcto", "falso_positivo")
+ROLE_VALUES = ("mantenedor", "revisor")
+# Forms and limits of proposed rules, and the score of a rule that states none.
+RULE_NAME, RULE_CATEGORY = "^[a-zA-Z_][a-zA-Z0-9_]{2,63}$", "^[a-z][a-z0-9_]{1,31}$"
+RULE_DECLARATION = r"(?m)^[ \t]*(?:(?:private|global)[ \t]+)*rule[ \t]+(\w+)"
+MAX_RULE_CHARS, DEFAULT_RULE_SCORE = 20_000, 60
+# The mark of content that wasn't read, and how often an answer near a threshold is asked for again.
+UNVERIFIED, RESAMPLES = "[CONTENIDO-NO-VERIFICADO]", 2
+# Settings that a request can't change.
+CLIENT_FORBIDDEN = {"thresholds", "weights", "block_on_red", "shortcircuit_enabled"}

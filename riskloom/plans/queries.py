@@ -894,3 +894,6 @@ def _(spark, d):
     line = F.concat_ws(" ", F.when(k % 3 == 0, zero).otherwise(sha), F.when(k % 3 == 1, zero).otherwise(sha), F.when(k % 7 != 0, F.concat(F.lit("r"), k)))
     rows = D.pushed_refs(table(spark, d, "orders").select(line.alias("value")))
     return rows.select(F.substr("ref", F.lit(2)).cast("long").alias("id"), "kind")
+
+
+from . import review_queries  # noqa: E402, F401  registers its queries with ``query``
