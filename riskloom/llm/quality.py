@@ -105,20 +105,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost:
     part = np.bincount(labels[train], minlength=2)[:, None] / len(train)
     counts = (counts + part) / part  # smoothed in proportion to the classes: a feature that was never seen has ratio 0
     ratio = np.log(counts[1] / counts[0])
-    x, y = {}, np.where(labels == 1, 1.0, -1.0)
-    for i in train:
-        v = ratio[rows[i]]
-        x[i] = v / (math.sqrt(float(v @ v)) or 1.0)
+    y = np.where(labels == 1, 1.0, -1.0)
+    length = {i: math.sqrt(float(ratio[rows[i]] @ ratio[rows[i]])) or 1.0 for i in train.tolist()}
     share = labels[train].mean()
     most = {1.0: cost * 0.5 / share, -1.0: cost * 0.5 / (1 - share)}  # both classes weigh the same
     w, bias, alpha = np.zeros(size), 0.0, dict.fromkeys(train.tolist(), 0.0)
     for _ in range(epochs):
         for i in rng.permutation(train).tolist():
-            g = y[i] * (float(w[rows[i]] @ x[i]) + bias) - 1.0
+            x = ratio[rows[i]] / length[i]  # made anew each time: all vectors at once would take twice the memory of the rows
+            g = y[i] * (float(w[rows[i]] @ x) + bias) - 1.0
             new = min(max(alpha[i] - g / 2.0, 0.0), most[y[i]])  # the vector has length one, the bias one more
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * x[i]
+                w[rows[i]] += step * x
                 bias += step
                 alpha[i] = new
     model = Model(ratio, w * ratio, bias, 1.0, 0.0)
@@ -168,11 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     table = rows.mapInArrow(read, f"id {rows.schema['id'].dataType.simpleString()}, label int, found array<int>").toArrow()
     order = np.argsort(table.column("id").to_numpy(), kind="stable")
-    found, marks_ = table.column("found").combine_chunks(), table.column("label").to_numpy()
-    if isinstance(found, pa.ChunkedArray):
-        found = found.chunk(0) if found.num_chunks else pa.array([], pa.list_(pa.int32()))
-    flat, at = found.values.to_numpy(), found.offsets.to_numpy()
-    return fit([flat[at[i] : at[i + 1]] for i in order], np.asarray(marks_)[order].astype(np.int64), ones=shares.get(1, 0) / max(1, sum(shares.values())))
+    lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in table.column("found").chunks]  # views, not copies
+    found = [flat[a:z] for flat, at in lists for a, z in zip(at[:-1], at[1:], strict=True)]
+    marks_ = table.column("label").to_numpy()
+    return fit([found[i] for i in order], np.asarray(marks_)[order].astype(np.int64), ones=shares.get(1, 0) / max(1, sum(shares.values())))
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
