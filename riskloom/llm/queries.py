@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import exact_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import bpe, exact_dedup, filter_audit, line_dedup, near_dedup, packing, periodic_runs, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+
+#: The vocabulary of op12; a session can name another file.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,6 +197,90 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+#: What separates words: space and x09 to x0D.
+WHITE = r"[\x20\x09-\x0D]+"
+
+
+def words_of(text: F.Column) -> F.Column:
+    return F.array_remove(F.split(text, WHITE), "")
+
+
+def _few_distinct(text: F.Column) -> F.Column:
+    return 100 * F.size(F.array_distinct(words_of(text))) < 80 * F.size(words_of(text))
+
+
+#: Failure conditions of op11's filters; E fails texts that a smaller id has.
+AUDIT_FILTERS = {
+    "A": lambda text: F.size(words_of(text)) < 100,
+    "B": _few_distinct,
+    "C": lambda text: 100 * (F.char_length(text) - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) > 10 * F.char_length(text),
+    "D": lambda text: text.rlike("[#$%&*|]"),
+}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), AUDIT_FILTERS, "E")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+             regexp_matches(text, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM d),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+k AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, x.i AS step, o[x.i] AS own, o[1:x.i - 1] AS before FROM o, x),
+j AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS hit, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda f: f)) AS failed FROM m, k),
+r AS (SELECT part, filter_order, step, any_value(own) AS own,
+             sum(n) FILTER (WHERE NOT gone AND NOT hit) AS kept, sum(n) FILTER (WHERE NOT gone AND hit) AS removed, sum(n) FILTER (WHERE gone AND hit) AS redundant,
+             sum(n) FILTER (WHERE hit AND failed = 1) AS unique_fails, sum(good) FILTER (WHERE NOT gone AND hit) AS good_lost, sum(toxic) FILTER (WHERE NOT gone AND hit) AS toxic_lost
+      FROM j GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automaton = bpe.from_file(spark.conf.get("riskloom.vocabulary", VOCABULARY))
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), automaton), automaton)
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of op13: in one document of ten, by its id's checksum, the words from one place on repeat a stretch of them."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
+    g, n = F.floor(h / 10).cast("long"), F.size("w").cast("long")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"), g.alias("g"))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words_of(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("a", F.when(n > 0, F.expr("g % size(w)")))
+    rows = rows.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    turned = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
+    return rows.select("doc_id", F.when(n > 0, turned).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted(_table(spark, sf_dir, "documents")))
+    best = F.expr("aggregate(slice(runs, 2, greatest(size(runs) - 1, 0)), runs[0], (m, r) -> if(r.length * m.period > m.length * r.period, r, m))")  # by start and period, so the first of equal ones
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), (r["period"]).cast("string"))), "\n")
+    rows = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best").getField(c).alias(c) for c in ("start", "length", "period")),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -206,6 +293,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_bpe": op12_bpe,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -218,4 +308,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
         "op10_exact_dedup": OP10_SQL,
+        "op11_filter_audit": OP11_SQL,
     }
