@@ -116,3 +116,8 @@ MAX_RULE_CHARS, DEFAULT_RULE_SCORE = 20_000, 60
 UNVERIFIED, RESAMPLES = "[CONTENIDO-NO-VERIFICADO]", 2
 # Settings that a request can't change.
 CLIENT_FORBIDDEN = {"thresholds", "weights", "block_on_red", "shortcircuit_enabled"}
+# Forms of registry ids, requirements files and case ids; poll errors in a row that stop a repository; modules in an overview.
+REGISTRY_ID = r"^[pr]/[A-Za-z0-9][A-Za-z0-9._-]*$"
+REQUIREMENTS_PATH = r"(^|/)requirements[\w.-]*\.txt$"
+CASE_ID = r"^[A-Za-z0-9_-]+$"
+MOST_POLL_ERRORS, OVERVIEW_MODULES = 5, 30

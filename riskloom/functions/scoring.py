@@ -20,10 +20,15 @@ def _active(layer: Column, weight: float) -> Column:
     return layer.isNotNull() & ~F.coalesce(layer["skipped"], F.lit(True)) & F.lit(weight > 0)
 
 
+def in_order(layers: dict[str, Column]) -> list[str]:
+    """Names of layers in the order of sums: the usual ones in their fixed order, then others by name."""
+    return [n for n in K.LAYERS if n in layers] + sorted(n for n in layers if n not in K.LAYERS)
+
+
 def weighted_mean(layers: dict[str, Column], weights: dict[str, float] = K.WEIGHTS, extra: float = 0.0) -> Column:
     """Mean of the active layers' scores by weight; 0 if none is active. ``extra``: weight of a layer with score 0."""
     top, below = F.lit(0.0), F.lit(0.0)
-    for name in [n for n in K.LAYERS if n in layers]:  # a fixed order of the sums
+    for name in in_order(layers):
         w = weights.get(name, 0.0)
         top = top + F.when(_active(layers[name], w), F.lit(w) * layers[name]["score"]).otherwise(0.0)
         below = below + F.when(_active(layers[name], w), F.lit(w)).otherwise(0.0)
@@ -34,10 +39,10 @@ def weighted_mean(layers: dict[str, Column], weights: dict[str, float] = K.WEIGH
 def effective_weights(layers: dict[str, Column], weights: dict[str, float] = K.WEIGHTS) -> Column:
     """map: each layer's share of the active weight, to four places; 0 if inactive."""
     total = F.lit(0.0)
-    for name in [n for n in K.LAYERS if n in layers]:
+    for name in in_order(layers):
         total = total + F.when(_active(layers[name], weights.get(name, 0.0)), F.lit(weights.get(name, 0.0))).otherwise(0.0)
     share = lambda n: F.when((total > 0) & _active(layers[n], weights.get(n, 0.0)), F.round(F.lit(weights.get(n, 0.0)) / total, 4)).otherwise(0.0)
-    return F.create_map(*(x for n in K.LAYERS if n in layers for x in (F.lit(n), share(n))))
+    return F.create_map(*(x for n in in_order(layers) for x in (F.lit(n), share(n))))
 
 
 def final_score(layers: dict[str, Column], weights: dict[str, float] = K.WEIGHTS, yellow: int = K.YELLOW, red: int = K.RED) -> Column:

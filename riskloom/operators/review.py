@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as X
 
-#: Strings of all rules together that one projection takes.
-MOST_STRINGS = 5_000
+#: Bytes of rule strings that are searched for in one pass.
+RULE_BYTES = 16 << 20
 
 
 def login(name: Column) -> Column:
@@ -93,25 +96,117 @@ def text_rules(sources: DataFrame) -> DataFrame:
     return rows.filter((F.col("_n") == F.size("strings")) & (F.col("_n") > 0) & F.col("needed").between(1, F.size("strings"))).drop("_n")
 
 
-def text_rule_hits(texts: DataFrame, rules: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """(ids, rule_id, score): texts in which enough strings of a rule occur. ``rules``: from ``text_rules``.
+def _automata(rules: list[tuple[str, int, int, list[tuple[str, bool]]]]):
+    """(exact, without case): automata whose strings carry the rules they belong to, as (rule, place of the string in it)."""
+    import ahocorasick
+
+    both: list[dict[str, list[tuple[int, int]]]] = [{}, {}]
+    for r, (_, _, _, strings) in enumerate(rules):
+        for k, (text, nocase) in enumerate(strings):
+            if text:
+                both[nocase].setdefault(text.lower() if nocase else text, []).append((r, k))
+    out = []
+    for owners in both:
+        automaton = ahocorasick.Automaton()
+        for text, places in owners.items():
+            automaton.add_word(text, places)
+        if owners:
+            automaton.make_automaton()
+        out.append(automaton if owners else None)
+    return out
+
+
+def _found(text: str, automata: list) -> dict[int, set[int]]:
+    """The strings of each rule that occur in ``text``."""
+    found: dict[int, set[int]] = {}
+    for automaton, t in zip(automata, (text, text.lower()), strict=True):
+        if automaton is not None:
+            for _, places in automaton.iter(t):
+                for r, k in places:
+                    found.setdefault(r, set()).add(k)
+    return found
+
+
+def text_rule_hits(texts: DataFrame, rules: DataFrame, id_cols: list[str], text_col: str, part_bytes: int = RULE_BYTES) -> DataFrame:
+    """(ids, rule_id, score): texts in which enough different strings of a rule occur. ``rules``: from ``text_rules``.
+
+    All strings of all rules are searched at once: each task builds an automaton of them and goes over a text once,
+    however many rules there are, so the plan doesn't grow with them and nothing is joined. Rules are configuration. They are sent
+    in parts of about ``part_bytes`` of strings, each with whole rules and a pass of its own; a common catalogue is one
+    part. Null texts are empty; the empty string occurs in every text. Rows that repeat ids each give their hits.
+    """
+    spark, rows = texts.sparkSession, texts.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = T.StructType([*(rows.schema[c] for c in id_cols), T.StructField("rule_id", T.StringType()), T.StructField("score", T.IntegerType())])
+
+    def search(part: list[tuple[str, int, int, list[tuple[str, bool]]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given = shared.value
+            automata = _automata(given)
+            always = [{k for k, (text, _) in enumerate(strings) if not text} for _, _, _, strings in given]
+            free = [r for r, (_, _, needed, _) in enumerate(given) if len(always[r]) >= needed]
+            for batch in batches:
+                at, which = [], []
+                for i, text in enumerate(batch.column(len(id_cols)).to_pylist()):
+                    found = _found(text, automata)
+                    hits = {r for r, ks in found.items() if len(ks | always[r]) >= given[r][2]}.union(free)
+                    at += [i] * len(hits)
+                    which += sorted(hits)
+                own = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(len(id_cols))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([given[r][0] for r in which], pa.string()), pa.array([given[r][1] for r in which], pa.int32())], names=schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    parts, size = [[]], 0
+    for r in rules.select("rule_id", "score", "needed", "strings").toLocalIterator():
+        own = sum(len(s.text.encode()) + 16 for s in r.strings)
+        if parts[-1] and size + own > part_bytes:
+            parts.append([])
+            size = 0
+        parts[-1].append((r.rule_id, r.score, r.needed, [(s.text, s.nocase) for s in r.strings]))
+        size += own
+    return reduce(DataFrame.unionByName, [search(p) for p in parts])
+
+
+def benign_matches(rules: DataFrame, benign: DataFrame) -> DataFrame:
+    """(rule_id, name): harmless texts (name, text) that a rule of ``rules`` (from ``text_rules``) matches: a warning that it is too broad.
+
+    One pass over the texts checks all rules. A warning only: it decides nothing.
+    """
+    return text_rule_hits(benign, rules, ["name"], "text").select("rule_id", "name").distinct()
+
+
+def approved_rules(stored: DataFrame) -> DataFrame:
+    """(category, source) of the stored rules that were approved, as ``text_rules`` takes them."""
+    return stored.filter(F.col("status") == "approved").select("category", "source")
+
 
-    Rules are configuration: at most MOST_STRINGS strings come to the driver and become literals of one projection, so
-    texts are read once and nothing is joined. More are refused; take them in parts.
+def rule_queue(stored: DataFrame, status: str | None = None) -> DataFrame:
+    """Stored rules, the newest first, of one status or all."""
+    rows = stored if status is None else stored.filter(F.col("status") == status)
+    return rows.orderBy(F.col("created_at").desc(), "rule_name")
+
+
+def decided_rules(stored: DataFrame, decisions: DataFrame, admins: list[str]) -> DataFrame:
+    """``stored`` (rule_name, category, source, rationale, status, ...) with status, reviewed_by and reviewed_at after ``decisions``.
+
+    A decision (rule_name, ord, action approve or reject, reviewer, at) counts if it comes from one of ``admins`` and the
+    rule is pending; the first that counts is final. A rule that isn't valid any more can't be approved, only rejected.
     """
-    n = rules.agg(F.coalesce(F.sum(F.size("strings")), F.lit(0))).first()[0]
-    if n > MOST_STRINGS:
-        raise ValueError(f"{n} strings of rules, at most {MOST_STRINGS} at a time")
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.lower(t)
-    hits = []
-    for r in rules.collect():
-        found = (F.contains(low, F.lit(s.text.lower())) if s.nocase else F.contains(t, F.lit(s.text)) for s in r.strings)
-        count = reduce(lambda a, b: a + b, (x.cast("int") for x in found))
-        hits.append(F.when(count >= r.needed, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.score).alias("score"))))
-    if not hits:
-        hits = [F.lit(None).cast("struct<rule_id: string, score: int>")]
-    return texts.select(*id_cols, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*id_cols, "h.rule_id", "h.score")
+    names = F.array(*(F.lit(a.strip().lower()) for a in admins if a.strip())) if admins else F.array().cast("array<string>")
+    sound = rule_problem(F.col("rule_name"), F.col("category"), F.col("source"), F.col("rationale")).isNull()
+    log = decisions.filter(F.col("action").isin("approve", "reject") & F.array_contains(names, login(F.col("reviewer"))))
+    both = log.join(stored.filter("status = 'pending'").select("rule_name", sound.alias("_sound")), "rule_name").filter("action = 'reject' OR _sound")
+    first = both.groupBy("rule_name").agg(F.min_by(F.struct("action", "reviewer", "at"), "ord").alias("_d"))
+    done = F.col("_d").isNotNull() & (F.col("status") == "pending")
+    return (
+        stored.join(first, "rule_name", "left")
+        .withColumn("reviewed_by", F.when(done, login(F.col("_d.reviewer"))))
+        .withColumn("reviewed_at", F.when(done, F.col("_d.at")))
+        .withColumn("status", F.when(done, F.when(F.col("_d.action") == "approve", "approved").otherwise("rejected")).otherwise(F.col("status")))
+        .drop("_d")
+    )
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
@@ -151,6 +152,50 @@ def semantic_stub(diff_ids: DataFrame, findings: DataFrame, changes: DataFrame)
     return _layer(rows, "semantic", score=score.cast("int"), confidence=F.lit(K.MEDIUM), nature=F.when(bad, K.MALICIOUS).when(F.col("n") > 0, K.VULNERABILITY).otherwise(K.UNCERTAIN), category=F.when(bad, "OFUSCACION").otherwise("NINGUNA"), justification=F.lit("stub"))
 
 
+@dataclass(frozen=True)
+class Inputs:
+    """What a layer may start from: ids (diff_id), changes, deps, the reference tables, and for late layers the findings of the others."""
+
+    ids: DataFrame
+    changes: DataFrame
+    deps: DataFrame
+    reference: DataFrame
+    advisories: DataFrame
+    reputation: DataFrame
+    rules: DataFrame | None
+    findings: DataFrame | None
+    config: Config
+
+
+#: A layer: from Inputs to its rows (LAYER, one for each change) and its findings (FINDING) or None.
+Layer = Callable[[Inputs], tuple[DataFrame, DataFrame | None]]
+REGISTRY: dict[str, Layer] = {}
+#: Layers that need the findings of the others.
+LATE: set[str] = set()
+
+
+def layer(name: str, late: bool = False) -> Callable[[Layer], Layer]:
+    """Registers a layer by the name of its weight; the last one of a name counts. It runs wherever its weight is over 0."""
+
+    def add(f: Layer) -> Layer:
+        REGISTRY[name] = f
+        (LATE.add if late else LATE.discard)(name)
+        return f
+
+    return add
+
+
+layer("static")(lambda x: static_layer(x.ids, x.changes, x.rules))
+layer("dependencies")(lambda x: dependency_layer(x.ids, x.deps, x.reference))
+layer("vulnerabilities")(lambda x: vulnerability_layer(x.ids, x.deps, x.advisories))
+layer("reputation")(lambda x: (reputation_layer(x.ids, x.reputation), None))
+
+
+@layer("semantic", late=True)
+def _(x: Inputs) -> tuple[DataFrame, DataFrame | None]:
+    return semantic_stub(x.ids, x.findings, x.changes), None
+
+
 @dataclass
 class Analysis:
     changes: DataFrame
@@ -163,16 +208,17 @@ class Analysis:
 def combine(layers: DataFrame, config: Config) -> DataFrame:
     """(diff_id, score, verdict, weights): one row per change out of the long layer table; one shuffle."""
     cell = F.struct("score", "skipped", "crashed", "confidence", "category", "nature")
-    wide = layers.groupBy("diff_id").pivot("layer", list(K.LAYERS)).agg(F.first(cell))
-    by = {n: F.col(n) for n in K.LAYERS}
+    names = [*K.LAYERS, *sorted(n for n in config.weights if n not in K.LAYERS)]
+    wide = layers.groupBy("diff_id").pivot("layer", names).agg(F.first(cell))
+    by = {n: F.col(n) for n in names}
     score = S.final_score(by, config.weights, config.yellow, config.red)
     return wide.select("diff_id", score.alias("score"), S.verdict(score, config.yellow, config.red).alias("verdict"), S.effective_weights(by, config.weights).alias("weights"))
 
 
-def analyze(diffs: DataFrame, reference: DataFrame, advisories: DataFrame, reputation: DataFrame, rules: DataFrame | None = None, blocked: DataFrame | None = None, config: Config | None = None) -> Analysis:
+def analyze(diffs: DataFrame, reference: DataFrame, advisories: DataFrame, reputation: DataFrame, rules: DataFrame | None = None, blocked: DataFrame | None = None, config: Config | None = None, layers: dict[str, Layer] | None = None) -> Analysis:
     """``diffs`` (diff_id, diff). ``blocked`` (diff_id): changes of blocked authors, which score 100 at once.
 
-    Layers without weight are not run. With ``short_circuit`` the changes that the cheap layers decide have a skipped
+    All registered layers with a weight over 0 are run; ``layers`` are used in place of registered ones of their names. With ``short_circuit`` the changes that the cheap layers decide have a skipped
     semantic layer and the verdict of the short circuit.
     """
     config = config or Config()
@@ -182,39 +228,32 @@ def analyze(diffs: DataFrame, reference: DataFrame, advisories: DataFrame, reput
         ids, diffs = ids.join(blocked, "diff_id", "left_anti"), diffs.join(blocked, "diff_id", "left_anti")
     changes = staged(D.file_changes(diffs))  # every branch starts from these two
     deps = staged(manifests.dependency_changes(changes))
-    on = lambda n: config.weights.get(n, 0) > 0
-    layers, findings = [], []
-    if on("static"):
-        a, b = static_layer(ids, changes, rules)
-        layers.append(a)
-        findings.append(b)
-    if on("dependencies"):
-        a, b = dependency_layer(ids, deps, reference)
-        layers.append(a)
-        findings.append(b)
-    if on("vulnerabilities"):
-        a, b = vulnerability_layer(ids, deps, advisories)
-        layers.append(a)
-        findings.append(b)
-    if on("reputation"):
-        layers.append(reputation_layer(ids, reputation))
+    use = {n: f for n, f in (REGISTRY | (layers or {})).items() if config.weights.get(n, 0) > 0}
+    given = Inputs(ids, changes, deps, reference, advisories, reputation, rules, None, config)
+    rows, findings = {}, []
+    for name in S.in_order({n: None for n in use if n not in LATE}):
+        rows[name], own = use[name](given)
+        if own is not None:
+            findings.append(own)
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
     found = staged(union(findings)) if findings else None
     decided = None
-    if on("semantic") and found is not None:
-        semantic = semantic_stub(ids, found, changes)
-        if config.short_circuit:
+    if found is not None:
+        given = replace(given, findings=found)
+        early = list(rows)
+        for name in S.in_order({n: None for n in use if n in LATE}):
+            rows[name], _ = use[name](given)
+        if config.short_circuit and "semantic" in rows:
             cell = F.struct("score", "skipped", "crashed", "confidence", "category", "nature")
-            wide = union(layers).groupBy("diff_id").pivot("layer", [n for n in K.LAYERS if n != "semantic"]).agg(F.first(cell))
+            wide = union([rows[n] for n in early]).groupBy("diff_id").pivot("layer", [n for n in K.LAYERS if n != "semantic"] + [n for n in early if n not in K.LAYERS]).agg(F.first(cell))
             forced = changes.groupBy("diff_id").agg(F.bool_or(F.rlike("path", F.lit(K.FORCING_PATHS)) | (~F.col("is_binary") & F.rlike("diff_hunk", F.lit(K.NETWORK_CALLS)))).alias("forced"))
             fresh = deps.filter(F.col("is_new") | F.col("install_script").isNotNull() | F.col("is_direct_url")).select("diff_id").distinct().withColumn("deps", F.lit(True))
-            rows = wide.join(forced, "diff_id", "left").join(fresh, "diff_id", "left")
+            both = wide.join(forced, "diff_id", "left").join(fresh, "diff_id", "left")
             audit = F.pmod(F.xxhash64("diff_id"), F.lit(config.audit_one_in)) == 0
-            light = S.short_circuit({n: F.col(n) for n in K.LAYERS if n in wide.columns}, F.coalesce("forced", F.lit(False)) | F.coalesce("deps", F.lit(False)), audit, config.weights, config.yellow, config.red)
-            decided = rows.select("diff_id", light.alias("light")).filter("light IS NOT NULL")
-            semantic = semantic.join(decided, "diff_id", "left").withColumn("skipped", F.col("skipped") | F.col("light").isNotNull()).select(*LAYER)
-        layers.append(semantic)
-    every = staged(union(layers))
+            light = S.short_circuit({n: F.col(n) for n in wide.columns if n != "diff_id"}, F.coalesce("forced", F.lit(False)) | F.coalesce("deps", F.lit(False)), audit, config.weights, config.yellow, config.red)
+            decided = both.select("diff_id", light.alias("light")).filter("light IS NOT NULL")
+            rows["semantic"] = rows["semantic"].join(decided, "diff_id", "left").withColumn("skipped", F.col("skipped") | F.col("light").isNotNull()).select(*LAYER)
+    every = staged(union(list(rows.values())))
     results = combine(every, config)
     if decided is not None:
         results = results.join(decided, "diff_id", "left").withColumn("verdict", F.coalesce("light", "verdict")).drop("light")
