@@ -278,10 +278,11 @@ def decode(encoded: DataFrame, automaton: Automaton, id_col: str = "id", tokens_
 
     Returns id, tokens, decoded. A null list counts as empty; numbers that are no token fail the job.
     """
-    rows, ready = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col), F.array().cast("array<int>")).alias("tokens")), _sent(encoded, automaton)
+    rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col), F.array().cast("array<int>")).alias("tokens"))
+    shared = encoded.sparkSession.sparkContext.broadcast(automaton.labels)  # decoding needs no more of the automaton
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = ready().a.labels
+        labels = shared.value
         for part in parts:
             for batch in (part.slice(i, 256) for i in range(0, part.num_rows, 256)):
                 texts = []

@@ -281,6 +281,28 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The table of names of factors as in the method, built by joining the table with itself; checksums are computed bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents),
+g AS (SELECT doc_id, w, h, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+v AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM g),
+t AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS w FROM v),
+k(doc_id, i, f, x) AS (SELECT doc_id, i, CAST(1 AS BIGINT), dense_rank() OVER (ORDER BY w) FROM t
+  UNION ALL SELECT a.doc_id, a.i, 2 * a.f, dense_rank() OVER (ORDER BY a.x, b.x) FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i = a.i + a.f),
+s AS (SELECT doc_id, f, i, lead(i) OVER (PARTITION BY doc_id, f, x ORDER BY i) - i AS d FROM k),
+p AS (SELECT doc_id, f, i, d, i - row_number() OVER (PARTITION BY doc_id, f, d ORDER BY i) AS stretch FROM s WHERE d <= f AND 2 * d > f),
+r AS (SELECT doc_id, min(i) AS start, max(i) - min(i) + f + d AS length, d AS period FROM p GROUP BY doc_id, f, d, stretch HAVING max(i) - min(i) + f + d >= greatest(24, 3 * d)),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM r GROUP BY doc_id),
+m AS (SELECT x.* FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period OR y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period)))),
+q AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+l AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM t ANTI JOIN q USING (doc_id, i) GROUP BY doc_id)
+SELECT v.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM v LEFT JOIN o USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -309,4 +331,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_substring_dedup": OP9_SQL,
         "op10_exact_dedup": OP10_SQL,
         "op11_filter_audit": OP11_SQL,
+        "op13_periodic_runs": OP13_SQL,
     }

@@ -236,10 +236,10 @@ def test_op13(spark, tmp_path):
     assert changed > 5
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit"])
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op13_periodic_runs"])
 def test_equals_its_sql(spark, tmp_path, name):
     r = random.Random(1)
-    texts = ([t for _, t in corpus(3, 50)] + ODD) * 2
+    texts = ([t for _, t in corpus(3, 50)] + ODD + periodic_texts()) * 2
     spark.createDataFrame([(i, t, r.choice(["en", "fr", None])) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(80)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
     db = duckdb.connect()
