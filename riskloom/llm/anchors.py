@@ -156,7 +156,7 @@ def in_buckets(mixed: DataFrame, bucket_bytes: int) -> DataFrame:
     """Adds ``bucket``: equal anchors share one; there are as many as the text needs."""
     size = mixed.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
     n = max(8, -(-size // bucket_bytes))
-    return mixed.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n))).repartition(min(n, 100_000), "bucket")
+    return mixed.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n))).repartition(n, "bucket")
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:

@@ -212,7 +212,7 @@ def _links(classes: DataFrame, rows: DataFrame, percent: int, most_rows: int, mo
     blocks = staged(_blocks(classes, members, most_rows, most_shingles).join(classes.select("cls", "sig", "n_shingles").hint("merge"), "cls"), "blocks")
     bins = max(8, -(-(blocks.agg(F.sum("n_shingles")).first()[0] or 0) // (most_shingles // 4)))
     bin_ = F.pmod(F.xxhash64("kind", "key", "i", "j"), F.lit(bins))
-    texts = rows.select(F.col("id").alias("cls"), "text").join(blocks.hint("merge"), "cls").withColumn("bin", bin_).repartition(min(bins, 100_000), "bin")
+    texts = rows.select(F.col("id").alias("cls"), "text").join(blocks.hint("merge"), "cls").withColumn("bin", bin_).repartition(bins, "bin")
 
     def test(table: pa.Table) -> pa.Table:
         met: dict[tuple, list[dict]] = {}

@@ -89,10 +89,11 @@ class Model:
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost: float = COST, ones: float | None = None) -> Model:
     """``labels``: 0 or 1. ``ones``: the share of label 1 where the scores are to hold, if the rows' own share differs.
 
-    With fewer than 20 rows, or without both classes, every score is the share of ones (one half without any rows).
+    Each class needs two rows, one to fit and one to set the slope by; else every score is the share of ones (one half
+    without any rows).
     """
     size = 1 << HASH_BITS
-    if len(rows) < 20 or labels.min() == labels.max():
+    if np.bincount(labels, minlength=2).min() < 2:
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, 0.0, float(labels.mean()) if len(rows) else 0.5)
     rng = np.random.default_rng(5)
     order = rng.permutation(len(rows))
@@ -155,9 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = marks.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    running = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")) - F.octet_length("text")
-    rows = rows.withColumn("before", running).filter(F.col("before") < sample_bytes // 2).select("id", "label", "text").repartition(SAMPLE_TASKS, "id")
+    # lengths first: the bound on bytes applies before any text is moved
+    lengths = texts.select("id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("n", "h").alias("n"), F.min("h").alias("h"))
+    running = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")) - F.col("n")
+    picked = lengths.withColumn("before", running).filter(F.col("before") < sample_bytes // 2).select("id", "label", "h")
+    rows = texts.join(F.broadcast(picked), "id").filter(F.xxhash64("text") == F.col("h")).groupBy("id", "label").agg(F.min("text").alias("text")).repartition(SAMPLE_TASKS, "id")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
