@@ -68,3 +68,34 @@ def dedup(spark: SparkSession, docs: DataFrame, table: str, id_col: str = "doc_i
     all_groups = groups.filter(~F.col("known")).unionByName(known)
     joined = join_groups(rows, all_groups, "digest", "group_size", rows.count())
     return joined.select("id", "digest", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("known")).alias("kept"))
+
+
+def by_descending_id(rows: DataFrame, batches: int) -> list[DataFrame]:
+    """``rows`` (id, ...) cut into ranges of ids of equal width, the largest ids first; null ids are in the last one."""
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return [rows]
+    width = -(-(high - low + 1) // batches)
+    nth = F.coalesce(F.expr(f"({high}L - id) div {width}L"), F.lit(batches - 1))
+    return [rows.filter(nth == k) for k in range(batches)]
+
+
+def dedup_batches(spark: SparkSession, docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, batches: int = 4) -> DataFrame:
+    """One row per document: id, digest, keep_id, group_size, kept, with the documents added to a new index batch by batch.
+
+    Batches come in descending order of whole-number ids, so of equal texts the first one that the index gets has the largest id:
+    it stays, and every later batch is anti-joined with the texts that the batches before brought. ``keep_id`` is the index's,
+    ``group_size`` counts all batches. Nulls, repeated rows and empty tables are as in ``dedup``. The result doesn't need the
+    index table any more.
+    """
+    rows = staged(digests(docs, id_col, text_col), "digests")
+    parts = by_descending_id(rows, batches)
+    judged = [add_batch(spark, part, table, f"batch {k}", buckets) for k, part in enumerate(parts)]
+    every = judged[0]
+    for more in judged[1:]:
+        every = every.unionByName(more)
+    sizes = every.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    groups = staged(sizes.join(spark.table(table).select("digest", "keep_id").hint("merge"), "digest"), "verdicts")
+    discard(*judged)
+    joined = join_groups(rows, groups, "digest", "group_size", rows.count())
+    return joined.select("id", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))

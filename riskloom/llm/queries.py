@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as decon
 from . import bpe, exact_dedup, filter_audit, line_dedup, near_dedup, packing, periodic_runs, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from .shared import delete, shared_dir
 
 #: The vocabulary of op12; a session can name another file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -48,9 +49,13 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = f"digest_index_{uuid.uuid4().hex}"
-    exact_dedup.open_index(spark, table)
-    out = exact_dedup.dedup(spark, _table(spark, sf_dir, "documents"), table)
+    """The documents come as four batches to an index in the shared folder, which goes when the verdicts are written."""
+    name = f"digest_index_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/riskloom/{name}"
+    exact_dedup.open_index(spark, name, path)
+    out = exact_dedup.dedup_batches(spark, _table(spark, sf_dir, "documents"), name)
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, path)
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import corpus, empty, frame
 
-from riskloom.llm import bpe, filter_audit, periodic_runs, queries
+from riskloom.llm import bpe, exact_dedup, filter_audit, periodic_runs, quality, queries
 
 ODD = [None, "", " \n\t ", "a " * 300, "one", "x" * 5000, "A" * 50, "# x", "é ñ"]
 
@@ -250,3 +250,40 @@ def test_equals_its_sql(spark, tmp_path, name):
     got = queries.queries()[name](spark, str(tmp_path))
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+# --- 10 and 5, in batches and with few rows ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_exact_dedup_in_batches(spark, batches):
+    docs = [(i * 7 - 100, t) for i, t in corpus(2, 40)] + [(None, "one"), (None, "alone"), (None, "alone"), (-100, corpus(2, 40)[0][1])]
+    name = f"batches_{batches}"
+    exact_dedup.open_index(spark, name)
+    got = exact_dedup.dedup_batches(spark, frame(spark, docs), name, batches=batches).collect()
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(t or "", []).append(i)
+    of = {hashlib.sha256(t.encode()).hexdigest(): (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
+    assert sorted((str(r.id), r.digest, str(r.keep_id), r.group_size, r.kept) for r in got) == sorted((str(i), d, str(of[d][0]), of[d][1], i == of[d][0]) for i, d in ((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in docs))
+    assert spark.table(name).count() == len(of)
+    exact_dedup.open_index(spark, name + "e")
+    assert exact_dedup.dedup_batches(spark, empty(spark), name + "e", batches=batches).count() == 0
+
+
+def test_op10_leaves_no_table(spark, tmp_path):
+    frame(spark, corpus(2, 20)).write.parquet(str(tmp_path / "documents.parquet"))
+    before = {t.name for t in spark.catalog.listTables()}
+    got = queries.op10_exact_dedup(spark, str(tmp_path))
+    assert {t.name for t in spark.catalog.listTables()} == before and got.count() == len(corpus(2, 20))
+
+
+def test_quality_fits_few_rows(spark):
+    texts = [(i, ("good plain words here " if i % 2 else "bad junk !!! ") * 3) for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    few = labels.filter("doc_id < 12")
+    scores = {r.doc_id: r.score for r in quality.classify(docs, quality.train(docs, few)).collect()}
+    assert all((s > 0.5) == bool(i % 2) for i, s in scores.items())
+    short = quality.train(docs, labels, sample_bytes=200)  # the bound on bytes leaves a few rows of each class
+    assert short.prior is None or 0 <= short.prior <= 1
