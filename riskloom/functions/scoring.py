@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import literal_map
+from .text import bound, literal_map
 
 
 def verdict(score: Column, yellow: int = K.YELLOW, red: int = K.RED) -> Column:
@@ -105,20 +105,27 @@ def cvss_roundup(value: Column) -> Column:
 
 
 def cvss3(vector: Column) -> Column:
-    """Base score of a CVSS 3 vector; null for other versions or if a metric is missing or unknown."""
-    m = F.str_to_map(vector, F.lit("/"), F.lit(":"))
-    at = lambda table, key: literal_map(table)[F.element_at(m, F.lit(key))]
-    scope = F.element_at(m, F.lit("S"))
-    changed = scope == "C"
-    pr = F.when(changed, at(K.CVSS_PR_CHANGED, "PR")).otherwise(at(K.CVSS_PR_UNCHANGED, "PR"))
-    c, i, a = (at(K.CVSS_CIA, k) for k in ("C", "I", "A"))
-    easy = 8.22 * at(K.CVSS_AV, "AV") * at(K.CVSS_AC, "AC") * pr * at(K.CVSS_UI, "UI")
-    iss = 1 - ((1 - c) * (1 - i) * (1 - a))
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, 15)).otherwise(6.42 * iss)
-    raw = (impact + easy) * F.when(changed, 1.08).otherwise(1.0)
-    score = F.when((iss <= 0) | (impact <= 0), F.lit(0.0)).otherwise(cvss_roundup(F.least(raw, F.lit(10.0))))
-    known = F.startswith(vector, F.lit("CVSS:3.")) & scope.isNotNull() & easy.isNotNull() & iss.isNotNull()
-    return F.when(known, score)
+    """Base score of a CVSS 3 vector; null for other versions or if a metric is missing or unknown. Each step is computed once."""
+
+    def metrics(m: Column) -> Column:
+        at = lambda table, key: literal_map(table)[F.element_at(m, F.lit(key))]
+        scope = F.element_at(m, F.lit("S"))
+        pr = F.when(scope == "C", at(K.CVSS_PR_CHANGED, "PR")).otherwise(at(K.CVSS_PR_UNCHANGED, "PR"))
+        c, i, a = (at(K.CVSS_CIA, k) for k in ("C", "I", "A"))
+        easy = 8.22 * at(K.CVSS_AV, "AV") * at(K.CVSS_AC, "AC") * pr * at(K.CVSS_UI, "UI")
+        return F.struct(scope.alias("scope"), easy.alias("easy"), (1 - ((1 - c) * (1 - i) * (1 - a))).alias("iss"))
+
+    def impact(x: Column) -> Column:
+        iss = x["iss"]
+        return F.struct(x["scope"].alias("scope"), x["easy"].alias("easy"), iss.alias("iss"), F.when(x["scope"] == "C", 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, 15)).otherwise(6.42 * iss).alias("impact"))
+
+    def score(x: Column) -> Column:
+        raw = (x["impact"] + x["easy"]) * F.when(x["scope"] == "C", 1.08).otherwise(1.0)
+        known = x["scope"].isNotNull() & x["easy"].isNotNull() & x["iss"].isNotNull()
+        return F.when(known, F.when((x["iss"] <= 0) | (x["impact"] <= 0), F.lit(0.0)).otherwise(bound(F.least(raw, F.lit(10.0)), cvss_roundup)))
+
+    found = bound(bound(bound(F.str_to_map(vector, F.lit("/"), F.lit(":")), metrics), impact), score)
+    return F.when(F.startswith(vector, F.lit("CVSS:3.")), found)
 
 
 def guidance(verdict_: Column) -> Column:

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share; one of our own only where none is configured and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="riskloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Checkpoints into the shared folder of the session (one of our own only where none is set), so that later steps plan from here."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-"))
+    """Checkpoints into the shared folder of the session (see ``shared_dir``), so that later steps plan from here."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

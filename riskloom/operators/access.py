@@ -24,6 +24,18 @@ def role_listing(roles: DataFrame, monitored: DataFrame | None = None, repo: str
     return rows.orderBy("repo", "user_login")
 
 
+def roles_of(roles: DataFrame, user: str, repo: str | None = None) -> DataFrame:
+    """(repo, role) of one login, in its stored form, by repository; of one repository if it is given."""
+    rows = roles.filter(login(F.col("user_login")) == user.strip().lower())
+    return (rows if repo is None else rows.filter(F.col("repo") == repo)).select("repo", "role").orderBy("repo")
+
+
+def without_roles(roles: DataFrame, keys: DataFrame) -> DataFrame:
+    """``roles`` less those of ``keys`` (user_login, repo); logins are compared in their stored form."""
+    gone = keys.select(login(F.col("user_login")).alias("_login"), "repo").distinct()
+    return roles.withColumn("_login", login(F.col("user_login"))).join(gone, ["_login", "repo"], "left_anti").select(*roles.columns)
+
+
 def block_list(blocked: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocked, refused): the block list (org_id, author_login, reason, blocked_by, blocked_at) after a log of requests, and its refusals.
 

@@ -4,9 +4,12 @@ human_feedback, and for each layer <layer>_score and <layer>_skipped."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.staging import staged
+from ..functions.text import literal_map
 
 
 def avg1(value: Column) -> Column:
@@ -144,3 +147,20 @@ def consecutive_errors(polls: DataFrame, least: int = 5) -> DataFrame:
     last_ok = polls.groupBy("repo").agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("since"))
     n = polls.join(last_ok, "repo").groupBy("repo").agg(F.count_if(~F.col("ok") & (F.col("since").isNull() | (F.col("ts") > F.col("since")))).alias("errors"))
     return n.withColumn("status", F.when(F.col("errors") >= least, "error").otherwise("ok"))
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """``rows`` with their place from 1 in a total ``order``, without bringing them into one partition.
+
+    Rows are dealt to ranges of the order and numbered within each; the sizes of the ranges before are added. ``order`` should
+    have no ties.
+    """
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    sizes = dealt.groupBy("_range").count().orderBy("_range").collect()  # a row for each partition
+    before, total = {}, 0
+    for r in sizes:
+        before[r["_range"]] = total
+        total += r["count"]
+    offset = literal_map(before)[F.col("_range")] if before else F.lit(0)
+    return within.withColumn(name, (F.col("_n") + offset).cast("long")).drop("_range", "_n")

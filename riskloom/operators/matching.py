@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.staging import staged
 
+#: So many patterns become literals of one projection.
+MOST_PATTERNS = 200
 #: So many queries, about, are broadcast at once.
 QUERY_BLOCK = 1024
 
@@ -109,14 +111,36 @@ def with_reserved(feedback: DataFrame, corpus: DataFrame, slots: int, k: int) ->
     return both.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("source", "rank"))).filter(F.col("place") <= k)
 
 
-def rule_hits(texts: DataFrame, rules: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """Rows of ``texts`` x matching rules (small, broadcast): ids, rule_id, score, nature. A rule with a language only meets that language."""
-    r = F.broadcast(rules)
-    fits = F.expr(f"{text_col} RLIKE pattern")
-    if "language" in texts.columns:
-        r = F.broadcast(rules.withColumnRenamed("language", "rule_language"))
-        fits = fits & (F.col("rule_language").isNull() | (F.col("rule_language") == F.col("language")))
-    return texts.join(r, fits).select(*id_cols, "rule_id", "score", "nature")
+def rule_hits(texts: DataFrame, rules: DataFrame, id_cols: list[str], text_col: str, most: int = MOST_PATTERNS) -> DataFrame:
+    """(ids, rule_id, score, nature): texts that a rule's pattern matches. ``rules``: rule_id, pattern, score, nature and perhaps language.
+
+    Rules are configuration: they come to the driver and become literals of one projection, compiled once each, so a text is
+    read once and meets no join. Over ``most`` rules go in parts, each with a pass of its own. A rule with a language only
+    meets texts of that ``language``, if texts have this column; null texts match nothing.
+    """
+    parts: list[list[Column]] = [[]]
+    kind = "struct<rule_id: string, score: int, nature: string>"
+    for r in rules.toLocalIterator():
+        if len(parts[-1]) >= most:
+            parts.append([])
+        fits = F.rlike(F.col(text_col), F.lit(r.pattern))
+        own = getattr(r, "language", None)
+        if own is not None and "language" in texts.columns:
+            fits = (F.col("language") == own) & fits
+        parts[-1].append(F.when(fits, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.score).cast("int").alias("score"), F.lit(r.nature).cast("string").alias("nature"))))
+    found = lambda part: texts.select(*id_cols, F.explode(F.array_compact(F.array(*part) if part else F.array().cast(f"array<{kind}>"))).alias("h")).select(*id_cols, "h.*")
+    return reduce(DataFrame.unionByName, [found(p) for p in parts])
+
+
+def literal_classes(literals: DataFrame, group: str, node: str, literal: str = "literal") -> DataFrame:
+    """(group, literal, node, size, first): the nodes of each literal that two or more nodes of a group share, without all their pairs.
+
+    Two nodes are linked if they are in one class; ``first`` names the class's smallest node. A literal of many nodes has a
+    row for each of them, and its size is counted before rows meet, so no task holds a class.
+    """
+    x = literals.select(group, F.col(literal).alias("literal"), F.col(node).alias("node")).distinct()
+    sizes = x.groupBy(group, "literal").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter("size > 1")
+    return x.join(sizes, [group, "literal"]).select(group, "literal", "node", "size", "first")
 
 
 def import_edges(files: DataFrame, group: str = "diff_id") -> DataFrame:

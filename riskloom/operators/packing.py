@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -30,25 +33,29 @@ def pack_pieces(pieces: DataFrame, edges: DataFrame, budget: int = MAX_TOKENS, m
     """
     near = edges.select(group, F.col("a").alias("path"), F.col("b").alias("other")).unionAll(edges.select(group, F.col("b").alias("path"), F.col("a").alias("other"))).groupBy(group, "path").agg(F.array_sort(F.collect_set("other")).alias("near"))
     rows = pieces.select(group, "ord", "path", "part", "tokens").join(near, [group, "path"], "left")
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(near=[set() if x is None else set(x) for x in pdf["near"]])
-        pdf = pdf.assign(links=pdf["near"].map(len)).sort_values(["links", "ord"], ascending=[False, True], kind="stable")
-        chunks: list[tuple[int, set]] = []
-        placed = []
-        for path, tokens, near_ in zip(pdf["path"], pdf["tokens"], pdf["near"], strict=True):
-            room = [i for i, (used, _) in enumerate(chunks) if used + tokens <= budget]
-            at = next((i for i in room if chunks[i][1] & near_), room[0] if room else None)
-            if at is None and len(chunks) < most:
-                at = len(chunks)
-                chunks.append((0, set()))
-            if at is not None:
-                chunks[at] = (chunks[at][0] + tokens, chunks[at][1] | {path})
-            placed.append(at)
-        return pdf.assign(chunk=pd.array(placed, dtype="Int32"))[[group, "path", "part", "tokens", "chunk"]]
-
+    # each group's pieces follow one another in one partition, so a task holds the chunks of one group at a time
+    dealt = rows.repartition(group).sortWithinPartitions(group, F.coalesce(F.size("near"), F.lit(0)).desc(), "ord").select(group, "path", "part", "tokens", "near")
     kind = pieces.schema[group].dataType.simpleString()
-    return rows.groupBy(group).applyInPandas(fill, f"{group} {kind}, path string, part int, tokens int, chunk int")
+
+    def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunks = None, []  # used tokens and paths of the group's chunks
+        for batch in parts:
+            placed: list[int | None] = []
+            for g, path, tokens, near_ in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True):
+                if now is None or now[0] != g:
+                    now, chunks = (g,), []
+                linked = set(near_ or ())
+                room = [i for i, (used, _) in enumerate(chunks) if used + tokens <= budget]
+                at = next((i for i in room if not linked.isdisjoint(chunks[i][1])), room[0] if room else None) if linked else (room[0] if room else None)
+                if at is None and len(chunks) < most:
+                    at = len(chunks)
+                    chunks.append((0, set()))
+                if at is not None:
+                    chunks[at] = (chunks[at][0] + tokens, chunks[at][1] | {path})
+                placed.append(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(placed, pa.int32())], names=[group, "path", "part", "tokens", "chunk"])
+
+    return dealt.select(group, F.col("path").cast("string"), F.col("part").cast("int"), F.col("tokens").cast("int"), "near").mapInArrow(fill, f"{group} {kind}, path string, part int, tokens int, chunk int")
 
 
 def fragments(lines: list[str], ranges: list[tuple[int, int]], budget: int) -> list[str]:

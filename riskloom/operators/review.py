@@ -307,6 +307,46 @@ def budgeted_fill(files: DataFrame, budget: int, group: str = "diff_id", head_to
     return files.withColumn("form", form)
 
 
+def excerpt(content: Column, matches: Column, before: int = 3, most: int = 60) -> Column:
+    """The lines around ``matches`` (0-based, ascending), ``[...]`` between stretches; stretches that touch are one.
+
+    A stretch is left out once those before it have ``most`` lines.
+    """
+    kind = "array<struct<a: int, z: int>>"
+    n, last = F.size(X.lines(content)), F.lit(-1)
+    each = F.transform(matches, lambda m: F.struct(F.greatest(F.lit(0), m - before).cast("int").alias("a"), F.least(n, m + before + 1).cast("int").alias("z")))
+
+    def merge(out: Column, w: Column) -> Column:
+        end = F.try_element_at(out, last)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(end["a"].alias("a"), F.greatest(end["z"], w["z"]).alias("z"))))
+        return F.when((F.size(out) > 0) & (w["a"] <= end["z"]), joined).otherwise(F.array_append(out, w)).cast(kind)
+
+    def fill(s: Column, w: Column) -> Column:
+        taken = F.struct((s["used"] + w["z"] - w["a"]).alias("used"), F.array_append(s["out"], w).cast(kind).alias("out"))
+        return F.when(s["used"] < most, taken).otherwise(s)
+
+    stretches = F.aggregate(each, F.array().cast(kind), merge)
+    kept = F.aggregate(stretches, F.struct(F.lit(0).alias("used"), F.array().cast(kind).alias("out")), fill, lambda s: s["out"])
+    return X.bound(X.lines(content), lambda ls: F.array_join(F.transform(kept, lambda w: F.array_join(F.slice(ls, w["a"] + 1, w["z"] - w["a"]), "\n")), "\n[...]\n"))
+
+
+def rendered(files: DataFrame) -> DataFrame:
+    """Adds ``text``: how each file of ``budgeted_fill`` (path, status, diff_hunk, form) is shown to the model.
+
+    Whole files and excerpts are wrapped as untrusted content; a file that isn't shown leaves a line with its path and the mark
+    that ``unverified_paths`` looks for, so what wasn't read can be told from the text alone.
+    """
+    hunk = F.coalesce("diff_hunk", F.lit(""))
+    head = F.concat(F.lit("--- "), "path", F.lit(" ("), F.coalesce("status", F.lit("")), F.lit(") ---\n"))
+    n = F.when(hunk == "", 0).otherwise(F.length(hunk) - F.length(F.replace(hunk, F.lit("\n"), F.lit(""))) + 1)
+    wrap = lambda t: F.concat(F.lit(K.UNTRUSTED_START + "\n"), t, F.lit("\n" + K.UNTRUSTED_END))
+    matches = X.suspicious_lines(hunk)
+    cut = F.concat(head, F.lit("["), n, F.lit(" lines, too long to show whole; an excerpt around "), F.size(matches), F.lit(" lines with known risk patterns follows, the rest wasn't read]\n"), wrap(excerpt(hunk, matches)))
+    unseen = lambda why: F.concat(F.lit("--- "), "path", F.lit(": "), n, F.lit(f" lines not shown. {K.UNVERIFIED} {why} ---"))
+    form = F.col("form")
+    return files.withColumn("text", F.when(form == "whole", F.concat(head, wrap(hunk))).when(form == "excerpt", cut).when(form == "unverified", unseen("No known risk pattern was found by a quick scan, which is no review.")).otherwise(unseen("No budget was left to look at it.")))
+
+
 def winning_call(calls: DataFrame, samples: DataFrame, group: str = "diff_id") -> DataFrame:
     """(group, ord, score, n_samples): the call with the highest score, the first of equal ones, asked again near a threshold.
 

@@ -79,9 +79,8 @@ def _(spark, d):
 
 @query("repo_list_by_risk", SCORES + "SELECT repo, latest, row_number() OVER (ORDER BY CASE latest WHEN 'rojo' THEN 0 WHEN 'amarillo' THEN 1 WHEN 'verde' THEN 2 ELSE 3 END, repo) AS place FROM (SELECT repo, arg_max(verdict, (ts, pr_number)) AS latest FROM scores GROUP BY repo)")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    return H.repo_list(scores(spark, d)).select("repo", "latest", F.row_number().over(Window.orderBy(H.risk_order(F.col("latest")), "repo")).alias("place"))
+    listed = H.repo_list(scores(spark, d)).select("repo", "latest").withColumn("risk", H.risk_order(F.col("latest")))
+    return H.numbered(listed, "risk", "repo").drop("risk")
 
 
 @query("score_history", SCORES + "SELECT repo, pr_number, ts, score FROM scores WHERE repo = 'org/repo3' ORDER BY ts DESC, pr_number DESC LIMIT 50")

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import text as X
 from ..operators import access as A
+from ..operators import knowledge as N
+from ..operators import matching
+from ..operators import packing as P
 from ..operators import review as R
 from . import semantic
 from .fixtures import table
-from .queries import query
+from .queries import _LITERALS, query
 
 # --- the model's results ----------------------------------------------------------------------------------------
 
@@ -242,3 +246,58 @@ def _(spark, d):
     name = F.concat(F.lit("m"), k)
     modules = table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), place.alias("place"), name.alias("name"), (k % 90).alias("file_count"), F.col("o_orderstatus").alias("category"), F.array("o_orderpriority", name).alias("summaries"))
     return A.overview_text(modules)
+
+
+# --- more of what is stored, and of what the model is shown ------------------------------------------------------
+
+
+@query("without_roles", """WITH roles AS (SELECT lower(c_name) AS user_login, 'r' || c_nationkey AS repo, c_mktsegment AS role FROM customer), gone AS (SELECT DISTINCT lower(c_name) AS user_login, 'r' || n_nationkey AS repo FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1)
+SELECT user_login, repo, role FROM roles ANTI JOIN gone USING (user_login, repo)""")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    roles = c.select(F.lower("c_name").alias("user_login"), F.concat(F.lit("r"), "c_nationkey").alias("repo"), F.col("c_mktsegment").alias("role"))
+    nations = table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    keys = c.join(nations, "c_nationkey").select(F.concat(F.lit(" "), F.upper("c_name")).alias("user_login"), F.concat(F.lit("r"), "c_nationkey").alias("repo"))
+    return A.without_roles(roles, keys)
+
+
+@query("literal_classes", f"WITH {_LITERALS}, c AS (SELECT literal, count(*) AS size, min(doc_id) AS first FROM lit GROUP BY literal HAVING count(*) > 1) SELECT 1 AS diff_id, md5(literal) AS literal, doc_id AS node, size, first FROM lit JOIN c USING (literal)")
+def _(spark, d):
+    lit = table(spark, d, "documents").select(F.lit(1).alias("diff_id"), "doc_id", F.explode(X.notable_literals(F.col("text"))).alias("literal"))
+    return matching.literal_classes(lit, "diff_id", "doc_id").withColumn("literal", F.md5("literal"))
+
+
+#: Source text out of a document: its first line that has no quotes is a comment, every line a function or an import in turn.
+@query("python_structure_full", """WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 \\n]', '', 'g'), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 \\n]', '', 'g'), chr(10)), 1) - 1 AS i FROM documents)
+SELECT doc_id, coalesce(string_agg('m' || i || '.x', ',' ORDER BY 'm' || i || '.x') FILTER (WHERE i % 3 = 1), '') AS imports, count(*) FILTER (WHERE i % 3 <> 1) AS n, md5(string_agg('def f' || i || '(a): # ' || substr(t, 1, 40), chr(10) ORDER BY i) FILTER (WHERE i % 3 <> 1)) AS symbols FROM l GROUP BY doc_id""")
+def _(spark, d):
+    plain = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 \n]", ""), "\n")
+    line = lambda t, i: F.when(i % 3 == 1, F.concat(F.lit("import m"), i, F.lit(".x"))).otherwise(F.concat(F.lit("def f"), i, F.lit("(a): # "), F.substr(t, F.lit(1), F.lit(40)), F.lit("\n    '''"), t, F.lit("'''\n    return a"))).cast("string")
+    code = F.array_join(F.transform(plain, line), "\n")
+    out = N.python_structure(table(spark, d, "documents").select("doc_id", code.alias("content")))
+    # symbols are stripped, so lines that end in spaces are compared without them
+    names = F.transform(F.filter(F.split("content", "\n"), lambda x: F.startswith(x, F.lit("def "))), lambda x: x)
+    same = F.zip_with(N.symbols(F.col("content"), F.col("ranges")), names, lambda a, b: F.when(a == F.rtrim(b), b).otherwise(a))
+    return out.select("doc_id", F.array_join("imports", ",").alias("imports"), F.size("ranges").cast("long").alias("n"), F.md5(F.array_join(same, "\n")).alias("symbols"))
+
+
+@query("pack_pieces_full")
+def _(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("diff_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("f"), F.col("l_partkey") % 3).alias("path"), F.col("l_linenumber").alias("part"), (F.col("l_quantity") * 100).cast("int").alias("tokens"))
+    edges = p.select("diff_id", F.lit("f0").alias("a"), F.lit("f2").alias("b")).distinct()
+    return P.pack_pieces(p, edges)
+
+
+@query("rendered_files", f"""WITH f AS (SELECT doc_id, 'f' || doc_id || '.py' AS path, CASE doc_id % 4 WHEN 0 THEN 'whole' WHEN 1 THEN 'excerpt' WHEN 2 THEN 'unverified' ELSE 'no_budget' END AS form, string_split(regexp_replace(coalesce(text, ''), '[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]|[(]', ' ', 'g'), chr(10)) AS w FROM documents),
+g AS (SELECT doc_id, path, form, list_concat(['x', 'eval(a)'], list_transform(w, lambda t: 'x' || t), ['', '', 'eval(b)', 'end']) AS l FROM f)
+SELECT doc_id, md5(CASE form WHEN 'whole' THEN '--- ' || path || ' (added) ---' || chr(10) || '{K.UNTRUSTED_START}' || chr(10) || array_to_string(l, chr(10)) || chr(10) || '{K.UNTRUSTED_END}'
+WHEN 'excerpt' THEN '--- ' || path || ' (added) ---' || chr(10) || '[' || len(l) || ' lines, too long to show whole; an excerpt around 2 lines with known risk patterns follows, the rest wasn''t read]' || chr(10) || '{K.UNTRUSTED_START}' || chr(10) ||
+  CASE WHEN len(l) - 5 <= 5 THEN array_to_string(l, chr(10)) ELSE array_to_string(l[1:5], chr(10)) || chr(10) || '[...]' || chr(10) || array_to_string(l[len(l) - 4:], chr(10)) END || chr(10) || '{K.UNTRUSTED_END}'
+ELSE '--- ' || path || ': ' || len(l) || ' lines not shown. {K.UNVERIFIED} ' || CASE form WHEN 'unverified' THEN 'No known risk pattern was found by a quick scan, which is no review.' ELSE 'No budget was left to look at it.' END || ' ---' END) AS text FROM g""")
+def _(spark, d):
+    k = F.col("doc_id")
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]|[(]", " ")
+    body = F.array_join(F.concat(F.array(F.lit("x"), F.lit("eval(a)")), F.transform(F.split(clean, "\n"), lambda t: F.concat(F.lit("x"), t)), F.array(F.lit(""), F.lit(""), F.lit("eval(b)"), F.lit("end"))), "\n")
+    form = F.when(k % 4 == 0, "whole").when(k % 4 == 1, "excerpt").when(k % 4 == 2, "unverified").otherwise("no_budget")
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("f"), k, F.lit(".py")).alias("path"), F.lit("added").alias("status"), body.alias("diff_hunk"), form.alias("form"))
+    return R.rendered(files).select("doc_id", F.md5("text").alias("text"))

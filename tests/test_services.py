@@ -342,3 +342,90 @@ def test_followed_by(spark, tmp_path):
     stream = stream_of(spark, tmp_path, rows, "user string, id long, ts string, kind string")
     out, _ = run_stream(spark, states.followed_by(stream.filter("kind = 'a'"), stream.filter("kind = 'b'"), "user"), tmp_path, "pairs")
     assert sorted((r.user, r.id, r.next_id) for r in out.filter("id <> 9").collect()) == [("u", 1, 2), ("v", 4, None), ("x", 5, 8)]
+
+
+# --- what is shown, packed, linked and ranked -------------------------------------------------------------------
+
+
+def test_excerpt(spark):
+    def brute(lines, matches):
+        stretches = []
+        for m in matches:
+            a, z = max(0, m - 3), min(len(lines), m + 4)
+            if stretches and a <= stretches[-1][1]:
+                stretches[-1][1] = max(stretches[-1][1], z)
+            else:
+                stretches.append([a, z])
+        out, used = [], 0
+        for a, z in stretches:
+            if used >= 60:
+                break
+            out.append("\n".join(lines[a:z]))
+            used += z - a
+        return "\n[...]\n".join(out)
+
+    r = random.Random(5)
+    cases = []
+    for n in (1, 5, 30, 300):
+        for k in (0, 1, 4, 25):
+            cases.append((n, [f"l{i}" for i in range(n)], sorted(r.sample(range(n), min(k, n)))))
+    rows = spark.createDataFrame([(i, "\n".join(lines), m) for i, (_, lines, m) in enumerate(cases)], "id int, t string, m array<int>")
+    got = {x.id: x.e for x in rows.select("id", R.excerpt(F.col("t"), F.col("m")).alias("e")).collect()}
+    assert all(got[i] == brute(lines, m) for i, (_, lines, m) in enumerate(cases))
+
+
+def test_rendered_files_show_what_was_not_read(spark):
+    files = [("a.py", "added", "+eval(x)", "whole"), ("b.py", "modified", "+x\n+eval(y)\n" + "+z\n" * 90, "excerpt"), ("c.py", "added", "+x", "unverified"), ("d.py", None, None, "no_budget")]
+    out = R.rendered(spark.createDataFrame(files, "path string, status string, diff_hunk string, form string"))
+    assert out.filter("text IS NULL").count() == 0
+    whole = out.agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("t")).select(R.unverified_paths(F.col("t")).alias("p")).first().p
+    assert sorted(whole) == ["c.py", "d.py"]
+
+
+def test_pack_pieces_of_many_changes(spark):
+    from riskloom.operators import packing
+
+    r = random.Random(9)
+    pieces, edges = [], []
+    for g in range(60):
+        for i in range(r.randint(1, 12)):
+            pieces.append((g if g else None, i, f"f{r.randint(0, 5)}", i, r.randint(1, 90)))
+        edges += [(g, f"f{r.randint(0, 5)}", f"f{r.randint(0, 5)}") for _ in range(r.randint(0, 4))]
+    df = spark.createDataFrame(pieces, "diff_id int, ord int, path string, part int, tokens int")
+    got = {(x.diff_id, x.part): x.chunk for x in packing.pack_pieces(df, spark.createDataFrame(edges, "diff_id int, a string, b string"), budget=100, most=4).collect()}
+    for g in {p[0] for p in pieces}:
+        near = {}
+        for e, a, b in edges:
+            if e == g:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        chunks = []
+        for _, _, path, part, tokens in sorted((p for p in pieces if p[0] == g), key=lambda p: (-len(near.get(p[2], ())), p[1])):
+            room = [i for i, (used, _) in enumerate(chunks) if used + tokens <= 100]
+            at = next((i for i in room if near.get(path, set()) & chunks[i][1]), room[0] if room else None)
+            if at is None and len(chunks) < 4:
+                at = len(chunks)
+                chunks.append([0, set()])
+            if at is not None:
+                chunks[at][0] += tokens
+                chunks[at][1].add(path)
+            assert got[g, part] == at
+
+
+def test_numbered_and_classes(spark):
+    from riskloom.operators import history
+
+    rows = spark.range(0, 500).select((F.col("id") * 7 % 500).alias("k"), F.lit("x").alias("v"))
+    assert sorted((r.k, r.place) for r in history.numbered(rows, "k").collect()) == [(i, i + 1) for i in range(500)]
+    assert history.numbered(rows.limit(0), "k").count() == 0
+    lit = spark.createDataFrame([(1, i, "hot") for i in range(50)] + [(1, 3, "u"), (1, 3, "u"), (2, 4, "hot"), (1, 7, "two"), (1, 9, "two")], "g int, n int, literal string")
+    got = matching.literal_classes(lit, "g", "n").collect()
+    assert len(got) == 52 and {(r.literal, r.size, r.first) for r in got} == {("hot", 50, 0), ("two", 2, 7)}
+
+
+def test_rule_hits_in_parts(spark):
+    texts = spark.createDataFrame([(1, "abc", "python"), (2, "ABC", "go"), (3, None, "go")], "id int, t string, language string")
+    rules = spark.createDataFrame([("a", "b", 10, None, None), ("b", "(?i)b", 20, K.MALICIOUS, "go"), ("c", "z", 30, None, None)], "rule_id string, pattern string, score int, nature string, language string")
+    for most in (1, 200):
+        assert sorted(map(str, map(tuple, matching.rule_hits(texts, rules, ["id"], "t", most).collect()))) == sorted(map(str, [(1, "a", 10, None), (2, "b", 20, K.MALICIOUS)]))
+    assert matching.rule_hits(texts, rules.limit(0), ["id"], "t").count() == 0
