@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -18,6 +19,7 @@ from ..sources import diffs as D
 from ..sources import manifests
 
 FINDING = ["diff_id", "layer", "ord", "path", "line", "rule_id", "message", "severity", "nature"]
+LOG = logging.getLogger(__name__)
 LAYER = ["diff_id", "layer", "score", "skipped", "crashed", "confidence", "category", "nature", "justification"]
 
 
@@ -28,10 +30,12 @@ class Config:
     red: int = K.RED
     short_circuit: bool = False
     audit_one_in: int = 20
+    #: Whether each layer is computed by itself, so that one that fails is crashed and the others go on.
+    isolate: bool = False
 
     def without(self, *layers: str) -> Config:
         """The same with weight 0 for some layers, as the quick checks use it."""
-        return Config({k: 0.0 if k in layers else v for k, v in self.weights.items()}, self.yellow, self.red, self.short_circuit, self.audit_one_in)
+        return Config({k: 0.0 if k in layers else v for k, v in self.weights.items()}, self.yellow, self.red, self.short_circuit, self.audit_one_in, self.isolate)
 
 
 def override(config: Config, weights: dict[str, float] | None = None, yellow: int | None = None, red: int | None = None) -> Config:
@@ -50,7 +54,7 @@ def override(config: Config, weights: dict[str, float] | None = None, yellow: in
     limits = [config.yellow if yellow is None else yellow, config.red if red is None else red]
     if not all(isinstance(x, int) and 0 <= x <= 100 for x in limits):
         raise ValueError("thresholds are whole numbers from 0 to 100")
-    return Config(new, *limits, config.short_circuit, config.audit_one_in)
+    return Config(new, *limits, config.short_circuit, config.audit_one_in, config.isolate)
 
 
 def _layer(rows: DataFrame, name: str, **columns) -> DataFrame:
@@ -231,8 +235,19 @@ def analyze(diffs: DataFrame, reference: DataFrame, advisories: DataFrame, reput
     use = {n: f for n, f in (REGISTRY | (layers or {})).items() if config.weights.get(n, 0) > 0}
     given = Inputs(ids, changes, deps, reference, advisories, reputation, rules, None, config)
     rows, findings = {}, []
+
+    def run(name: str, given: Inputs) -> tuple[DataFrame, DataFrame | None]:
+        if not config.isolate:
+            return use[name](given)
+        try:
+            own, found_ = use[name](given)
+            return staged(own), None if found_ is None else staged(found_)
+        except Exception as e:  # whatever a layer's plan or its tasks raise
+            LOG.warning("layer %s failed: %s", name, e)
+            return _layer(ids, name, score=F.lit(0), skipped=F.lit(True), crashed=F.lit(True), justification=F.lit("")), None
+
     for name in S.in_order({n: None for n in use if n not in LATE}):
-        rows[name], own = use[name](given)
+        rows[name], own = run(name, given)
         if own is not None:
             findings.append(own)
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
@@ -242,7 +257,7 @@ def analyze(diffs: DataFrame, reference: DataFrame, advisories: DataFrame, reput
         given = replace(given, findings=found)
         early = list(rows)
         for name in S.in_order({n: None for n in use if n in LATE}):
-            rows[name], _ = use[name](given)
+            rows[name], _ = run(name, given)
         if config.short_circuit and "semantic" in rows:
             cell = F.struct("score", "skipped", "crashed", "confidence", "category", "nature")
             wide = union([rows[n] for n in early]).groupBy("diff_id").pivot("layer", [n for n in K.LAYERS if n != "semantic"] + [n for n in early if n not in K.LAYERS]).agg(F.first(cell))

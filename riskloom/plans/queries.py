@@ -642,11 +642,23 @@ def _filled(text: str, sql: bool):
 _MAN_SQL = " UNION ALL ".join(f"SELECT p_partkey AS diff_id, 'x/{f}' AS manifest_path, '{eco}' AS ecosystem, {_filled(n, True)} AS name, {_filled(v, True)} AS version, {str(u).lower()} AS is_direct_url FROM part" for f, (eco, _, rows) in _MAN.items() for n, v, u in rows)
 
 
+def _manifest_changes(spark, d) -> DataFrame:
+    files = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"x/{f}").alias("path"), _filled(h, False).alias("diff_hunk")) for i, (f, (_, h, _)) in enumerate(_MAN.items())))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("diff_id"), F.explode(files).alias("f")).select("diff_id", "f.*")
+
+
 @query("dependency_changes", _MAN_SQL)
 def _(spark, d):
-    files = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"x/{f}").alias("path"), _filled(h, False).alias("diff_hunk")) for i, (f, (_, h, _)) in enumerate(_MAN.items())))
-    changes = table(spark, d, "part").select(F.col("p_partkey").alias("diff_id"), F.explode(files).alias("f")).select("diff_id", "f.*")
-    return manifests.dependency_changes(changes).select("diff_id", "manifest_path", "ecosystem", "name", "version", "is_direct_url")
+    return manifests.dependency_changes(_manifest_changes(spark, d)).select("diff_id", "manifest_path", "ecosystem", "name", "version", "is_direct_url")
+
+
+@query("dependency_changes_sql", _MAN_SQL)
+def _(spark, d):
+    from . import views
+
+    _manifest_changes(spark, d).createOrReplaceTempView("changes")
+    views.register(spark, "changes")
+    return spark.sql("SELECT diff_id, manifest_path, ecosystem, name, version, is_direct_url FROM dependency_changes")
 
 
 def _analysis(spark, d, config=None) -> A.Analysis:
@@ -680,7 +692,12 @@ def _(spark, d):
     return _analysis(spark, d, A.Config(short_circuit=True)).results.select("diff_id", "score", "verdict")
 
 
-@query("quick_check")
+_QUICK = _ANALYSIS[: _ANALYSIS.index(",\nm AS (SELECT")] + """,
+m AS (SELECT *, CAST(round_even((0.25::DOUBLE * st + 0.1::DOUBLE * de + (CASE WHEN rep THEN 0.15::DOUBLE * re ELSE 0 END)) / (0.25::DOUBLE + 0.1::DOUBLE + (CASE WHEN rep THEN 0.15::DOUBLE ELSE 0 END)), 0) AS INT) AS score FROM l)
+SELECT id AS diff_id, score, CASE WHEN score >= 70 THEN 'rojo' WHEN score >= 40 THEN 'amarillo' ELSE 'verde' END AS verdict FROM m"""
+
+
+@query("quick_check", _QUICK)
 def _(spark, d):
     return _analysis(spark, d, A.Config().without("semantic", "vulnerabilities")).results.select("diff_id", "score", "verdict")
 
@@ -768,14 +785,21 @@ def _(spark, d):
     return _run(jobs.daily_counts(_event_stream(spark, d)), "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("stream_rate_limit")
+def _stamped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("stream_rate_limit", """WITH u AS (SELECT user_id, list_reduce(list_transform(list(epoch_us(ts) ORDER BY ts), lambda t: [t]), lambda a, x: CASE WHEN len(list_filter(a, lambda t: t > x[1] - 36000000000)) < 3 THEN list_append(a, x[1]) ELSE a END) AS taken FROM events GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, list_contains(taken, epoch_us(ts)) AS allowed FROM events JOIN u USING (user_id)""")
 def _(spark, d):
-    return _run(jobs.sliding_limit(_event_stream(spark, d), "user_id", 3, 36_000), "append")
+    return _stamped(_run(jobs.sliding_limit(_event_stream(spark, d), "user_id", 3, 36_000), "append"))
 
 
-@query("stream_quota")
+@query("stream_quota", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, 1500 + 500 * (event_id % 4) AS cost, CASE user_id WHEN 3 THEN 10000 ELSE 50000 END AS most FROM events),
+b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 3000 > most AS degraded FROM e)
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, degraded, CAST(sum(CASE WHEN degraded THEN 0 ELSE cost END) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS used FROM b""")
 def _(spark, d):
-    return _run(jobs.quota(_event_stream(spark, d).withColumn("tool_calls", F.col("event_id") % 4), {"3": 10_000}, 50_000), "append")
+    return _stamped(_run(jobs.quota(_event_stream(spark, d).withColumn("tool_calls", F.col("event_id") % 4), {"3": 10_000}, 50_000), "append"))
 
 
 # --- cases, caches and structure --------------------------------------------------------------------------------

@@ -429,3 +429,30 @@ def test_rule_hits_in_parts(spark):
     for most in (1, 200):
         assert sorted(map(str, map(tuple, matching.rule_hits(texts, rules, ["id"], "t", most).collect()))) == sorted(map(str, [(1, "a", 10, None), (2, "b", 20, K.MALICIOUS)]))
     assert matching.rule_hits(texts, rules.limit(0), ["id"], "t").count() == 0
+
+
+def test_a_layer_that_fails_leaves_the_others(spark):
+    diff = "diff --git a/run.py b/run.py\n--- a/run.py\n+++ b/run.py\n@@ -1 +1 @@\n+eval(x)\n"
+    diffs = spark.createDataFrame([(1, diff)], "diff_id int, diff string")
+    none = {"reference": spark.createDataFrame([], "ecosystem string, ord int, name string"), "advisories": spark.createDataFrame([], "ecosystem string, name string, version string, vulns array<struct<id: string, summary: string, severity: array<struct<type: string, score: string>>, nominal: array<string>, cvss: string>>"), "reputation": spark.createDataFrame([], "diff_id int, account_age_days int")}
+
+    def plans_badly(x):
+        raise ValueError("no plan")
+
+    def runs_badly(x):
+        return P._layer(x.ids, "late", score=F.raise_error(F.lit("no run")).cast("int")), None
+
+    got = P.analyze(diffs, **none, config=P.Config({"static": 0.5, "early": 0.3, "late": 0.2}, isolate=True), layers={"early": plans_badly, "late": runs_badly})
+    assert {r.layer: (r.score, r.skipped, r.crashed) for r in got.layers.collect()} == {"static": (90, False, False), "early": (0, True, True), "late": (0, True, True)}
+    assert [r.score for r in got.results.collect()] == [90]
+
+
+def test_views(spark):
+    from riskloom.plans import views
+
+    diff = "diff --git a/requirements.txt b/requirements.txt\n--- a/requirements.txt\n+++ b/requirements.txt\n@@ -1 +1,2 @@\n+requests==1.0\n+# eval(x) https://host.example/abc\n"
+    spark.createDataFrame([(1, diff)], "diff_id int, diff string").createOrReplaceTempView("some_diffs")
+    assert views.register(spark, diffs_view="some_diffs", prefix="v_") == ["v_file_changes", "v_dependency_changes", "v_suspicious_lines", "v_notable_literals"]
+    assert [r.name for r in spark.sql("SELECT name FROM v_dependency_changes WHERE ecosystem = 'PyPI'").collect()] == ["requests"]
+    both = spark.sql("SELECT f.path, s.label, l.literal FROM v_file_changes f JOIN v_suspicious_lines s USING (diff_id, ord) JOIN v_notable_literals l USING (diff_id, ord)").collect()
+    assert [tuple(r) for r in both] == [("requirements.txt", "eval_dynamic", "https://host.example/abc")]
