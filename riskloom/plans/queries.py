@@ -919,4 +919,4 @@ def _(spark, d):
     return rows.select(F.substr("ref", F.lit(2)).cast("long").alias("id"), "kind")
 
 
-from . import review_queries, service_queries, storage_queries  # noqa: E402, F401  register their queries with ``query``
+from . import review_queries, service_queries, source_queries, storage_queries  # noqa: E402, F401  register their queries with ``query``
