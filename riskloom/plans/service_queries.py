@@ -14,7 +14,7 @@ from ..operators import packing as P
 from ..operators import review as R
 from . import semantic
 from .fixtures import table
-from .queries import _LITERALS, query
+from .queries import _LITERALS, SQL, _paths, query
 
 # --- the model's results ----------------------------------------------------------------------------------------
 
@@ -301,3 +301,31 @@ def _(spark, d):
     form = F.when(k % 4 == 0, "whole").when(k % 4 == 1, "excerpt").when(k % 4 == 2, "unverified").otherwise("no_budget")
     files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("f"), k, F.lit(".py")).alias("path"), F.lit("added").alias("status"), body.alias("diff_hunk"), form.alias("form"))
     return R.rendered(files).select("doc_id", F.md5("text").alias("text"))
+
+
+# --- repositories whose number grows with the table -------------------------------------------------------------
+
+
+def _twenties(spark, d) -> DataFrame:
+    return _paths(spark, d).withColumn("repo", F.floor(F.col("id") / 20).cast("long")).withColumn("ord", F.col("id"))
+
+
+@query("files_to_index_full", SQL["files_to_index"].replace("id % 5", "id // 20").replace("n <= 40", "n <= 12"))
+def _(spark, d):
+    return P.files_to_index(_twenties(spark, d), most=12).select("repo", "n", "path")
+
+
+@query("project_summary_full", SQL["project_summary"].replace("id % 5", "id // 20"))
+def _(spark, d):
+    return P.project_summary(_twenties(spark, d))
+
+
+@query("module_breakdown_full", SQL["module_breakdown"].replace("id % 5", "id // 20"))
+def _(spark, d):
+    files = _twenties(spark, d).withColumn("category", F.col("size").cast("string")).withColumn("summary", F.col("path"))
+    return P.module_breakdown(files).select("repo", "module", "category", "files")
+
+
+@query("token_estimates_full", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens, coalesce(TRY_CAST(nullif(regexp_replace(text || doc_id, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS number FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), X.digits_number(F.concat("text", "doc_id")).alias("number"))
