@@ -692,6 +692,18 @@ def _(spark, d):
     return _analysis(spark, d, A.Config(short_circuit=True)).results.select("diff_id", "score", "verdict")
 
 
+_SHORT = _ANALYSIS[: _ANALYSIS.index(",\nm AS (SELECT")] + """,
+m AS (SELECT *, code OR dev OR NOT req AS decided, 0.25::DOUBLE * st + 0.1::DOUBLE * de + 0.1::DOUBLE * vu + (CASE WHEN rep THEN 0.15::DOUBLE * re ELSE 0 END) AS top, 0.25::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE + (CASE WHEN rep THEN 0.15::DOUBLE ELSE 0 END) AS below FROM l),
+s AS (SELECT *, CAST(round_even(CASE WHEN decided THEN top / below ELSE (top + 0.4::DOUBLE * se) / (below + 0.4::DOUBLE) END, 0) AS INT) AS score FROM m)
+SELECT id AS diff_id, score, CASE WHEN code OR (req AND dev) THEN 'rojo' WHEN NOT req THEN 'verde' WHEN score >= 70 THEN 'rojo' WHEN score >= 40 THEN 'amarillo' ELSE 'verde' END AS verdict FROM s"""
+
+
+@query("analyze_short_circuit_full", _SHORT)
+def _(spark, d):
+    """Without the sample of decided changes that is analysed anyway, which SQL can't tell."""
+    return _analysis(spark, d, A.Config(short_circuit=True, audit_one_in=1 << 40)).results.select("diff_id", "score", "verdict")
+
+
 _QUICK = _ANALYSIS[: _ANALYSIS.index(",\nm AS (SELECT")] + """,
 m AS (SELECT *, CAST(round_even((0.25::DOUBLE * st + 0.1::DOUBLE * de + (CASE WHEN rep THEN 0.15::DOUBLE * re ELSE 0 END)) / (0.25::DOUBLE + 0.1::DOUBLE + (CASE WHEN rep THEN 0.15::DOUBLE ELSE 0 END)), 0) AS INT) AS score FROM l)
 SELECT id AS diff_id, score, CASE WHEN score >= 70 THEN 'rojo' WHEN score >= 40 THEN 'amarillo' ELSE 'verde' END AS verdict FROM m"""

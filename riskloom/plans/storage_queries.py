@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from ..functions.staging import shared_dir
 from ..operators import matching
 from ..operators import vector_index as V
 from ..sources import quarantine
 from ..sources import table_set as TS
-from ..streaming import states
-from .fixtures import table
+from ..streaming import jobs, states
+from .fixtures import SCORES, table
 from .queries import _HUNDREDTH, SQL, _event_stream, _run, query
 
 # --- the vector index -------------------------------------------------------------------------------------------
@@ -160,3 +161,22 @@ def _(spark, d):
         return _run(states.build_states(rows, stale=86_400, ttl=10 * 86_400), "append")
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+@query("stream_append_scores", SCORES + "SELECT event_id, repo, score, verdict FROM scores")
+def _(spark, d):
+    base = f"{shared_dir(spark)}/riskloom/stream_{uuid.uuid4().hex}"
+    e = _event_stream(spark, d)
+    score = (F.floor("value") % 101).cast("int")
+    rows = e.select("event_id", F.concat(F.lit("org/repo"), F.col("user_id") % 7).alias("repo"), score.alias("score"), S.verdict(score).alias("verdict"))
+    jobs.append_scores(rows, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")
+
+
+@query("stream_notify", SCORES + "SELECT event_id, score FROM scores WHERE repo = 'org/repo2'")
+def _(spark, d):
+    base = f"{shared_dir(spark)}/riskloom/stream_{uuid.uuid4().hex}"
+    rows = _event_stream(spark, d).select("event_id", F.concat(F.lit("org/repo"), F.col("user_id") % 7).alias("repo"), (F.floor("value") % 101).cast("int").alias("score"))
+    publish = lambda batch, number: batch.select("event_id", "score").write.mode("overwrite").parquet(f"{base}/out/batch={number}")  # noqa: E731  a batch that is told again is told alike
+    jobs.notify(rows, publish, f"{base}/checkpoint", "org/repo2").awaitTermination()
+    return spark.read.schema("event_id long, score int, batch int").parquet(f"{base}/out").drop("batch")
