@@ -30,7 +30,8 @@ RULE_LANGUAGE_OF_EXTENSION = {
 COMBOSQUAT_SUFFIXES = ("-dev", "-test", "-official", "-secure", "-safe", "-real", "-patch", "-fix", "-utils", "-util", "-new", "-latest", "-stable", "-original")
 MIN_FUZZY_LENGTH = 6
 
-#: (pattern, label) over scripts and added lines, in order; case-insensitive.
+#: Fixed values: (pattern, label) over scripts and added lines, in order; case-insensitive. ``exec`` stands behind a character class and
+#: not a look-behind, as the comparing SQL engine has none; both find the same lines.
 SUSPICIOUS = [
     (r"curl\s+[^|\n]+\|\s*(sh|bash)", "curl_pipe_shell"),
     (r"wget\s+[^|\n]+\|\s*(sh|bash)", "wget_pipe_shell"),
@@ -66,12 +67,14 @@ NOTABLE_LITERALS = [r"https?://[^\s'\"<>]{6,}", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\
 FORCING_PATHS = r"PKGBUILD$|^\.github/workflows/|Makefile$|Dockerfile$"
 NETWORK_CALLS = r"requests\.(get|post|put|delete|patch)\(|fetch\(|\bcurl\s|Invoke-WebRequest|urllib\.request|httpx\.(get|post|put|delete)\("
 
+# Forms of secrets that are taken out of texts.
 SECRETS = [
     r"wg_live_[a-f0-9]{64}", r"wg_test_[a-f0-9]{64}", r"wg_live_[a-zA-Z0-9_-]{16,}", r"wg_test_[a-zA-Z0-9_-]{16,}", r"sk-ant-[a-zA-Z0-9_-]{20,}",
     r"AIzaSy[a-zA-Z0-9_-]{30,}", r"sk-[a-zA-Z0-9_-]{32,}", r"gh[pousr]_[a-zA-Z0-9]{36,}", r"github_pat_[a-zA-Z0-9_]{22,}",
 ]
 REDACTED = "[REDACTED_SECRET]"
 
+# Weights of CVSS 3 metrics, and the words for severities.
 CVSS_CIA = {"N": 0.0, "L": 0.22, "H": 0.56}
 CVSS_AV = {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}
 CVSS_AC = {"L": 0.77, "H": 0.44}
@@ -80,6 +83,7 @@ CVSS_PR_CHANGED = {"N": 0.85, "L": 0.68, "H": 0.5}
 CVSS_UI = {"N": 0.85, "R": 0.62}
 SEVERITY_LABELS = {"CRITICAL": "CRÍTICA", "HIGH": "ALTA", "MODERATE": "MEDIA", "MEDIUM": "MEDIA", "LOW": "BAJA"}
 
+# Lines of a package.json hunk, and keys and sections that hold no dependencies.
 #: Lines of a package.json hunk: section opened (name), section closed, install script (name, command), entry (name, version).
 PACKAGE_JSON_OPEN = r'^[+\- ]\s*"([^"]+)":\s*\{\s*$'
 PACKAGE_JSON_CLOSE = r"^[+\- ]\s*\},?\s*$"
