@@ -33,6 +33,21 @@ def batch_name(rows: DataFrame) -> str:
     return f"{n}:{total}"
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of ``rows`` (id, digest): partial aggregation first, so a hot text is a row for each task."""
+    return staged(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+
+
+def append_new(spark: SparkSession, groups: DataFrame, table: str, batch: str, buckets: int = BUCKETS) -> DataFrame:
+    """Appends the texts that the index lacks; returns those, with those that an earlier run of the same batch brought (``own``)."""
+    known = spark.table(table).select("digest", (F.col("batch") == batch).alias("own"))
+    fresh = groups.join(known.hint("merge"), "digest", "left").filter(F.coalesce("own", F.lit(True)))
+    fresh = staged(fresh, "fresh")  # read before the table is written to
+    new = fresh.filter("own IS NULL").select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
+    new.repartition(buckets, "digest").sortWithinPartitions("digest").write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+    return fresh
+
+
 def add_batch(spark: SparkSession, rows: DataFrame, table: str, batch: str, buckets: int = BUCKETS) -> DataFrame:
     """Appends the texts of ``rows`` (id, digest) that the index lacks; returns a row for each digest of the batch.
 
@@ -41,12 +56,8 @@ def add_batch(spark: SparkSession, rows: DataFrame, table: str, batch: str, buck
     Of equal texts in the batch, the largest id is the one to keep (ids that are null lose). The returned
     ``known`` says that an earlier batch brought the digest; no row of this batch is to be kept then.
     """
-    groups = staged(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    known = spark.table(table).select("digest", (F.col("batch") == batch).alias("own"))
-    fresh = groups.join(known.hint("merge"), "digest", "left").filter(F.coalesce("own", F.lit(True)))
-    fresh = staged(fresh, "fresh")  # read before the table is written to
-    new = fresh.filter("own IS NULL").select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
-    new.repartition(buckets, "digest").sortWithinPartitions("digest").write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+    groups = grouped(rows)
+    fresh = append_new(spark, groups, table, batch, buckets)
     judged = groups.join(fresh.select("digest", F.lit(False).alias("known")).hint("merge"), "digest", "left").withColumn("known", F.coalesce("known", F.lit(True)))
     judged = staged(judged, "judged")
     discard(groups, fresh)
@@ -80,7 +91,7 @@ def by_descending_id(rows: DataFrame, batches: int) -> list[DataFrame]:
     return [rows.filter(nth == k) for k in range(batches)]
 
 
-def dedup_batches(spark: SparkSession, docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, batches: int = 4) -> DataFrame:
+def dedup_batches(spark: SparkSession, docs: DataFrame, table: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, batches: int = 2) -> DataFrame:
     """One row per document: id, digest, keep_id, group_size, kept, with the documents added to a new index batch by batch.
 
     Batches come in descending order of whole-number ids, so of equal texts the first one that the index gets has the largest id:
@@ -89,13 +100,15 @@ def dedup_batches(spark: SparkSession, docs: DataFrame, table: str, id_col: str
     index table any more.
     """
     rows = staged(digests(docs, id_col, text_col), "digests")
-    parts = by_descending_id(rows, batches)
-    judged = [add_batch(spark, part, table, f"batch {k}", buckets) for k, part in enumerate(parts)]
-    every = judged[0]
-    for more in judged[1:]:
+    brought = []
+    for k, part in enumerate(by_descending_id(rows, batches)):
+        brought.append(grouped(part))
+        discard(append_new(spark, brought[-1], table, f"batch {k}", buckets))
+    every = brought[0]
+    for more in brought[1:]:
         every = every.unionByName(more)
     sizes = every.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
     groups = staged(sizes.join(spark.table(table).select("digest", "keep_id").hint("merge"), "digest"), "verdicts")
-    discard(*judged)
+    discard(*brought)
     joined = join_groups(rows, groups, "digest", "group_size", rows.count())
     return joined.select("id", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))

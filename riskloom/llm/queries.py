@@ -49,7 +49,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents come as four batches to an index in the shared folder, which goes when the verdicts are written."""
+    """The documents come as two batches to an index in the shared folder, which goes when the verdicts are written."""
     name = f"digest_index_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/riskloom/{name}"
     exact_dedup.open_index(spark, name, path)
