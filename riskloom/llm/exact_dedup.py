@@ -44,7 +44,9 @@ def append_new(spark: SparkSession, groups: DataFrame, table: str, batch: str, b
     fresh = groups.join(known.hint("merge"), "digest", "left").filter(F.coalesce("own", F.lit(True)))
     fresh = staged(fresh, "fresh")  # read before the table is written to
     new = fresh.filter("own IS NULL").select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
-    new.repartition(buckets, "digest").sortWithinPartitions("digest").write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+    # dealt by bucket, so that each bucket is one file of a batch, whatever the number of partitions
+    dealt = new.withColumn("_bucket", F.pmod(F.hash("digest"), F.lit(buckets))).repartition(2 * buckets, "_bucket").sortWithinPartitions("_bucket", "digest").drop("_bucket")
+    dealt.write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
     return fresh
 
 
