@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..functions.staging import expanded, member_lists
 from ..sources import manifests
 from .review import login
 
@@ -81,13 +82,19 @@ def admin_scope(users: DataFrame, monitored: DataFrame, site_admins: str) -> Dat
 
     ``users`` (user_login, org_id), ``site_admins``: logins separated by commas, in any case. A user without an organisation
     has no scope of it.
+
+    Users with the same organisations are one class, whose repositories are made distinct before they meet its users: the
+    result, which has many rows for each user, is never shuffled.
     """
     names = {x.strip().lower() for x in site_admins.split(",") if x.strip()}
     site = login(F.col("user_login")).isin(*names) if names else F.lit(False)
     all_repos = monitored.select("repo").distinct()
-    own = users.filter(~site).select("user_login", "org_id").join(monitored.select("org_id", "repo").distinct(), "org_id").select("user_login", "repo")
+    groups = users.filter(~site & F.col("org_id").isNotNull()).groupBy("user_login").agg(F.array_sort(F.collect_set("org_id")).alias("_orgs"))
+    orgs = groups.select("_orgs").distinct().select("_orgs", F.explode("_orgs").alias("org_id"))
+    repos = orgs.join(monitored.select("org_id", "repo").distinct(), "org_id").select("_orgs", "repo").distinct()
+    own = expanded(groups, member_lists(repos, "_orgs"), "_orgs")
     few = users.filter(site).select(login(F.col("user_login")).alias("user_login")).distinct().limit(max(len(names), 1))  # as many as there are names
-    return own.unionByName(all_repos.crossJoin(F.broadcast(few)).select("user_login", "repo")).distinct()
+    return own.unionByName(all_repos.crossJoin(F.broadcast(few)).select("user_login", "repo"))
 
 
 def case_listing(cases: DataFrame) -> DataFrame:

@@ -456,3 +456,15 @@ def test_views(spark):
     assert [r.name for r in spark.sql("SELECT name FROM v_dependency_changes WHERE ecosystem = 'PyPI'").collect()] == ["requests"]
     both = spark.sql("SELECT f.path, s.label, l.literal FROM v_file_changes f JOIN v_suspicious_lines s USING (diff_id, ord) JOIN v_notable_literals l USING (diff_id, ord)").collect()
     assert [tuple(r) for r in both] == [("requirements.txt", "eval_dynamic", "https://host.example/abc")]
+
+
+def test_users_meet_repositories_without_a_shuffle_of_their_pairs(spark, monkeypatch):
+    """A user of two organisations that share a repository has it once; nothing that has a row for each pair is shuffled."""
+    users = spark.createDataFrame([("ann", "a"), ("ann", "b"), ("ann", "b"), ("bob", "b"), ("eve", None), (" Root", "a"), ("root", None)], "user_login string, org_id string")
+    monitored = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "b"), ("r2", "b"), ("r3", "c")], "repo string, org_id string")
+    monkeypatch.setattr("riskloom.functions.staging.LIST_ROWS", 1)
+    out = A.admin_scope(users, monitored, "root")
+    want = [("ann", "r1"), ("ann", "r2"), ("bob", "r1"), ("bob", "r2"), ("root", "r1"), ("root", "r2"), ("root", "r3")]
+    assert sorted(tuple(r) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")  # no distinct over the pairs
