@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as X
+from ..functions.staging import expanded, member_lists, staged
 
 #: Bytes of rule strings that are searched for in one pass.
 RULE_BYTES = 16 << 20
@@ -96,12 +97,12 @@ def text_rules(sources: DataFrame) -> DataFrame:
     return rows.filter((F.col("_n") == F.size("strings")) & (F.col("_n") > 0) & F.col("needed").between(1, F.size("strings"))).drop("_n")
 
 
-def _automata(rules: list[tuple[str, int, int, list[tuple[str, bool]]]]):
+def _automata(rules: list[tuple[str, int, list[tuple[str, bool]]]]):
     """(exact, without case): automata whose strings carry the rules they belong to, as (rule, place of the string in it)."""
     import ahocorasick
 
     both: list[dict[str, list[tuple[int, int]]]] = [{}, {}]
-    for r, (_, _, _, strings) in enumerate(rules):
+    for r, (_, _, strings) in enumerate(rules):
         for k, (text, nocase) in enumerate(strings):
             if text:
                 both[nocase].setdefault(text.lower() if nocase else text, []).append((r, k))
@@ -130,43 +131,49 @@ def _found(text: str, automata: list) -> dict[int, set[int]]:
 def text_rule_hits(texts: DataFrame, rules: DataFrame, id_cols: list[str], text_col: str, part_bytes: int = RULE_BYTES) -> DataFrame:
     """(ids, rule_id, score): texts in which enough different strings of a rule occur. ``rules``: from ``text_rules``.
 
-    All strings of all rules are searched at once: each task builds an automaton of them and goes over a text once,
-    however many rules there are, so the plan doesn't grow with them and nothing is joined. Rules are configuration. They are sent
-    in parts of about ``part_bytes`` of strings, each with whole rules and a pass of its own; a common catalogue is one
-    part. Null texts are empty; the empty string occurs in every text. Rows that repeat ids each give their hits.
+    Rules with the same strings and the same ``needed`` are one class, of which a text has one hit; the class's rules come
+    back by a join on its digest, after the search. All strings of all classes are searched at once: each task builds an
+    automaton of them and goes over a text once, however many rules there are, so the plan doesn't grow with them. Rules are
+    configuration. Classes are sent in parts of about ``part_bytes`` of strings, each with whole classes and a pass of its own; a
+    common catalogue is one part. Null texts are empty; the empty string occurs in every text. Rows that repeat ids each
+    give their hits.
     """
     spark, rows = texts.sparkSession, texts.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = T.StructType([*(rows.schema[c] for c in id_cols), T.StructField("rule_id", T.StringType()), T.StructField("score", T.IntegerType())])
+    schema = T.StructType([*(rows.schema[c] for c in id_cols), T.StructField("_class", T.StringType())])
+    same = F.md5(F.to_json(F.struct("needed", "strings")))
+    known = staged(rules.select(same.alias("_class"), "rule_id", F.col("score").cast("int").alias("score"), "needed", "strings"))
+    classes = known.groupBy("_class").agg(F.first("needed").alias("needed"), F.first("strings").alias("strings"))
 
-    def search(part: list[tuple[str, int, int, list[tuple[str, bool]]]]) -> DataFrame:
+    def search(part: list[tuple[str, int, list[tuple[str, bool]]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             given = shared.value
             automata = _automata(given)
-            always = [{k for k, (text, _) in enumerate(strings) if not text} for _, _, _, strings in given]
-            free = [r for r, (_, _, needed, _) in enumerate(given) if len(always[r]) >= needed]
+            always = [{k for k, (text, _) in enumerate(strings) if not text} for _, _, strings in given]
+            free = [r for r, (_, needed, _) in enumerate(given) if len(always[r]) >= needed]
             for batch in batches:
                 at, which = [], []
                 for i, text in enumerate(batch.column(len(id_cols)).to_pylist()):
                     found = _found(text, automata)
-                    hits = {r for r, ks in found.items() if len(ks | always[r]) >= given[r][2]}.union(free)
+                    hits = {r for r, ks in found.items() if len(ks | always[r]) >= given[r][1]}.union(free)
                     at += [i] * len(hits)
                     which += sorted(hits)
                 own = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(len(id_cols))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([given[r][0] for r in which], pa.string()), pa.array([given[r][1] for r in which], pa.int32())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*own, pa.array([given[r][0] for r in which], pa.string())], names=schema.names)
 
         return rows.mapInArrow(run, schema)
 
     parts, size = [[]], 0
-    for r in rules.select("rule_id", "score", "needed", "strings").toLocalIterator():
+    for r in classes.toLocalIterator():
         own = sum(len(s.text.encode()) + 16 for s in r.strings)
         if parts[-1] and size + own > part_bytes:
             parts.append([])
             size = 0
-        parts[-1].append((r.rule_id, r.score, r.needed, [(s.text, s.nocase) for s in r.strings]))
+        parts[-1].append((r["_class"], r.needed, [(s.text, s.nocase) for s in r.strings]))
         size += own
-    return reduce(DataFrame.unionByName, [search(p) for p in parts])
+    hits = reduce(DataFrame.unionByName, [search(p) for p in parts])
+    return expanded(hits, member_lists(known.select("_class", "rule_id", "score"), "_class"), "_class")
 
 
 def benign_matches(rules: DataFrame, benign: DataFrame) -> DataFrame:

@@ -468,3 +468,14 @@ def test_users_meet_repositories_without_a_shuffle_of_their_pairs(spark, monkeyp
     assert sorted(tuple(r) for r in out.collect()) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")  # no distinct over the pairs
+
+
+def test_rules_with_the_same_strings_are_one_class(spark):
+    """Rules of equal strings come back after the search, also under one name twice, with their own scores."""
+    rules = [(f"r{k % 40}", [("ab", False)], 1, k % 2) for k in range(50)] + [("s", [("ab", True)], 1, 7), ("t", [("ab", False), ("zz", False)], 2, 8)]
+    df = spark.createDataFrame(rules, "rule_id string, strings array<struct<text: string, nocase: boolean>>, needed int, score int")
+    hits = R.text_rule_hits(spark.createDataFrame([(1, "xabx"), (2, "AB"), (3, "abzz"), (4, "")], "id int, t string"), df, ["id"], "t")
+    holds = lambda t, s: s[0] in t.lower() if s[1] else s[0] in t
+    want = sorted((i, n, score) for i, t in ((1, "xabx"), (2, "AB"), (3, "abzz")) for n, strings, needed, score in rules if sum(holds(t, s) for s in strings) >= needed)
+    assert sorted(tuple(r) for r in hits.collect()) == want
+    assert "Generate explode" in hits._jdf.queryExecution().executedPlan().toString()
