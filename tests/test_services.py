@@ -479,3 +479,35 @@ def test_rules_with_the_same_strings_are_one_class(spark):
     want = sorted((i, n, score) for i, t in ((1, "xabx"), (2, "AB"), (3, "abzz")) for n, strings, needed, score in rules if sum(holds(t, s) for s in strings) >= needed)
     assert sorted(tuple(r) for r in hits.collect()) == want
     assert "Generate explode" in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_of_ties_and_vectors_without_a_direction(spark, monkeypatch):
+    """Exact distances added in order, ties by id, over several blocks of items and queries; no direction comes last."""
+    monkeypatch.setattr(matching, "ITEM_BLOCK", 7)
+    r = random.Random(5)
+    base = [[r.uniform(-1, 1) for _ in range(6)] for _ in range(12)]
+    vectors = [base[k % 12] for k in range(60)] + [[0.0] * 6, None, [1.0, None, 0.0, 0.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(k, v, k % 3) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").repartition(3)
+
+    def distance(a, b):
+        if None in (a, b) or None in (*a, *b) or not any(a) or not any(b):
+            return float("inf")
+        a, b = ([float(np.float32(x)) for x in v] for v in (a, b))
+        dot = lambda x, y: sum((p * q for p, q in zip(x, y)), 0.0)
+        total = [0.0, 0.0, 0.0]
+        for p, q in zip(a, b):
+            total = [total[0] + p * q, total[1] + p * p, total[2] + q * q]
+        return 1 - total[0] / (total[1] ** 0.5 * total[2] ** 0.5)
+
+    for block in (1024, 4):
+        for k in (4, 61):
+            got = sorted(tuple(x) for x in matching.top_k(df.filter("vec_id % 5 = 0"), df, k, keep=["label"], block=block).select("query", "rank", "id", "label").collect())
+            want = []
+            for q in range(0, len(vectors), 5):
+                order = sorted(range(len(vectors)), key=lambda i: (distance(vectors[q], vectors[i]), i))[:k]
+                want += [(q, n + 1, i, i % 3) for n, i in enumerate(order)]
+            assert got == want
+    assert matching.top_k(df.limit(0), df, 3).count() == 0
+    assert matching.top_k(df, df.limit(0), 3).count() == 0
+    plan = matching.top_k(df, df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
