@@ -23,8 +23,8 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; a break at the end starts no further line, and an empty text has none."""
-    parts = F.split(text, _BREAKS, -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(bound(F.split(text, _BREAKS, -1), whole))
 
 
 def strip(text: Column) -> Column:
@@ -72,10 +72,10 @@ def change_status(new: Column, deleted: Column, renamed: Column) -> Column:
 
 def line_counts(hunk: Column) -> tuple[Column, Column]:
     """(additions, deletions): lines after the first ``@@`` line that begin with one sign but not with three."""
-    all_lines = lines(hunk)
-    start = F.coalesce(F.array_position(F.transform(all_lines, lambda x: F.startswith(x, F.lit("@@"))), True), F.lit(0))
-    body = F.when(start > 0, F.slice(all_lines, start.cast("int"), F.size(all_lines))).otherwise(F.array().cast("array<string>"))
-    count = lambda sign: F.size(F.filter(body, lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(sign * 3))))
+    start = lambda ls: F.coalesce(F.array_position(F.transform(ls, lambda x: F.startswith(x, F.lit("@@"))), True), F.lit(0)).cast("int")
+    signed = lambda sign: lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(sign * 3))
+    after = lambda ls, sign: bound(start(ls), lambda at: F.when(at > 0, F.size(F.filter(F.slice(ls, at, F.size(ls)), signed(sign)))).otherwise(F.when(ls.isNotNull(), 0)))
+    count = lambda sign: bound(lines(hunk), lambda ls: after(ls, sign))
     return count("+"), count("-")
 
 
