@@ -133,9 +133,8 @@ def indented_ranges(content: Column) -> Column:
 
 def symbols(content: Column, ranges: Column) -> Column:
     """The first line of each range, stripped, at most 120 characters."""
-    all_lines = X.lines(content)
-    inside = F.filter(ranges, lambda r: (r["start"] >= 1) & (r["start"] <= F.size(all_lines)))
-    return F.transform(inside, lambda r: F.left(X.strip(F.element_at(all_lines, r["start"])), F.lit(120)))
+    inside = lambda ls: F.filter(ranges, lambda r: (r["start"] >= 1) & (r["start"] <= F.size(ls)))
+    return X.bound(X.lines(content), lambda ls: F.transform(inside(ls), lambda r: F.left(X.strip(F.element_at(ls, r["start"])), F.lit(120))))
 
 
 def without_overlap(fragments: DataFrame, least: int = 20) -> DataFrame:
@@ -144,14 +143,20 @@ def without_overlap(fragments: DataFrame, least: int = 20) -> DataFrame:
     At least ``least`` characters count. The longest overlap with any earlier fragment goes, at the start rather than the end.
     """
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(texts: list[str]) -> list[str]:
         out: list[str] = []
-        rows = pdf.sort_values("ord")
-        for k, text in enumerate(rows["text"]):
-            before = rows["text"].iloc[:k]
+        for k, text in enumerate(texts):
+            before = texts[:k]
             head = max((n for p in before for n in range(least, min(len(p), len(text)) + 1) if p.endswith(text[:n])), default=0)
             tail = max((n for p in before for n in range(least, min(len(p), len(text)) + 1) if p.startswith(text[-n:])), default=0)
             out.append(text[head:].lstrip() if head and head >= tail else text[:-tail].rstrip() if tail else text)
-        return rows.assign(text=out)[["case_id", "ord", "text"]]
+        return out
+
+    @F.pandas_udf("array<string>")
+    def cut_all(texts: pd.Series) -> pd.Series:
+        return pd.Series([cut(list(t)) for t in texts])
 
-    return fragments.groupBy("case_id").applyInPandas(cut, "case_id string, ord int, text string")
+    # a case is one row, so that Python goes over many cases at a time
+    cases = fragments.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "text"))).alias("f"))
+    rows = cases.select("case_id", F.explode(F.arrays_zip(F.col("f.ord").alias("ord"), cut_all(F.col("f.text")).alias("text"))).alias("z"))
+    return rows.select("case_id", "z.ord", "z.text")
