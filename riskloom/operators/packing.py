@@ -38,7 +38,7 @@ def pack_pieces(pieces: DataFrame, edges: DataFrame, budget: int = MAX_TOKENS, m
     kind = pieces.schema[group].dataType.simpleString()
 
     def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, chunks = None, []  # used tokens and paths of the group's chunks
+        now, chunks = None, []  # [used tokens, paths] of the group's chunks
         for batch in parts:
             placed: list[int | None] = []
             for g, path, tokens, near_ in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True):
@@ -49,9 +49,10 @@ def pack_pieces(pieces: DataFrame, edges: DataFrame, budget: int = MAX_TOKENS, m
                 at = next((i for i in room if not linked.isdisjoint(chunks[i][1])), room[0] if room else None) if linked else (room[0] if room else None)
                 if at is None and len(chunks) < most:
                     at = len(chunks)
-                    chunks.append((0, set()))
+                    chunks.append([0, set()])
                 if at is not None:
-                    chunks[at] = (chunks[at][0] + tokens, chunks[at][1] | {path})
+                    chunks[at][0] += tokens
+                    chunks[at][1].add(path)
                 placed.append(at)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(placed, pa.int32())], names=[group, "path", "part", "tokens", "chunk"])
 
