@@ -18,6 +18,8 @@ from ..functions.staging import expanded, member_lists, staged
 
 #: Bytes of rule strings that are searched for in one pass.
 RULE_BYTES = 16 << 20
+#: Texts that are Python strings at once in a task.
+TEXT_ROWS = 256
 
 
 def login(name: Column) -> Column:
@@ -152,7 +154,7 @@ def text_rule_hits(texts: DataFrame, rules: DataFrame, id_cols: list[str], text_
             automata = _automata(given)
             always = [{k for k, (text, _) in enumerate(strings) if not text} for _, _, strings in given]
             free = [r for r, (_, needed, _) in enumerate(given) if len(always[r]) >= needed]
-            for batch in batches:
+            for batch in (b.slice(x, TEXT_ROWS) for b in batches for x in range(0, b.num_rows, TEXT_ROWS)):
                 at, which = [], []
                 for i, text in enumerate(batch.column(len(id_cols)).to_pylist()):
                     found = _found(text, automata)
