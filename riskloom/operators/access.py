@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..functions.staging import expanded, member_lists
+from ..functions.staging import expanded, member_lists, spread
 from ..sources import manifests
 from .review import login
 
@@ -43,27 +43,22 @@ def block_list(blocked: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     ``requests`` (org_id, ord, action add or remove, author_login, reason, by, at) are taken in the order of ``ord``. Refused, with
     ``why``: an empty login (empty), one that is blocked already (present), removing one that isn't blocked (absent). The state
     of an author before a request is what the request before left, whether that was refused or not: an add leaves the author
-    blocked and a removal not. So one window over an author's requests decides all.
+    blocked and a removal not. The entry of the old list comes before all requests; an entry, old or added, stays unless a
+    removal follows. So one shuffle and one sort of an author's entries and requests decide all.
     """
-    from pyspark.sql import Window
-
     name = X.strip(F.coalesce("author_login", F.lit("")))
+    add, old = F.col("action") == "add", F.col("_old")
     log = requests.filter(F.col("action").isin("add", "remove")).withColumn("author_login", name)
-    empty = log.filter((F.col("action") == "add") & (F.col("author_login") == "")).withColumn("why", F.lit("empty"))
-    rest = log.filter(F.col("author_login") != "").join(blocked.select("org_id", "author_login", F.lit(True).alias("_old")), ["org_id", "author_login"], "left")
-    order = Window.partitionBy("org_id", "author_login").orderBy("ord")
-    was = F.coalesce(F.lag(F.col("action") == "add").over(order), F.col("_old"), F.lit(False))
-    rest = rest.withColumn("_was", was)
-    add = F.col("action") == "add"
-    refused = rest.filter(add == F.col("_was")).withColumn("why", F.when(add, "present").otherwise("absent")).select(*requests.columns, "why").unionByName(empty.select(*requests.columns, "why"))
-    # the entry that counts in the end: the last add that took effect, or the old one, unless a removal follows
-    key = ["org_id", "author_login"]
-    last = rest.groupBy(*key).agg(
-        F.max_by("action", "ord").alias("_end"), F.max_by(F.struct("reason", "by", "at"), F.when(add & ~F.col("_was"), F.col("ord"))).alias("_new"), F.max(F.when(~add, F.col("ord"))).isNotNull().alias("_removed"), F.bool_or(F.coalesce("_old", F.lit(False))).alias("_old")
-    )
-    stay = blocked.join(last.filter("_end = 'remove' OR _new IS NOT NULL").select(*key), key, "left_anti")
-    new = last.filter("_end = 'add' AND _new IS NOT NULL").select(*key, X.strip(F.coalesce("_new.reason", F.lit(""))).alias("reason"), F.col("_new.by").alias("blocked_by"), F.col("_new.at").alias("blocked_at"))
-    return stay.unionByName(new.select(*stay.columns)), refused
+    empty = log.filter(add & (F.col("author_login") == "")).withColumn("why", F.lit("empty"))
+    first = blocked.withColumns({"ord": F.lit(None).cast(requests.schema["ord"].dataType), "action": F.lit("add"), "_old": F.lit(True)}).withColumnsRenamed({"blocked_by": "by", "blocked_at": "at"})
+    rows = spread(log.filter(F.col("author_login") != "").withColumn("_old", F.lit(False)).unionByName(first), "org_id", "author_login")
+    order = Window.partitionBy("org_id", "author_login").orderBy(old.desc(), "ord")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_was": F.coalesce(F.lag(add).over(order), F.lit(False)), "_removed": F.max(F.when(~add, F.col("ord"))).over(every)})
+    refused = rows.filter(~old & (add == F.col("_was"))).withColumn("why", F.when(add, "present").otherwise("absent")).select(*requests.columns, "why").unionByName(empty.select(*requests.columns, "why"))
+    stays = rows.filter(add & (old | ~F.col("_was")) & (F.col("_removed").isNull() | (F.col("ord") > F.col("_removed"))))
+    reason = F.when(old, F.col("reason")).otherwise(X.strip(F.coalesce("reason", F.lit(""))))
+    return stays.withColumn("reason", reason).withColumnsRenamed({"by": "blocked_by", "at": "blocked_at"}).select(*blocked.columns), refused
 
 
 def newest_blocked(blocked: DataFrame, org_id: Column | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 """Steps whose cost must not grow faster than their input, or whose work must be dealt to all tasks."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as X
+from riskloom.operators import access as A
 from riskloom.operators import knowledge as N
 from riskloom.operators import packing as P
 from riskloom.operators import review as R
@@ -60,3 +62,21 @@ def test_texts_are_searched_in_slices(spark, monkeypatch):
     rules = spark.createDataFrame([("r", [("a", False)], 1, 5)], "rule_id string, strings array<struct<text: string, nocase: boolean>>, needed int, score int")
     texts = spark.range(7).select("id", F.when(F.col("id") % 2 == 0, "xax").otherwise("b").alias("t")).coalesce(1)
     assert sorted(tuple(r) for r in R.text_rule_hits(texts, rules, ["id"], "t").collect()) == [(i, "r", 5) for i in (0, 2, 4, 6)]
+
+
+def test_a_block_list_sorts_its_log_once(spark):
+    dice = random.Random(3)
+    old = [("o", u, " r0 ", "x", -1) for u in "abc"]
+    log = [("o", i, dice.choice(["add", "remove"]), dice.choice("abcde"), f"r{i}", "me", i) for i in range(60)]
+    state, refused = {u: (r, by, at) for _, u, r, by, at in old}, []
+    for _, i, action, user, reason, by, at in log:
+        if (user in state) == (action == "add"):
+            refused.append(i)
+        elif action == "add":
+            state[user] = (reason, by, at)
+        else:
+            del state[user]
+    now, no = A.block_list(spark.createDataFrame(old, "org_id string, author_login string, reason string, blocked_by string, blocked_at int"), spark.createDataFrame(log, "org_id string, ord int, action string, author_login string, reason string, by string, at int"))
+    assert {r.author_login: (r.reason, r.blocked_by, r.blocked_at) for r in now.collect()} == state
+    assert sorted(r.ord for r in no.collect()) == refused
+    assert "Join" not in _plan(now) and "Aggregate" not in _plan(now) and _plan(now).count("Window [") == 1
