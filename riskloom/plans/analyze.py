@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as X
-from ..functions.staging import staged
+from ..functions.staging import spread, staged
 from ..operators import matching
 from ..sources import diffs as D
 from ..sources import manifests
@@ -230,7 +230,7 @@ def analyze(diffs: DataFrame, reference: DataFrame, advisories: DataFrame, reput
     if blocked is not None:
         stopped = ids.join(blocked, "diff_id", "left_semi")
         ids, diffs = ids.join(blocked, "diff_id", "left_anti"), diffs.join(blocked, "diff_id", "left_anti")
-    changes = staged(D.file_changes(diffs))  # every branch starts from these two
+    changes = staged(D.file_changes(spread(diffs, "diff_id")))  # every branch starts from these two, in as many tasks
     deps = staged(manifests.dependency_changes(changes))
     use = {n: f for n, f in (REGISTRY | (layers or {})).items() if config.weights.get(n, 0) > 0}
     given = Inputs(ids, changes, deps, reference, advisories, reputation, rules, None, config)

@@ -10,6 +10,7 @@ from riskloom.operators import access as A
 from riskloom.operators import knowledge as N
 from riskloom.operators import packing as P
 from riskloom.operators import review as R
+from riskloom.plans import analyze as L
 from riskloom.plans import queries as Q
 
 SMOKE = "/root/testdata/sf0.001"
@@ -24,6 +25,18 @@ def test_small_tables_of_costly_rows_are_dealt_to_all_tasks(spark):
         assert rows.rdd.getNumPartitions() >= 4
 
 
+def test_an_analysis_deals_its_diffs_to_all_tasks(spark):
+    diff = "diff --git a/run.py b/run.py\n--- a/run.py\n+++ b/run.py\n@@ -1 +1 @@\n+plain\n"
+    diffs = spark.range(8).select(F.col("id").alias("diff_id"), F.lit(diff).alias("diff")).coalesce(1)
+    reference = spark.createDataFrame([], "ecosystem string, ord int, name string")
+    advisories = spark.createDataFrame([], "ecosystem string, name string, version string, vulns array<struct<id: string>>")
+    reputation = spark.createDataFrame([], "diff_id long")
+    config = L.Config().without("dependencies", "vulnerabilities", "reputation", "semantic")
+    out = L.analyze(diffs, reference, advisories, reputation, config=config)
+    assert out.changes.rdd.getNumPartitions() >= 4 and out.changes.count() == 8
+    assert sorted((r.diff_id, r.verdict) for r in out.results.collect()) == [(i, "verde") for i in range(8)]
+
+
 def test_lines_are_split_once(spark):
     df = spark.createDataFrame([(0, "@@ -1 +1 @@\n+a\n-b\n--- c\n+++d\n e"), (1, "+a"), (2, ""), (3, None), (4, "x\n@@\n++\r\n-")], "i int, h string")
     a, b = X.line_counts(F.col("h"))
