@@ -123,12 +123,12 @@ def python_structure(files: DataFrame, content: str = "content") -> DataFrame:
 
 def indented_ranges(content: Column) -> Column:
     """array<struct<start, end>>: blocks that begin at unindented lines; comments and lines that only close a block don't begin one."""
-    all_lines = X.lines(content)
     closing = ["end", "}", ")", "]", "end;", "end.", "end,"]
     begins = lambda x: F.rlike(x, F.lit(r"^\S")) & ~F.rlike(x, F.lit(r"^(#|//)")) & ~X.strip(x).isin(*closing)
-    starts = F.filter(F.transform(all_lines, lambda x, i: F.when(begins(x), i + 1)), lambda i: i.isNotNull())
-    ends = F.concat(F.transform(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda s: s - 1), F.array(F.size(all_lines)))
-    return F.when(F.size(starts) > 0, F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end")))).otherwise(F.array().cast("array<struct<start: int, end: int>>"))
+    starts = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(begins(x), i + 1)), lambda i: i.isNotNull())
+    until = lambda at, n: lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(at, i + 1) - 1, n).alias("end"))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    return X.bound(X.lines(content), lambda ls: X.bound(starts(ls), lambda at: F.when(F.size(at) > 0, F.transform(at, until(at, F.size(ls)))).otherwise(none)))
 
 
 def symbols(content: Column, ranges: Column) -> Column:

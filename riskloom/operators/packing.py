@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources.corpus import split_text
@@ -17,6 +17,8 @@ MAX_CHUNKS = 20
 MAX_TOKENS = 8000
 #: Characters that fragments without ranges share, and the fewest that one has.
 OVERLAP, LEAST_FRAGMENT = 200, 500
+#: Files that are held as Python objects at once.
+FILE_ROWS = 64
 
 
 def degrees(edges: DataFrame, group: str = "diff_id") -> DataFrame:
@@ -90,19 +92,31 @@ def file_pieces(files: DataFrame, budget: int = MAX_TOKENS, group: str = "diff_i
     """(group, ord, path, part, parts, content, tokens): each file as one piece, or as fragments where it exceeds the budget.
 
     ``files`` (group, ord, path, content, ranges array<struct<start: int, end: int>>), such as ``knowledge.indented_ranges``
-    gives; only the files over the budget go through Python. ``pack_pieces`` places the result.
+    gives; only the files over the budget go through Python, a few at a time. ``pack_pieces`` places the result.
     """
 
-    @F.pandas_udf("array<string>")
-    def cut(content: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([fragments(t.splitlines(), [(r["start"], r["end"]) for r in rs], budget) for t, rs in zip(content, ranges, strict=True)])
-
     content = F.coalesce("content", F.lit(""))
     rows = files.select(group, "ord", "path", content.alias("content"), "ranges")
     small = rows.filter(X.token_estimate(F.col("content")) <= budget).select(group, "ord", "path", F.lit(0).alias("part"), F.lit(1).alias("parts"), "content")
-    large = rows.filter(X.token_estimate(F.col("content")) > budget).withColumn("cut", cut("content", F.coalesce("ranges", F.array().cast("array<struct<start: int, end: int>>"))))
-    large = large.select(group, "ord", "path", F.size("cut").alias("parts"), F.posexplode("cut").alias("part", "content")).select(*small.columns)
-    return small.unionByName(large).withColumn("tokens", X.token_estimate(F.col("content")))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    large = rows.filter(X.token_estimate(F.col("content")) > budget).withColumn("ranges", F.coalesce("ranges", none))
+
+    names = small.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(x, FILE_ROWS) for b in batches for x in range(0, b.num_rows, FILE_ROWS)):
+            at, n, of, texts = [], [], [], []
+            for i, (text, ranges) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                found = fragments(text.splitlines(), [(r["start"], r["end"]) for r in ranges], budget)
+                at += [i] * len(found)
+                n += range(len(found))
+                of += [len(found)] * len(found)
+                texts += found
+            own = [part.column(c).take(pa.array(at, pa.int64())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int32()), pa.array(of, pa.int32()), pa.array(texts, pa.string())], names=names)
+
+    kind = T.StructType([*(rows.schema[c] for c in (group, "ord", "path")), *(T.StructField(c, T.IntegerType()) for c in ("part", "parts")), T.StructField("content", T.StringType())])
+    return small.unionByName(large.mapInArrow(cut, kind)).withColumn("tokens", X.token_estimate(F.col("content")))
 
 
 def excerpt_windows(matches: DataFrame, group: list[str], before: int = 3, most: int = 60) -> DataFrame:

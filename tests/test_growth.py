@@ -93,3 +93,20 @@ def test_a_block_list_sorts_its_log_once(spark):
     assert {r.author_login: (r.reason, r.blocked_by, r.blocked_at) for r in now.collect()} == state
     assert sorted(r.ord for r in no.collect()) == refused
     assert "Join" not in _plan(now) and "Aggregate" not in _plan(now) and _plan(now).count("Window [") == 1
+
+
+def test_files_are_cut_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(P, "FILE_ROWS", 2)
+    text = "\n".join(f"def f{i}():\n  return {i}" for i in range(40))
+    files = spark.range(7).select(F.col("id").alias("diff_id"), F.lit(0).alias("ord"), F.concat(F.lit("f"), "id").alias("path"), F.when(F.col("id") % 3 == 0, "x").otherwise(text).alias("content")).coalesce(1)
+    out = P.file_pieces(files.withColumn("ranges", N.indented_ranges(F.col("content"))), 100)
+    want = P.fragments(text.splitlines(), [(i, i + 1) for i in range(1, 80, 2)], 100)
+    got = sorted((r.diff_id, r.part, r.parts, r.content) for r in out.collect())
+    assert len(want) > 1 and got == sorted([(i, 0, 1, "x") for i in (0, 3, 6)] + [(i, n, len(want), t) for i in (1, 2, 4, 5) for n, t in enumerate(want)])
+
+
+def test_ranges_split_a_text_once(spark):
+    df = spark.createDataFrame([("def a():\n  x\n# c\n}\ny\n",), ("",), (None,), (" a",)], "t string")
+    out = df.select("t", N.indented_ranges(F.col("t")).alias("r"))
+    assert {r.t: [tuple(x) for x in r.r] for r in out.collect()} == {"def a():\n  x\n# c\n}\ny\n": [(1, 4), (5, 5)], "": [], None: [], " a": []}
+    assert _plan(out).count("split(") == 1
