@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import tarfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -470,6 +471,23 @@ def test_users_meet_repositories_without_a_shuffle_of_their_pairs(spark, monkeyp
     assert plan.lstrip().startswith("Union")  # no distinct over the pairs
 
 
+def test_scope_of_one_large_organisation_is_made_by_all_tasks(spark, monkeypatch):
+    """All users and repositories in one organisation: one key of the join, of few bytes, whose pairs are still dealt."""
+    monkeypatch.setattr("riskloom.functions.staging.LIST_ROWS", 10)
+    users = spark.range(300).select(F.concat(F.lit("u"), F.col("id")).alias("user_login"), F.lit("a").alias("org_id"))
+    monitored = spark.range(200).select(F.concat(F.lit("r"), F.col("id")).alias("repo"), F.lit("a").alias("org_id"))
+    for broadcast in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            out = A.admin_scope(users.unionByName(users), monitored.unionByName(monitored), "root")
+            got = [tuple(r) for r in out.select("user_login", "repo", F.spark_partition_id()).collect()]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted(r[:2] for r in got) == sorted((f"u{u}", f"r{r}") for u in range(300) for r in range(200))
+        per_task = Counter(r[2] for r in got)
+        assert len(per_task) >= 4 and max(per_task.values()) < len(got) / 2
+
+
 def test_rules_with_the_same_strings_are_one_class(spark):
     """Rules of equal strings come back after the search, also under one name twice, with their own scores."""
     rules = [(f"r{k % 40}", [("ab", False)], 1, k % 2) for k in range(50)] + [("s", [("ab", True)], 1, 7), ("t", [("ab", False), ("zz", False)], 2, 8)]
