@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as X
-from ..functions.staging import expanded, member_lists, staged
+from ..functions.staging import expanded, member_lists, spread, staged
 
 #: Bytes of rule strings that are searched for in one pass.
 RULE_BYTES = 16 << 20
@@ -86,8 +86,9 @@ def text_rules(sources: DataFrame) -> DataFrame:
 
     ``needed`` is how many different strings must occur: ``any``, ``all`` or a number ``of them``. Rules of other forms
     (expressions, hex strings, conditions over sizes) need an engine of their own and are left out. A rule that states no
-    whole risk_score has the default.
+    whole risk_score has the default. The sources are dealt to all tasks before they are taken apart.
     """
+    sources = spread(sources.select("category", "source"))
     wholes = F.regexp_extract_all("source", F.lit(r'\$\w*\s*=\s*("(?:[^"\\\n]|\\.)*"(?:[ \t]+nocase\b)?)'), 1)
     text = lambda x: F.replace(F.replace(F.regexp_extract(x, r'^"((?:[^"\\]|\\.)*)"', 1), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     strings = F.transform(wholes, lambda x: F.struct(text(x).alias("text"), F.endswith(x, F.lit("nocase")).alias("nocase")))

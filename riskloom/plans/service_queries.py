@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..functions.staging import spread
 from ..operators import access as A
 from ..operators import knowledge as N
 from ..operators import matching
@@ -121,7 +122,7 @@ def _(spark, d):
 @query("approved_rule_hits", _STORED + """, a AS (SELECT rule_name, p_name FROM stored JOIN part ON k = p_partkey WHERE status = 'approved' AND NOT bad UNION ALL SELECT 'other', p_name FROM stored JOIN part ON k = p_partkey WHERE status = 'approved' AND bad)
 SELECT p_partkey AS id, 'web.' || rule_name AS rule_id, 60 AS score FROM part p JOIN a ON contains(p.p_name || ' ' || p.p_brand, a.p_name)""")
 def _(spark, d):
-    texts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("t"))
+    texts = spread(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("t")))
     return R.text_rule_hits(texts, R.text_rules(R.approved_rules(stored_rules(spark, d))), ["id"], "t")
 
 

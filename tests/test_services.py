@@ -499,6 +499,24 @@ def test_rules_with_the_same_strings_are_one_class(spark):
     assert "Generate explode" in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rules_of_one_class_hit_in_all_tasks(spark, monkeypatch):
+    """Rules with equal strings that all texts have, out of one partition each: all tasks read rules and make the pairs."""
+    monkeypatch.setattr("riskloom.functions.staging.LIST_ROWS", 10)
+    source = F.concat(F.lit("rule r"), F.col("id"), F.lit(' {\n  strings: $a = "ab"\n  condition: any of them\n}'))
+    rules = R.text_rules(spark.range(0, 200, 1, 1).select(F.lit("web").alias("category"), source.alias("source")))
+    tasks = {r[0] for r in rules.select(F.spark_partition_id()).collect()}
+    assert len(tasks) >= 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = R.text_rule_hits(spark.range(0, 150, 1, 1).select("id", F.lit("xabx").alias("t")), rules, ["id"], "t")
+        got = [tuple(r) for r in hits.select("id", "rule_id", "score", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r[:3] for r in got) == sorted((i, f"web.r{k}", K.DEFAULT_RULE_SCORE) for i in range(150) for k in range(200))
+    per_task = Counter(r[3] for r in got)
+    assert len(per_task) >= 4 and max(per_task.values()) < len(got) / 2
+
+
 def test_top_k_of_ties_and_vectors_without_a_direction(spark, monkeypatch):
     """Exact distances added in order, ties by id, over several blocks of items and queries; no direction comes last."""
     monkeypatch.setattr(matching, "ITEM_BLOCK", 7)
